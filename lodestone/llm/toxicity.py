@@ -8,6 +8,7 @@ from dataclasses import dataclass, field
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lodestone.llm.shared import _IS_SPACE, cut, steps, words
@@ -87,7 +88,7 @@ def _lists(features: np.ndarray):
     return run
 
 
-def nnpu(x: np.ndarray, y: np.ndarray, prior: float, rounds: int = 150, rate: float = 0.05, decay: float = 1e-3) -> tuple[np.ndarray, float]:
+def nnpu(x: np.ndarray, y: np.ndarray, prior: float, rounds: int = 150, rate: float = 0.05, decay: float = 3e-3) -> tuple[np.ndarray, float]:
     """Weights and bias of a linear scorer under the non-negative PU risk with the logistic loss.
 
     x: rows of 0 and 1; y: 1 positive, 0 unlabelled. The risk is prior * E_P[l(g)] + max(0, E_U[l(-g)] - prior * E_P[l(-g)]).
@@ -117,7 +118,8 @@ def fit(docs: DataFrame, positive: DataFrame, prior: float, id_col: str = "doc_i
 
     The fit uses at most max_positive confirmed and max_unlabelled other or same documents, those of the smallest hash of
     their id, with whole texts. Features are words and byte n-grams that confirmed documents have more often than the
-    unlabelled by at least four standard errors and twice: the clearest, max_features of them at most and one for three confirmed documents. No confirmed documents, no
+    unlabelled by at least four standard errors and twice. N-grams of one word have equal counts: three of a pair of counts are
+    taken, then the clearest, max_features of them at most and about one for each confirmed document. No confirmed documents, no
     unlabelled or no such features: a model of the bias alone.
     """
     ids = docs.select(F.col(id_col).alias("id")).where("id is not null").distinct()
@@ -134,7 +136,9 @@ def fit(docs: DataFrame, positive: DataFrame, prior: float, id_col: str = "doc_i
     counted = sample.mapInArrow(_counts, "feature bigint, p bigint, u bigint").groupBy("feature").agg(F.sum("p").alias("p"), F.sum("u").alias("u"))
     pp, pu = F.col("p") / n_p, (F.col("u") + 0.5) / (n_u + 1)
     clear = (pp - pu) / F.sqrt(pu * (1 - pu) / n_p + 1e-12)
-    best = counted.where((F.col("p") >= 8) & (pp > 2 * pu) & (clear >= 4)).orderBy(clear.desc(), "feature").limit(min(max_features, max(32, n_p // 3))).select("feature")
+    best = counted.withColumn("z", clear).where((F.col("p") >= 8) & (pp > 2 * pu) & (F.col("z") >= 4))
+    best = best.withColumn("like", F.row_number().over(W.partitionBy("p", "u").orderBy("feature"))).where("like <= 3")
+    best = best.orderBy(F.desc("z"), "feature").limit(min(max_features, max(128, n_p))).select("feature")
     features = np.sort(np.array([r[0] for r in best.collect()], dtype=np.int64).view(np.uint64))
     if not len(features):
         return Model(bias=bias)
