@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lodestone.llm import langid, media_tiff
 from lodestone.llm.exact_dedup import exact_dedup
 from lodestone.llm.minhash import near_dedup
 from lodestone.llm.mixing import mix_sources
@@ -40,6 +41,14 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def op5_tiff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    stored = media_tiff.store_texts(table(spark, sf_dir, "documents"))
+    stored = stored.select("doc_id", "n_bytes", F.octet_length("media").cast("long").alias("media_bytes"), F.sha2("media", 256).alias("media_sha256"), "media")
+    pages = media_tiff.tiff_pages(stored, "media", ("doc_id", "n_bytes", "media_bytes", "media_sha256"))
+    tail = F.crc32(F.substring("pixels", -16, 16)).alias("tail_crc32")
+    return pages.select("doc_id", "n_bytes", F.octet_length("pixels").cast("long").alias("payload_bytes"), F.sha2("pixels", 256).alias("payload_sha256"), tail, "media_bytes", "media_sha256", "feature", "page", "error")
+
+
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mix_sources(table(spark, sf_dir, "documents"))
     return mixed.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
@@ -49,8 +58,15 @@ def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op9_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    path = f"{VOCABULARIES}/piece_bpe_32k.model"
+    found = langid.identify(docs, langid.fit(docs.where(remainder(docs, 5) != 0), path), path)
+    return found.select("doc_id", F.coalesce(remainder(found, 5) == 0, F.lit(False)).alias("held_out"), "lang_pred", "score")
+
+
 def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup(table(spark, sf_dir, "documents"), k=3, percent=85)
 
 
-QUERIES = {f.__name__: f for f in (op2_toxicity, op4_packing, op6_mixing, op7_exact_dedup, op10_minhash)}
+QUERIES = {f.__name__: f for f in (op2_toxicity, op4_packing, op5_tiff, op6_mixing, op7_exact_dedup, op9_langid, op10_minhash)}

@@ -57,8 +57,8 @@ _IS_SPACE = np.zeros(256, dtype=bool)
 _IS_SPACE[list(SPACES)] = True
 
 
-def steps(column: pa.Array, lower: bool = True) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """(first row, row after the last, bytes, offsets of rows in them) of a text column, about STEP_BYTES at a time; null is empty."""
+def steps(column: pa.Array, lower: bool = True, size: int = STEP_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """(first row, row after the last, bytes, offsets of rows in them) of a text column, about `size` bytes at a time; null is empty."""
     column = pc.fill_null(column.cast(pa.large_string()), "")
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
@@ -70,7 +70,7 @@ def steps(column: pa.Array, lower: bool = True) -> Iterator[tuple[int, int, np.n
     data = np.frombuffer(column.buffers()[2] or b"", dtype=np.uint8)
     low = 0
     while low < len(column):
-        high = int(np.searchsorted(offsets, offsets[low] + STEP_BYTES, side="right")) - 1
+        high = int(np.searchsorted(offsets, offsets[low] + size, side="right")) - 1
         high = min(max(high, low + 1), len(column))
         yield low, high, data[offsets[low] : offsets[high]], offsets[low : high + 1] - offsets[low]
         low = high
