@@ -34,43 +34,52 @@ class Model:
 
 @functools.lru_cache(maxsize=2)
 def vocabulary(path: str) -> tuple[np.ndarray, np.ndarray, int]:
-    """(sorted hashes of the pieces, bit table over them, greatest length) of a sentencepiece file; control and byte pieces stay out."""
+    """(sorted hashes of the pieces, table from their high bits to the first, greatest length) of a sentencepiece file; control and byte pieces stay out."""
     import sentencepiece
 
     s = sentencepiece.SentencePieceProcessor(model_file=path)
     pieces = sorted({s.id_to_piece(i) for i in range(s.get_piece_size()) if not (s.is_control(i) or s.is_unknown(i) or s.is_byte(i))} - {""})
     pieces = [p for p in pieces if len(p) <= PART]
-    hashes = np.sort(np.array([_hash(np.array([[ord(c) for c in p]], dtype=np.uint32), 0, len(p))[0] for p in pieces], dtype=np.uint64))
-    bits = np.zeros(1 << 20, dtype=bool)
-    bits[hashes >> np.uint64(44)] = True
-    return hashes, bits, max(map(len, pieces))
+    hashes = np.sort(np.concatenate([_hash(codes) for _, codes in _by_length(pieces)]))
+    slots = np.full(1 << 22, -1, dtype=np.int32)
+    slots[(hashes >> np.uint64(42))[::-1]] = np.arange(len(hashes), dtype=np.int32)[::-1]
+    return hashes, slots, max(map(len, pieces))
 
 
-def _hash(codes: np.ndarray, low: int, high: int) -> np.ndarray:
-    total = np.full(len(codes), high - low, dtype=np.uint64)
-    for j in range(low, high):
-        total += (codes[:, j].astype(np.uint64) + np.uint64(1)) * _ODD[j - low]
-    return mix(total)
+def _hash(codes: np.ndarray) -> np.ndarray:
+    n = codes.shape[1]
+    return mix((codes.astype(np.uint64) + np.uint64(1)) @ _ODD[:n] + np.uint64(n))
+
+
+def _pieces(h: np.ndarray, hashes: np.ndarray, slots: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(which of h are pieces, which pieces). A slot names the first of the few pieces that share its bits."""
+    place = slots[h >> np.uint64(42)]
+    at = np.flatnonzero(place >= 0)
+    place, own = place[at], h[at]
+    wrong = np.flatnonzero(hashes[place] != own)
+    while len(wrong):
+        place[wrong] += 1
+        wrong = wrong[(place[wrong] < len(hashes))]
+        wrong = wrong[(hashes[place[wrong]] != own[wrong]) & (hashes[place[wrong]] >> np.uint64(42) == own[wrong] >> np.uint64(42))]
+    true = (place < len(hashes)) & (hashes[np.minimum(place, len(hashes) - 1)] == own)
+    return at[true], place[true]
 
 
 def _arcs(codes: np.ndarray, path: str) -> list[tuple[int, int, np.ndarray]]:
     """(from, to, piece of each word) over all stretches of words of one length; the number of pieces stands for an uncovered character, one more for none."""
-    hashes, bits, most = vocabulary(path)
+    hashes, slots, most = vocabulary(path)
     n, none = codes.shape[1], len(hashes) + 1
     out = []
     for low in range(n):
         sums = np.zeros(len(codes), dtype=np.uint64)
         for high in range(low + 1, min(n, low + most) + 1):
             sums += (codes[:, high - 1].astype(np.uint64) + np.uint64(1)) * _ODD[high - 1 - low]
-            h = mix(sums + np.uint64(high - low))
             ids = np.full(len(codes), none, dtype=np.int64)
-            maybe = np.flatnonzero(bits[h >> np.uint64(44)])
-            place = np.minimum(np.searchsorted(hashes, h[maybe]), len(hashes) - 1)
-            true = hashes[place] == h[maybe]
-            ids[maybe[true]] = place[true]
+            at, place = _pieces(mix(sums + np.uint64(high - low)), hashes, slots)
+            ids[at] = place
             if high == low + 1:
                 ids[ids == none] = none - 1
-            if high == low + 1 or true.any():
+            if high == low + 1 or len(at):
                 out.append((low, high, ids))
     return out
 
@@ -105,12 +114,41 @@ def log_probabilities(texts: list[str], model: Model, path: str) -> np.ndarray:
     return out
 
 
-def _distinct(data: np.ndarray, offsets: np.ndarray) -> tuple[list[str], np.ndarray, np.ndarray]:
-    """(distinct words, which of them each word is, row of each word)."""
+def _distinct(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, list[tuple[int, int]], np.ndarray, np.ndarray]:
+    """(hashes of the distinct words, their bytes' ends, which of them each word is, row of each word)."""
     hashes, rows, starts, ends = words(data, offsets)
-    _, first, which = np.unique(hashes, return_index=True, return_inverse=True)
+    kinds, first, which = np.unique(hashes, return_index=True, return_inverse=True)
+    return kinds, list(zip(starts[first].tolist(), ends[first].tolist(), strict=True)), which, rows
+
+
+def _texts(data: np.ndarray, spans: list[tuple[int, int]]) -> list[str]:
     raw = data.tobytes()
-    return [raw[a:b].decode(errors="replace").lower() for a, b in zip(starts[first].tolist(), ends[first].tolist(), strict=True)], which, rows
+    return [raw[a:b].decode(errors="replace").lower() for a, b in spans]
+
+
+class Known:
+    """Scores of words met before in this task, by hash: at most `most` words, then it starts anew."""
+
+    def __init__(self, model: Model, path: str, most: int = 1_000_000):
+        self.model, self.path, self.most = model, path, most
+        self.hashes, self.logs = np.zeros(0, dtype=np.uint64), np.zeros((0, len(model.langs)))
+
+    def of(self, kinds: np.ndarray, data: np.ndarray, spans: list[tuple[int, int]]) -> np.ndarray:
+        place = np.searchsorted(self.hashes, kinds)
+        met = np.zeros(len(kinds), dtype=bool)
+        inner = place < len(self.hashes)
+        met[inner] = self.hashes[place[inner]] == kinds[inner]
+        out = np.zeros((len(kinds), len(self.model.langs)))
+        out[met] = self.logs[place[met]]
+        new = np.flatnonzero(~met)
+        out[new] = log_probabilities(_texts(data, [spans[i] for i in new]), self.model, self.path)
+        if len(self.hashes) + len(new) > self.most:
+            self.hashes, self.logs = kinds, out
+        else:
+            self.hashes, self.logs = np.concatenate([self.hashes, kinds[new]]), np.concatenate([self.logs, out[new]])
+            order = np.argsort(self.hashes)
+            self.hashes, self.logs = self.hashes[order], self.logs[order]
+        return out
 
 
 def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -193,13 +231,14 @@ def identify(docs: DataFrame, model: Model, path: str, id_col: str = "doc_id", t
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known_words = Known(model, path)
         for batch in batches:
             lettered = np.array(batch.column(2))
             for low, high, data, offsets in steps(batch.column(1), size=STEP):
-                texts, which, rows = _distinct(data, offsets)
+                kinds, spans, which, rows = _distinct(data, offsets)
                 logs = np.zeros((high - low, len(model.langs)))
-                if len(texts) and model.langs:
-                    each = log_probabilities(texts, model, path)
+                if len(kinds) and model.langs:
+                    each = known_words.of(kinds, data, spans)
                     for k in range(len(model.langs)):
                         logs[:, k] = np.bincount(rows, weights=each[which, k], minlength=high - low)
                 known = lettered[low:high] & bool(model.langs)

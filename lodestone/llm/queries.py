@@ -10,6 +10,9 @@ from lodestone.llm.exact_dedup import exact_dedup
 from lodestone.llm.minhash import near_dedup
 from lodestone.llm.mixing import mix_sources
 from lodestone.llm.packing import pack
+from lodestone.llm.pii import find_personal
+from lodestone.llm.secrets import digest, find_secrets
+from lodestone.llm.suffix_dedup import repeated_passages
 from lodestone.llm.toxicity import Model, fit, prior_of, score
 
 VOCABULARIES = "/opt/tokenizers"
@@ -30,12 +33,22 @@ def toxicity_model(docs: DataFrame, labels: DataFrame) -> Model:
     return fit(docs.where(remainder(docs, 4) != 2), known.where("toxic = 1").select("doc_id"), prior_of(known))
 
 
+def op1_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = find_secrets(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", *digest(found, ("assign", "access", "hex")))
+
+
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     scored = score(docs, toxicity_model(docs, table(spark, sf_dir, "labels")))
     return scored.select("doc_id", F.coalesce(remainder(scored, 4) == 2, F.lit(False)).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
 
 
+def op3_personal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = find_personal(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", *digest(found, ("email", "ip", "card", "phone")))
+
+
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = pack(table(spark, sf_dir, "documents"), f"{VOCABULARIES}/byte_bpe_50k.json")
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
@@ -58,6 +71,10 @@ def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op8_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeated_passages(table(spark, sf_dir, "documents"))
+
+
 def op9_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     path = f"{VOCABULARIES}/piece_bpe_32k.model"
@@ -69,4 +86,4 @@ def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup(table(spark, sf_dir, "documents"), k=3, percent=85)
 
 
-QUERIES = {f.__name__: f for f in (op2_toxicity, op4_packing, op5_tiff, op6_mixing, op7_exact_dedup, op9_langid, op10_minhash)}
+QUERIES = {f.__name__: f for f in (op1_secrets, op2_toxicity, op3_personal, op4_packing, op5_tiff, op6_mixing, op7_exact_dedup, op8_passages, op9_langid, op10_minhash)}

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import uuid
 from collections.abc import Iterator
 
@@ -79,27 +80,31 @@ def steps(column: pa.Array, lower: bool = True, size: int = STEP_BYTES) -> Itera
 def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(64-bit hash, row, first byte, byte after the last) of each word, in order; a word is a run of bytes without SPACES within one row."""
     inside = ~_IS_SPACE[data]
-    first = np.empty(len(data), dtype=bool)
-    if len(data):
-        first[0] = inside[0]
-        first[1:] = inside[1:] & ~inside[:-1]
-        at = offsets[:-1]
-        at = at[at < len(data)]
-        first[at] = inside[at]
-    starts = np.flatnonzero(first)
-    if not len(starts):
+    if not inside.any():
         none = np.zeros(0, dtype=np.int64)
         return none.astype(np.uint64), none, none, none
-    kept = np.flatnonzero(inside)
-    order = np.searchsorted(kept, starts)
-    lengths = np.diff(np.append(order, len(kept)))
-    place = np.arange(len(kept)) - np.repeat(order, lengths)
-    powers = np.ones(int(lengths.max()), dtype=np.uint64)
-    powers[1:] = _BASE
-    powers = np.multiply.accumulate(powers)
-    sums = np.add.reduceat((data[kept].astype(np.uint64) + np.uint64(1)) * powers[place], order)
+    edge = np.zeros(len(data) + 1, dtype=bool)  # where a row starts
+    edge[offsets] = True
+    first, last = inside.copy(), inside.copy()
+    first[1:] &= ~inside[:-1] | edge[1:-1]
+    last[:-1] &= ~inside[1:] | edge[1:-1]
+    starts, ends = np.flatnonzero(first), np.flatnonzero(last) + 1
+    up, down = _powers(-(-len(data) // STEP_BYTES) * STEP_BYTES)
+    sums = np.zeros(len(data) + 1, dtype=np.uint64)
+    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[: len(data)], out=sums[1:])
     rows = np.searchsorted(offsets, starts, side="right") - 1
-    return mix(sums + lengths.astype(np.uint64)), rows, starts, starts + lengths
+    return mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64)), rows, starts, ends
+
+
+@functools.lru_cache(maxsize=1)
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of an odd number and of its inverse modulo 2**64: n of each."""
+    out = []
+    for base in (_BASE, np.uint64(pow(int(_BASE), -1, 1 << 64))):
+        x = np.full(n, base, dtype=np.uint64)
+        x[0] = 1
+        out.append(np.multiply.accumulate(x))
+    return out[0], out[1]
 
 
 def shingles(hashes: np.ndarray, rows: np.ndarray, n_rows: int, k: int) -> tuple[np.ndarray, np.ndarray]:
