@@ -47,7 +47,7 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Documents of the task that have a feature: among the positive and among the unlabelled."""
     for batch in batches:
         sides = np.array(batch.column(2))
-        for low, high, data, offsets in steps(batch.column(1)):
+        for low, high, data, offsets in steps(batch.column(1), size=500_000):
             found, side = [], sides[low:high]
             for value, rows in _feature_runs(data, offsets):
                 order = np.lexsort((value, rows))
