@@ -155,7 +155,8 @@ def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         langs = np.array(batch.column(1))
         for low, high, data, offsets in steps(batch.column(0)):
-            texts, which, rows = _distinct(data, offsets)
+            _, spans, which, rows = _distinct(data, offsets)
+            texts = _texts(data, spans)
             own = langs[low:high][rows] * np.int64(1 << 40) + which
             kinds, counts = np.unique(own, return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(kinds >> 40), pa.array([texts[i] for i in (kinds & ((1 << 40) - 1)).tolist()], pa.string()), pa.array(counts, pa.int64())], names=["lang_no", "word", "n"])

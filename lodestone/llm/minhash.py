@@ -59,7 +59,8 @@ def _sets(k: int):
 
 def _met(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """pairs (u, v) with their full sets x and y and the size i of what they share."""
-    both = pairs.join(sets.select(F.col("doc_id").alias("u"), F.col("shingles").alias("x")), "u").join(sets.select(F.col("doc_id").alias("v"), F.col("shingles").alias("y")), "v")
+    x, y = sets.select(F.col("doc_id").alias("u"), F.col("shingles").alias("x")), sets.select(F.col("doc_id").alias("v"), F.col("shingles").alias("y"))
+    both = pairs.join(x.hint("merge"), "u").join(y.hint("merge"), "v")
     return both.withColumn("i", F.size(F.array_intersect("x", "y")).cast("long"))
 
 
@@ -112,7 +113,7 @@ def _marks(groups: DataFrame, percent: int) -> tuple[DataFrame, DataFrame, DataF
 
 
 def _full_sets(docs: DataFrame, ids: DataFrame, k: int) -> DataFrame:
-    picked = docs.join(ids, "doc_id", "left_semi")
+    picked = docs.join(ids.hint("merge"), "doc_id", "left_semi")  # the same plan at every size
     return picked.mapInArrow(_sets(k), f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, shingles array<bigint>").dropDuplicates(["doc_id"])
 
 

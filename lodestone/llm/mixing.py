@@ -105,7 +105,7 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     its target. Groups are bounded by chunk and fan_in, whatever a source holds.
 
     Returns doc_id, size, source_no, source_size, target, copies. size: words of the text; null or empty text has 0 and takes
-    nothing. The null source is a source, the last. Repeated rows are documents of their own. With no words at all every
+    nothing, as its copies have no words. The null source is a source, the last. Repeated rows are documents of their own. With no words at all every
     target is 0. An empty table gives an empty result; other columns are ignored. Runs on the same rows agree.
     """
     return _mixed(docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"), F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long").alias("size")), weights, cap, seed, chunk, fan_in)
@@ -115,7 +115,7 @@ def _mixed(docs: DataFrame, weights: tuple[float, ...], cap: float, seed: int, c
     sized = cut(docs)
     totals = cut(targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")), weights, cap))
     share: Column = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
-    own = sized.join(totals, sized["source"].eqNullSafe(totals["source"])).select("doc_id", "size", "source_no", "source_size", "target", F.floor(share).alias("whole"), (share - F.floor(share)).alias("p"))
+    own = sized.join(totals, sized["source"].eqNullSafe(totals["source"])).select("doc_id", "size", "source_no", "source_size", "target", F.floor(share).alias("whole"), F.when(F.col("size") > 0, share - F.floor(share)).otherwise(0.0).alias("p"))
     own = own.withColumn("tag", F.xxhash64("doc_id")).withColumn("bucket", F.when(F.col("size") > 0, F.floor(F.log2("size"))).otherwise(-1))
     leaves = _grouped(own, chunk, seed)
     inner = (F.col("p") > 0) & (F.col("p") < 1)

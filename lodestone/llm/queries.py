@@ -54,14 +54,18 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
-def op5_tiff(spark: SparkSession, sf_dir: str) -> DataFrame:
-    stored = media_tiff.store_texts(table(spark, sf_dir, "documents"))
+def op5_rows(docs: DataFrame) -> DataFrame:
+    stored = media_tiff.store_texts(docs)
     stored = stored.select("doc_id", "n_bytes", F.octet_length("media").cast("long").alias("media_bytes"), F.sha2("media", 256).alias("media_sha256"), "media")
     pages = media_tiff.tiff_pages(stored, "media", ("doc_id", "n_bytes", "media_bytes", "media_sha256"))
     tail = F.crc32(F.substring("pixels", -16, 16)).alias("tail_crc32")
     return pages.select("doc_id", "n_bytes", F.octet_length("pixels").cast("long").alias("payload_bytes"), F.sha2("pixels", 256).alias("payload_sha256"), tail, "media_bytes", "media_sha256", "feature", "page", "error")
 
 
+def op5_tiff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op5_rows(table(spark, sf_dir, "documents"))
+
+
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mix_sources(table(spark, sf_dir, "documents"))
     return mixed.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))

@@ -79,14 +79,15 @@ def battery(tokens: DataFrame) -> DataFrame:
 def thresholds(tokens: DataFrame, rate: float, least: float = 0.02) -> DataFrame:
     """tokens (encoding, length_class, bin) -> (encoding, length_class, bin): the first bin of p that counts as random there.
 
-    Random tokens have uniform p, so within each encoding and length class twice the tokens above one half estimate all
-    random ones. From the lowest bin on (at least `least`), the first is taken at which those estimated above it fall short of
+    Random tokens have uniform p, so within each encoding and length class twice the tokens above one half, with one
+    standard error, estimate all random ones. From the lowest bin on (at least `least`), the first is taken at which those estimated above it fall short of
     the tokens above it by a share of at most `rate`: the expected share of false discoveries. Classes are few, whatever the corpus.
     """
     by = W.partitionBy("encoding", "length_class")
     counted = tokens.groupBy("encoding", "length_class", "bin").count()
     above = F.sum("count").over(by.orderBy(F.desc("bin")))
-    random = 2 * F.coalesce(F.sum(F.when(F.col("bin") >= BINS // 2, F.col("count"))).over(by), F.lit(0))
+    upper = F.coalesce(F.sum(F.when(F.col("bin") >= BINS // 2, F.col("count"))).over(by), F.lit(0))
+    random = 2 * (upper + F.sqrt(upper))
     false = 1 - random * (1 - F.col("bin") / BINS) / F.col("above")
     good = counted.withColumn("above", above).withColumn("false", false).where((F.col("false") <= rate) & (F.col("bin") >= math.ceil(least * BINS)))
     return good.groupBy("encoding", "length_class").agg(F.min("bin").alias("least_bin"))
