@@ -28,7 +28,7 @@ def length_mm(text: Column) -> Column:
     """
     t = F.lower(F.trim(text))
     ranged = t.rlike(rf"\d\s*{UNIT}?\s*(to|\s-)\s*\.?\d")
-    metric = F.regexp_extract(t, r"^m(\d+(?:\.\d+)?)(?![a-z])", 1).try_cast("double")
+    metric = F.regexp_extract(t, r"^m(\d+(?:\.\d+)?)(?![a-wyz])", 1).try_cast("double")
     gauge = F.create_map(*[F.lit(x) for kv in GAUGES.items() for x in kv])[F.regexp_extract(t, r"^#(\d+)-\d+", 1)]
     with_unit = rf"(?<![\d./])(?:{NUMBER})\s*{UNIT}"
     unit = F.regexp_extract(t, with_unit, 7)

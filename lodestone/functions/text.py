@@ -8,12 +8,12 @@ from pyspark.sql import functions as F
 
 def split_path(path: Column) -> Column:
     """`A > B | C` to its trimmed, non-empty steps."""
-    return F.filter(F.transform(F.split(F.translate(path, "|", ">"), ">"), F.trim), lambda x: x != "")
+    return F.filter(F.transform(F.split(F.translate(path, "|", ">"), ">"), lambda x: F.trim(x)), lambda x: x != "")
 
 
 def split_list(value: Column) -> Column:
     """`a; b` to its trimmed, non-empty items."""
-    return F.filter(F.transform(F.split(value, ";"), F.trim), lambda x: x != "")
+    return F.filter(F.transform(F.split(value, ";"), lambda x: F.trim(x)), lambda x: x != "")
 
 
 def norm_attr(value: Column) -> Column:
