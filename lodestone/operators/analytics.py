@@ -99,14 +99,14 @@ def search_funnel(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""WITH {SQL_EVENTS}, b AS (SELECT coalesce(a.ts, b.ts) AS seen_at, a.part AS best, b.part AS truth, a.request_id IS NOT NULL AS photo FROM bought b LEFT JOIN answer a USING (request_id)),
- u AS (SELECT CAST(ts AS DATE) AS day, 1 AS identify, 0 AS bought, 0 AS photo, 0 AS top1 FROM ident UNION ALL SELECT CAST(seen_at AS DATE), 0, 1, CAST(photo AS INT), CAST(coalesce(best = truth, false) AS INT) FROM b)
+ u AS (SELECT strftime(ts, '%Y-%m-%d') AS day, 1 AS identify, 0 AS bought, 0 AS photo, 0 AS top1 FROM ident UNION ALL SELECT strftime(seen_at, '%Y-%m-%d'), 0, 1, CAST(photo AS INT), CAST(coalesce(best = truth, false) AS INT) FROM b)
  SELECT day, CAST(sum(identify) AS BIGINT) AS identify, CAST(sum(bought) AS BIGINT) AS bought, CAST(sum(photo) AS BIGINT) AS bought_from_photo, CAST(sum(top1) AS BIGINT) AS bought_top1 FROM u GROUP BY day ORDER BY day DESC LIMIT 30""")
 def daily_trend(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per UTC day; a bought item counts on the day of its photo, or of its checkout without one. The last 30 days."""
     log = event_log(spark, sf_dir)
     a = answers(log).select("request_id", F.col("part").alias("best"), F.col("ts").alias("asked_at"), F.lit(1).alias("photo"))
-    b = bought(log).join(a, "request_id", "left").select(F.to_date(F.coalesce("asked_at", "ts")).alias("day"), F.lit(0).alias("i"), F.lit(1).alias("b"), F.coalesce("photo", F.lit(0)).alias("p"), F.coalesce((F.col("best") == F.col("part")).cast("int"), F.lit(0)).alias("t"))
-    u = identified(log).select(F.to_date("ts").alias("day"), F.lit(1).alias("i"), F.lit(0).alias("b"), F.lit(0).alias("p"), F.lit(0).alias("t")).unionByName(b)
+    b = bought(log).join(a, "request_id", "left").select(F.date_format(F.coalesce("asked_at", "ts"), "yyyy-MM-dd").alias("day"), F.lit(0).alias("i"), F.lit(1).alias("b"), F.coalesce("photo", F.lit(0)).alias("p"), F.coalesce((F.col("best") == F.col("part")).cast("int"), F.lit(0)).alias("t"))
+    u = identified(log).select(F.date_format("ts", "yyyy-MM-dd").alias("day"), F.lit(1).alias("i"), F.lit(0).alias("b"), F.lit(0).alias("p"), F.lit(0).alias("t")).unionByName(b)
     return u.groupBy("day").agg(F.sum("i").alias("identify"), F.sum("b").alias("bought"), F.sum("p").alias("bought_from_photo"), F.sum("t").alias("bought_top1")).orderBy(F.desc("day")).limit(30)
 
 

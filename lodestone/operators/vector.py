@@ -135,8 +135,8 @@ def gallery_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return gallery(spark, sf_dir).agg(F.count("*").alias("vectors"), F.max(F.size("v")).cast("bigint").alias("dim"), F.countDistinct("label").alias("categories"), F.round(F.avg(F.sqrt(dot(F.col("v"), F.col("v")))), 5).alias("mean_length"))
 
 
-@query(f"WITH {SQL_TOP} SELECT query_id, round(avg(CAST(label = query_label AS INT)), 6) AS recall_at_10, min(CASE WHEN label = query_label THEN place END) AS first_right, round(1.0 / min(CASE WHEN label = query_label THEN place END), 6) AS rr FROM top WHERE place <= 10 GROUP BY query_id")
+@query(f"WITH {SQL_TOP} SELECT query_id, round(avg(CAST(label = query_label AS INT)), 6) AS recall_at_10, coalesce(min(CASE WHEN label = query_label THEN place END), 0) AS first_right, coalesce(round(1.0 / min(CASE WHEN label = query_label THEN place END), 6), 0.0) AS rr FROM top WHERE place <= 10 GROUP BY query_id")
 def retrieval_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Share of right categories among the ten nearest, and the place of the first right one."""
+    """Share of right categories among the ten nearest, and the place of the first right one; 0 where none is."""
     right = F.min(F.when(F.col("label") == F.col("query_label"), F.col("place")))
-    return retrieved(spark, sf_dir, 10).groupBy("query_id").agg(F.round(F.avg((F.col("label") == F.col("query_label")).cast("int")), 6).alias("recall_at_10"), right.alias("first_right"), F.round(1.0 / right, 6).alias("rr"))
+    return retrieved(spark, sf_dir, 10).groupBy("query_id").agg(F.round(F.avg((F.col("label") == F.col("query_label")).cast("int")), 6).alias("recall_at_10"), F.coalesce(right, F.lit(0)).alias("first_right"), F.coalesce(F.round(1.0 / right, 6), F.lit(0.0)).alias("rr"))

@@ -35,14 +35,14 @@ def drained(stream: DataFrame, mode: str) -> DataFrame:
     return spark.read.schema(stream.schema).parquet(f"{path}/out")
 
 
-@query("SELECT CAST(ts AS DATE) AS day, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events WHERE ts < (SELECT date_trunc('day', max(ts)) FROM events) GROUP BY ALL")
+@query("SELECT strftime(ts, '%Y-%m-%d') AS day, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events WHERE ts < (SELECT date_trunc('day', max(ts)) FROM events) GROUP BY ALL")
 def stream_daily(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events of each closed UTC day by kind, from a stream with a watermark of an hour: a day is written once no more of it
     can come, so the last day, still open, isn't among them."""
     w = event_stream(spark, sf_dir).withWatermark("ts", "1 hour").groupBy(F.window("ts", "1 day").alias("w"), "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("total"))
     days = drained(w.select(F.to_date("w.start").alias("day"), "event_type", "n", "total"), "append")
     last = spark.read.parquet(f"{sf_dir}/events.parquet").agg(F.max(F.to_date("ts")).alias("last"))
-    return days.join(F.broadcast(last), F.col("day") < F.col("last")).select("day", "event_type", "n", F.round("total", 4).alias("total"))  # one row
+    return days.join(F.broadcast(last), F.col("day") < F.col("last")).select(F.date_format("day", "yyyy-MM-dd").alias("day"), "event_type", "n", F.round("total", 4).alias("total"))  # one row
 
 
 def fold_cart(cart: dict[int, int], placed: int, rows: pd.DataFrame) -> tuple[dict[int, int], int]:
