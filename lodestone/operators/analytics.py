@@ -221,3 +221,20 @@ def issues(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = a.select(F.explode(F.filter(rules, lambda r: r.isNotNull())).alias("r")).select("r.*")
     pairs = confusion_pairs(spark, sf_dir).where("times >= 2").orderBy(F.desc("times"), "predicted", "truth").limit(5)
     return found.unionByName(pairs.select(F.lit(5).alias("no"), F.lit("warn").alias("severity"), F.concat_ws(" ", F.lit("confused pair"), F.col("predicted").cast("string"), F.col("truth").cast("string")).alias("what")))
+
+
+@query(f"WITH {SQL_EVENTS} SELECT event_id, user_id, count(*) OVER (PARTITION BY user_id ORDER BY ts RANGE BETWEEN INTERVAL 6 HOURS PRECEDING AND CURRENT ROW) AS calls FROM log")
+def rate_window(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Calls of each user in the six hours up to each call."""
+    seconds = F.unix_micros(F.col("ts").cast("timestamp"))
+    w = W.partitionBy("user_id").orderBy(seconds).rangeBetween(-6 * 3600 * 1_000_000, 0)
+    return event_log(spark, sf_dir).select("event_id", "user_id", F.count("*").over(w).alias("calls"))
+
+
+@query(f"""WITH {SQL_EVENTS}, p AS (SELECT event_id, part, row_number() OVER (PARTITION BY part ORDER BY ts, event_id) - 1 AS i, count(*) OVER (PARTITION BY part) AS n FROM log WHERE event_type = 'signup')
+ SELECT event_id, part, n >= 2 AND (i = n - 1 OR i % 5 = 4) AS held_out FROM p""")
+def feedback_holdout(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Photos held out of each part that has two or more: the last, and every fifth before it."""
+    w = W.partitionBy("part").orderBy("ts", "event_id")
+    p = event_log(spark, sf_dir).where("event_type = 'signup'").select("event_id", "part", (F.row_number().over(w) - 1).alias("i"), F.count("*").over(W.partitionBy("part")).alias("n"))
+    return p.select("event_id", "part", ((F.col("n") >= 2) & ((F.col("i") == F.col("n") - 1) | (F.col("i") % 5 == 4))).alias("held_out"))

@@ -128,3 +128,18 @@ def top_categories(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The largest categories."""
     c = parts(spark, sf_dir).groupBy(path_key(F.col("path"), 2, "?").alias("category")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "category").limit(20)
     return c.withColumn("place", F.rank().over(W.orderBy(F.desc("n"), "category")).cast("bigint"))
+
+
+@query(f"WITH {SQL_PARTS} SELECT part, name FROM parts WHERE part NOT IN (SELECT l_partkey FROM lineitem WHERE l_quantity >= 50)")
+def never_in_bulk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts that no line orders by fifty or more: rows without a match, as for parts that an index doesn't have yet."""
+    bulk = spark.read.parquet(f"{sf_dir}/lineitem.parquet").where("l_quantity >= 50").select(F.col("l_partkey").alias("part"))
+    return parts(spark, sf_dir).select("part", "name").join(bulk, "part", "left_anti")
+
+
+@query(f"WITH {SQL_PARTS} SELECT part, name || ' | ' || kind || ' > ' || brand || ' | brand: ' || brand || ', size: ' || size AS spec FROM parts")
+def spec_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts as text: name, path and attributes in the order of their keys."""
+    attributes = F.map_from_arrays(F.array(F.lit("size"), F.lit("brand")), F.array(F.col("size").cast("string"), F.col("brand")))
+    listed = F.array_join(F.transform(F.array_sort(F.map_entries(attributes)), lambda e: F.concat_ws(": ", e["key"], e["value"])), ", ")
+    return parts(spark, sf_dir).select("part", F.concat_ws(" | ", "name", path_key(F.col("path"), 2, ""), listed).alias("spec"))

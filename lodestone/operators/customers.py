@@ -241,3 +241,10 @@ def order_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = order_lines(spark, sf_dir).groupBy("client").agg(n.alias("n"))
     b = t.groupBy(F.when(F.col("n") <= 3, "1-3").when(F.col("n") <= 8, "4-8").otherwise("9+").alias("bucket")).agg(F.count("*").alias("clients"))
     return b.join(F.broadcast(b.agg(F.sum("clients").alias("every")))).select("bucket", "clients", ratio(F.col("clients"), F.col("every")).alias("share"))  # three rows
+
+
+@query(f"WITH {SQL_LINES}, h AS (SELECT client, brand, count(*) AS n FROM lines WHERE brand IS NOT NULL GROUP BY ALL) SELECT client, brand, n, n >= 2 AS repeated FROM h QUALIFY row_number() OVER (PARTITION BY client ORDER BY n DESC, brand) <= 3")
+def profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The three brands a client buys most."""
+    h = order_lines(spark, sf_dir).where("brand is not null").groupBy("client", "brand").agg(F.count("*").alias("n"))
+    return h.withColumn("r", F.row_number().over(W.partitionBy("client").orderBy(F.desc("n"), "brand"))).where("r <= 3").select("client", "brand", "n", (F.col("n") >= 2).alias("repeated"))

@@ -90,3 +90,10 @@ def facets(spark: SparkSession, sf_dir: str) -> DataFrame:
     a = parts(spark, sf_dir).where(F.contains("name", F.lit("ring"))).select(F.explode(F.array(*[F.struct(F.lit(k).alias("key"), F.col(k).cast("string").alias("value")) for k in ("kind", "brand", "size")])).alias("x"))
     c = a.groupBy("x.key", "x.value").agg(F.count("*").alias("n"))
     return c.withColumn("r", F.row_number().over(W.partitionBy("key").orderBy(F.desc("n"), "value"))).where("r <= 8").drop("r")
+
+
+@query("SELECT doc_id FROM documents WHERE ' ' || array_to_string(regexp_extract_all(lower(text), '[0-9a-z]+'), ' ') || ' ' LIKE '% of the %'")
+def phrase_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents in which the tokens of a phrase stand next to each other."""
+    joined = F.concat(F.lit(" "), F.array_join(tokens(F.col("text")), " "), F.lit(" "))
+    return table(spark, sf_dir, "documents").where(F.contains(joined, F.lit(" of the "))).select("doc_id")
