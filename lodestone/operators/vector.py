@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -16,18 +17,32 @@ from lodestone.registry import query
 
 #: A report's stated queries: the first rows of the table.
 QUERIES = 20
+#: Queries that the driver and each task hold at once, and those of one matrix product.
+BLOCK, STEP = 4096, 256
 SQL_DOT = "list_sum(list_transform(generate_series(1, 64), lambda i: a.v[i] * b.v[i]))"
 
 
 def topk(rows: DataFrame, asked: DataFrame, k: int) -> DataFrame:
-    """(query_id, vec_id, score): the k rows of greatest dot product with each query, ties to the smaller id.
+    """(query_id, vec_id, score, place): the k rows of greatest dot product with each query, ties to the smaller id.
 
-    The queries are a stated few, at most 4,096, and go to every task as one matrix; each Arrow batch is one matrix product
-    and keeps k rows a query, so what is shuffled is k rows a query and batch, whatever the number of rows.
+    Up to BLOCK queries go to every task as one matrix; each Arrow batch is one matrix product and keeps k rows a query, so
+    what is shuffled is k rows a query and batch, whatever the number of rows. More queries are dealt into blocks by id and
+    answered block by block into one written table, so that driver and tasks hold one block at a time.
     """
-    held = asked.select("query_id", "v").limit(4097).collect()
-    if len(held) > 4096:
-        raise ValueError("more than 4096 queries: ask in blocks")
+    asked = asked.select("query_id", "v")
+    held = asked.limit(BLOCK + 1).collect()
+    if len(held) <= BLOCK:
+        return _block(rows, held, k)
+    spark, n = rows.sparkSession, -(-asked.count() // (BLOCK // 2))  # half full on average, as ids are dealt by hash
+    path = f"{spark.conf.get('spark.checkpoint.dir', None) or '/tmp/checkpoints'}/lodestone/{uuid.uuid4().hex}"
+    for i in range(n):
+        held = asked.where(F.pmod(F.xxhash64("query_id"), F.lit(n)) == i).collect()
+        _block(rows, held, k).write.mode("append").parquet(path)
+    return spark.read.schema("query_id bigint, vec_id bigint, score double, place bigint").parquet(path)
+
+
+def _block(rows: DataFrame, held: list, k: int) -> DataFrame:
+    """topk for the queries held."""
     ids, matrix = np.array([r[0] for r in held], dtype=np.int64), np.array([r[1] for r in held], dtype=np.float64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -36,10 +51,11 @@ def topk(rows: DataFrame, asked: DataFrame, k: int) -> DataFrame:
                 continue
             own = np.array(batch.column(0), dtype=np.int64)
             v = np.array(batch.column(1).flatten(), dtype=np.float64).reshape(len(own), -1)
-            scores = matrix @ v.T
-            n = min(k + 8, len(own))  # a few more, as ties are settled by id below
-            best = np.argpartition(-scores, n - 1, axis=1)[:, :n]
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, n)), pa.array(own[best].ravel()), pa.array(np.take_along_axis(scores, best, 1).ravel())], names=["query_id", "vec_id", "score"])
+            for low in range(0, len(ids), STEP):
+                scores = matrix[low : low + STEP] @ v.T
+                n = min(k + 8, len(own))  # a few more, as ties are settled by id below
+                best = np.argpartition(-scores, n - 1, axis=1)[:, :n]
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids[low : low + STEP], n)), pa.array(own[best].ravel()), pa.array(np.take_along_axis(scores, best, 1).ravel())], names=["query_id", "vec_id", "score"])
 
     found = rows.select("vec_id", "v").mapInArrow(run, "query_id bigint, vec_id bigint, score double").withColumn("score", F.round("score", 6))
     place = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
