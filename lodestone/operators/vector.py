@@ -25,7 +25,8 @@ SQL_DOT = "list_sum(list_transform(generate_series(1, 64), lambda i: a.v[i] * b.
 def topk(rows: DataFrame, asked: DataFrame, k: int) -> DataFrame:
     """(query_id, vec_id, score, place): the k rows of greatest dot product with each query, ties to the smaller id.
 
-    Up to BLOCK queries go to every task as one matrix; each Arrow batch is one matrix product and keeps k rows a query, so
+    Scores are rounded to 6 decimals before any row is left out, so ties are the same whatever the batches; they are below
+    1e8 in size. Up to BLOCK queries go to every task as one matrix; each Arrow batch is one matrix product and keeps k rows a query, so
     what is shuffled is k rows a query and batch, whatever the number of rows. More queries are dealt into blocks by id and
     answered block by block into one written table, so that driver and tasks hold one block at a time.
     """
@@ -51,13 +52,18 @@ def _block(rows: DataFrame, held: list, k: int) -> DataFrame:
                 continue
             own = np.array(batch.column(0), dtype=np.int64)
             v = np.array(batch.column(1).flatten(), dtype=np.float64).reshape(len(own), -1)
+            minor = np.empty(len(own), dtype=np.int64)
+            minor[np.argsort(own, kind="stable")] = np.arange(len(own))[::-1]
             for low in range(0, len(ids), STEP):
                 scores = matrix[low : low + STEP] @ v.T
-                n = min(k + 8, len(own))  # a few more, as ties are settled by id below
-                best = np.argpartition(-scores, n - 1, axis=1)[:, :n]
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids[low : low + STEP], n)), pa.array(own[best].ravel()), pa.array(np.take_along_axis(scores, best, 1).ravel())], names=["query_id", "vec_id", "score"])
-
-    found = rows.select("vec_id", "v").mapInArrow(run, "query_id bigint, vec_id bigint, score double").withColumn("score", F.round("score", 6))
+                # One whole number a row, unique in the batch, in the order of the result: rounded score, then smaller id.
+                key = (np.sign(scores) * np.floor(np.abs(scores) * 1e6 + 0.5)).astype(np.int64) * len(own) + minor
+                n = min(k, len(own))
+                best = np.argpartition(-key, n - 1, axis=1)[:, :n]
+                score = (np.take_along_axis(key, best, 1) // len(own)) / 1e6
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids[low : low + STEP], n)), pa.array(own[best].ravel()), pa.array(score.ravel())], names=["query_id", "vec_id", "score"])
+
+    found = rows.select("vec_id", "v").mapInArrow(run, "query_id bigint, vec_id bigint, score double")
     place = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("place", place.cast("bigint")).where(F.col("place") <= k)
 
