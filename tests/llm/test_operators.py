@@ -169,6 +169,23 @@ def test_random_tokens_are_found(spark):
     assert 0.3 < np.mean(p) < 0.7
 
 
+def test_random_tokens_are_found_in_all_positions(spark):
+    rng = np.random.default_rng(4)
+    letters = np.array(list("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"))
+    frames = ["AWS_KEY={}", "https://cdn.example/file?sig={}", "https://cdn.example/file?sig={}&part=2", "AUTH='{}'", 'say "{}" aloud', "Bearer={}; path=/", "{}=name", "{}==", "{}=== end"]
+    rows, want = [], {}
+    for i in range(360):
+        token, frame = "".join(rng.choice(letters, 40)), frames[i % len(frames)]
+        start, padding = frame.index("{}"), 2 if frame == "{}==" else 0
+        rows.append((i, frame.format(token)))
+        want[i] = f"random:{start}:{start + 40 + padding}"
+    found = find_secrets(spark.createDataFrame(rows, "doc_id long, text string"))
+    got = {r.doc_id: r.spans for r in found.select("doc_id", *digest(found, ())).collect()}
+    for n in range(len(frames)):
+        own = [i for i in want if i % len(frames) == n]
+        assert sum(want[i] == got[i] for i in own) >= 0.85 * len(own), (frames[n], [got[i] for i in own][:5])
+
+
 def test_disclosing_terms(spark):
     filler = "plain words stand here without meaning or rank"
     rows = [(i, f"{filler} number{i} ask zorblax about bob@corp.example today {i} {filler[: 5 + i]}") for i in range(6)] + [(100 + i, f"{filler} about today {i}") for i in range(60)]
