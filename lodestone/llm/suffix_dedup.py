@@ -91,6 +91,28 @@ def _contexts(left: int, least: int, right: int):
     return run
 
 
+def _windows(least: int, window: int):
+    """Every stretch of `least` words that starts at a listed position or up to window - 1 words before: its first word and hash."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, lists = np.array(batch.column(0)), batch.column(2)
+            for low, high, data, offsets in steps(batch.column(1)):
+                hashes, rows, _, _ = words(data, offsets)
+                own = lists.slice(low, high - low)
+                row = np.repeat(np.arange(high - low), np.array(own.value_lengths(), dtype=np.int64))
+                start, end = np.searchsorted(rows, row), np.searchsorted(rows, row, side="right")
+                at = np.array(own.flatten(), dtype=np.int64) + start
+                chosen = np.zeros(len(hashes), dtype=bool)
+                for j in range(window):
+                    chosen[(at - j)[(at - j >= start) & (at - j + least <= end)]] = True
+                at = np.flatnonzero(chosen)
+                grams = _grams(hashes, least)[at] if len(at) else np.zeros(0, dtype=np.uint64)
+                yield pa.RecordBatch.from_arrays([pa.array(ids[low:high][rows[at]]), pa.array(at - np.searchsorted(rows, rows[at])), pa.array(grams.view(np.int64))], names=["doc_id", "start", "gram"])
+
+    return run
+
+
 def _matrix(values: pa.Array, n: int) -> np.ndarray:
     return np.frombuffer(b"".join(values.to_pylist()), dtype=np.uint32).reshape(-1, n)
 
@@ -161,24 +183,29 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     Words are runs without white space, A-Z in lower case. A suffix of a document's words is retained where its first k words
     have the least hash of `window` consecutive k-grams, so any repeated passage retains the same suffixes in all its places:
     the first starts within its first `window` words. Suffixes that share their first least - window + 1 words with no other
-    are left out. The rest are sorted, each is compared with the NEIGHBOURS nearest on either side, and matches extend to the
-    right and to the left; matches of `least` words count, and overlapping ones of a document are merged, which covers the
-    whole of longer passages. The sort is by ranges of suffix, document and position, so a passage that many documents share is
-    dealt over many tasks; the few rows at the ends of each range are compared once more across ranges.
+    are left out. Classes of up to NEIGHBOURS + 1 suffixes are sorted, each suffix is compared with the NEIGHBOURS nearest on
+    either side, which is its whole class, and matches extend to the right and to the left; matches of `least` words count. The
+    sort is by ranges of suffix, document and position; the few rows at the ends of each range are compared once more across ranges.
 
-    A class of up to NEIGHBOURS + 1 suffixes is compared in full. In larger ones a suffix meets those nearest in suffix order,
-    among which is one with its longest match to the right.
+    In larger classes every stretch of `least` words that starts at a suffix or up to window - 1 words before it is counted by its
+    64-bit hash; those of two or more documents count. Any match of `least` words around a suffix consists of such stretches, so
+    none is missed, and no pairs are made. Overlapping matches of a document are merged, which covers the whole of longer passages.
 
     Returns doc_id, start_word, end_word (exclusive, counted from 0), n_words, seen_in (the smallest id met that has a part of
-    it). Ids are integers. Repetition within one document alone does not count. Null and short texts have no rows; rows without
+    it; the document of the smallest id of a larger class meets the one of the greatest). Ids are integers. Repetition within one document alone does not count. Null and short texts have no rows; rows without
     id are left out; rows that repeat an id are one document. An empty table gives an empty result; other columns are ignored.
     """
     right = least - window + 1
     docs = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text")).where("doc_id is not null")
     anchors = cut(docs.mapInArrow(_anchors(window, k, right), "doc_id bigint, position bigint, class bigint"))
-    shared = cut(anchors.groupBy("class").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a < b").select("class"))
-    live = anchors.join(shared, "class", "left_semi").groupBy("doc_id").agg(F.array_sort(F.collect_set("position")).alias("positions"))
-    wide = docs.join(cut(live), "doc_id").select("doc_id", "text", "positions").mapInArrow(_contexts(window - 1, right, least), "doc_id bigint, position bigint, class bigint, after binary, before binary")
+    shared = anchors.groupBy("class").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b"), F.count("*").alias("n")).where("a < b")
+    shared = cut(shared.select("class", (F.col("n") > NEIGHBOURS + 1).alias("large")))
+    listed = lambda large: F.array_sort(F.collect_set(F.when(F.col("large") == large, F.col("position"))))
+    live = cut(anchors.join(shared, "class").groupBy("doc_id").agg(listed(False).alias("positions"), listed(True).alias("crowded")))
+    wide = docs.join(live.where(F.size("positions") > 0), "doc_id").select("doc_id", "text", "positions").mapInArrow(_contexts(window - 1, right, least), "doc_id bigint, position bigint, class bigint, after binary, before binary")
+    grams = cut(docs.join(live.where(F.size("crowded") > 0), "doc_id").select("doc_id", "text", "crowded").mapInArrow(_windows(least, window), "doc_id bigint, start bigint, gram bigint"))
+    common = cut(grams.groupBy("gram").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a < b"))
+    crowded = grams.join(common, "gram").select("doc_id", "start", (F.col("start") + least).alias("end"), F.when(F.col("a") == F.col("doc_id"), F.col("b")).otherwise(F.col("a")).alias("seen_in"))
     order = ["class", "after", "before", "doc_id", "position"]
     ranged = wide.repartitionByRange(*order).sortWithinPartitions(*order)
     kind = "doc_id bigint, start bigint, end bigint, seen_in bigint, position bigint, class bigint, after binary, before binary"
@@ -191,6 +218,7 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
 
     edges = met.where("start is null").select("doc_id", "position", "class", "after", "before").distinct()
     found = met.where("start is not null").select("doc_id", "start", "end", "seen_in").unionByName(edges.groupBy("class").applyInPandas(across, "doc_id bigint, start bigint, end bigint, seen_in bigint"))
+    found = found.unionByName(crowded)
     by = W.partitionBy("doc_id").orderBy("start", "end")
     before = F.max("end").over(by.rowsBetween(W.unboundedPreceding, -1))
     found = found.withColumn("new", F.when(F.col("start") <= before, 0).otherwise(1))

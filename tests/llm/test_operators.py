@@ -438,3 +438,24 @@ def test_repeated_passages(spark, docs, texts, empty):
     got = {(r.doc_id, x) for r in suffix_dedup.repeated_passages(docs).collect() for x in range(r.start_word, r.end_word)}
     assert got == want
     assert suffix_dedup.repeated_passages(empty).count() == 0
+
+
+def test_repeated_passages_in_large_classes(spark):
+    """Pairs of 55 common words whose last 40 stand in 60 documents, and one document that repeats a passage 30 times."""
+    rng = np.random.default_rng(5)
+    some = lambda n: [f"w{x}" for x in rng.integers(0, 1_000_000, n)]
+    words = {}
+    for p in range(8):
+        core, left = some(40), some(15)
+        for i in range(60):
+            words[100 * p + i] = some(30) + (left if i < 2 else some(15)) + core + some(70)
+    again = some(60)
+    words[900], words[901] = sum(([*again, *some(2)] for _ in range(30)), []), some(9) + again
+    seen = defaultdict(set)
+    for i, w in words.items():
+        for j in range(len(w) - 49):
+            seen[tuple(w[j : j + 50])].add(i)
+    want = {(i, x) for i, w in words.items() for j in range(len(w) - 49) if len(seen[tuple(w[j : j + 50])]) > 1 for x in range(j, j + 50)}
+    got = suffix_dedup.repeated_passages(spark.createDataFrame([(i, " ".join(w)) for i, w in words.items()], "doc_id long, text string")).collect()
+    assert {(r.doc_id, x) for r in got for x in range(r.start_word, r.end_word)} == want
+    assert {(r.doc_id, r.seen_in) for r in got} == {(100 * p + i, 100 * p + 1 - i) for p in range(8) for i in range(2)} | {(900, 901), (901, 900)}
