@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -12,11 +11,12 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lodestone.functions.vectors import dot, unit
+from lodestone.plans.scratch import fresh
 from lodestone.plans.views import SQL_GALLERY, gallery
 from lodestone.registry import query
 
-#: A report's stated queries: the first rows of the table.
-QUERIES = 20
+#: A report's stated queries: every row whose id is divisible by this, against all rows.
+EVERY = 20
 #: Queries that the driver and each task hold at once, and those of one matrix product.
 BLOCK, STEP = 4096, 256
 SQL_DOT = "list_sum(list_transform(generate_series(1, 64), lambda i: a.v[i] * b.v[i]))"
@@ -35,7 +35,7 @@ def topk(rows: DataFrame, asked: DataFrame, k: int) -> DataFrame:
     if len(held) <= BLOCK:
         return _block(rows, held, k)
     spark, n = rows.sparkSession, -(-asked.count() // (BLOCK // 2))  # half full on average, as ids are dealt by hash
-    path = f"{spark.conf.get('spark.checkpoint.dir', None) or '/tmp/checkpoints'}/lodestone/{uuid.uuid4().hex}"
+    path = fresh(spark)
     for i in range(n):
         held = asked.where(F.pmod(F.xxhash64("query_id"), F.lit(n)) == i).collect()
         _block(rows, held, k).write.mode("append").parquet(path)
@@ -68,7 +68,7 @@ def _block(rows: DataFrame, held: list, k: int) -> DataFrame:
     return found.withColumn("place", place.cast("bigint")).where(F.col("place") <= k)
 
 
-SQL_TOP = f"""{SQL_GALLERY}, q AS (SELECT vec_id AS query_id, label, v FROM gallery WHERE vec_id < {QUERIES}),
+SQL_TOP = f"""{SQL_GALLERY}, q AS (SELECT vec_id AS query_id, label, v FROM gallery WHERE vec_id % {EVERY} = 0),
 scored AS (SELECT a.query_id, a.label AS query_label, b.vec_id, b.label, round({SQL_DOT}, 6) AS score FROM q a, gallery b WHERE a.query_id <> b.vec_id),
 top AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS place FROM scored QUALIFY place <= 50)"""
 
@@ -76,7 +76,7 @@ top AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC,
 def retrieved(spark: SparkSession, sf_dir: str, k: int) -> DataFrame:
     """The stated queries' top rows other than themselves, with both labels."""
     g = gallery(spark, sf_dir)
-    asked = g.where(F.col("vec_id") < QUERIES)
+    asked = g.where(F.col("vec_id") % EVERY == 0)
     found = topk(g, asked.select(F.col("vec_id").alias("query_id"), "v"), k + 1).where("query_id <> vec_id")
     place = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")).cast("bigint")
     found = found.withColumn("place", place).where(F.col("place") <= k)
@@ -89,10 +89,10 @@ def vector_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return retrieved(spark, sf_dir, 10).select("query_id", "vec_id", "score", "place")
 
 
-@query(f"WITH {SQL_TOP} SELECT query_id // 2 AS request, label, max(score) AS best, count(DISTINCT query_id) AS hits FROM top WHERE place <= 30 GROUP BY ALL")
+@query(f"WITH {SQL_TOP} SELECT query_id // 40 AS request, label, max(score) AS best, count(DISTINCT query_id) AS hits FROM top WHERE place <= 30 GROUP BY ALL")
 def vector_maxpool(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two variants a request, each with its own row budget: best score of each category and the number of variants it came up in."""
-    return retrieved(spark, sf_dir, 30).groupBy(F.floor(F.col("query_id") / 2).alias("request"), "label").agg(F.max("score").alias("best"), F.countDistinct("query_id").alias("hits"))
+    return retrieved(spark, sf_dir, 30).groupBy(F.floor(F.col("query_id") / (2 * EVERY)).alias("request"), "label").agg(F.max("score").alias("best"), F.countDistinct("query_id").alias("hits"))
 
 
 @query(f"WITH {SQL_TOP}, w AS (SELECT query_id, vec_id, round(score * CASE WHEN vec_id % 4 = 0 THEN 0.9 ELSE 1.0 END, 6) AS score FROM top WHERE place <= 30) SELECT query_id, vec_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS place FROM w QUALIFY place <= 10")
@@ -146,7 +146,7 @@ def query_expansion(spark: SparkSession, sf_dir: str) -> DataFrame:
     g = gallery(spark, sf_dir)
     near = retrieved(spark, sf_dir, 3).select("query_id", "vec_id", F.pow(F.greatest("score", F.lit(0.0)), F.lit(3.0)).alias("w")).join(g.select("vec_id", "v"), "vec_id")
     e = near.select("query_id", F.posexplode("v").alias("pos", "x"), "w").select("query_id", "pos", (F.col("x") * F.col("w")).alias("x"))
-    e = e.unionByName(g.where(F.col("vec_id") < QUERIES).select(F.col("vec_id").alias("query_id"), F.posexplode("v").alias("pos", "x")))
+    e = e.unionByName(g.where(F.col("vec_id") % EVERY == 0).select(F.col("vec_id").alias("query_id"), F.posexplode("v").alias("pos", "x")))
     s = e.groupBy("query_id", "pos").agg(F.sum("x").alias("x"))
     return s.select("query_id", (F.col("pos") + 1).cast("bigint").alias("pos"), F.round(F.col("x") / (F.sqrt(F.sum(F.col("x") * F.col("x")).over(W.partitionBy("query_id"))) + 1e-8), 5).alias("x"))
 

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 
 import pandas as pd
@@ -10,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from lodestone.plans.scratch import fresh
 from lodestone.registry import query
 
 #: Most lines of a cart and most pieces of a line.
@@ -17,11 +17,6 @@ CART_LINES, LINE_PIECES = 50, 999
 CART = "user_id bigint, lines int, pieces bigint, placed bigint"
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """A fresh path in the folder that spark.checkpoint.dir names, or in /tmp/checkpoints where it names none."""
-    return f"{spark.conf.get('spark.checkpoint.dir', None) or '/tmp/checkpoints'}/stream-{uuid.uuid4().hex}"
-
-
 def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The event table as a stream of files."""
     schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
@@ -30,7 +25,7 @@ def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def drained(stream: DataFrame, mode: str) -> DataFrame:
     """Runs the stream over what is there, into parquet of the shared folder, and reads that."""
-    spark, path = stream.sparkSession, shared_folder(stream.sparkSession)
+    spark, path = stream.sparkSession, fresh(stream.sparkSession)
     stream.writeStream.format("parquet").outputMode(mode).option("path", f"{path}/out").option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start().awaitTermination()
     return spark.read.schema(stream.schema).parquet(f"{path}/out")
 
