@@ -46,15 +46,15 @@ def cut(df: DataFrame) -> DataFrame:
 
 
 @contextlib.contextmanager
-def temporary(spark: SparkSession) -> Iterator[None]:
-    """Tables cut inside are deleted at the end; whatever is still to be read must be written before."""
+def temporary(spark: SparkSession, keep: bool = False) -> Iterator[None]:
+    """Tables cut inside are deleted at the end; whatever is still to be read must be written before, inside one more with keep."""
     token = _WRITTEN.set([])
     try:
         yield
     finally:
         written = _WRITTEN.get()
         _WRITTEN.reset(token)
-        for path in written:
+        for path in [] if keep else written:
             fs, p = _files(spark, path)
             fs.delete(p, True)
 
