@@ -9,19 +9,22 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lodestone.llm.shared import cut, mix, seeds, steps, words
 
 #: Fixed value: the vocabulary's mark of a word start.
 MARK = "▁"
-#: A longer word is scored as consecutive parts of so many characters; parts keep probabilities above what a double holds.
-PART = 32
+#: Words of up to so many characters are scored many at a time, in plain numbers that a double holds; longer ones one by one, in logarithms.
+SHORT = 32
+#: Characters of a long word whose pieces are looked up in one step.
+STRETCH = 20_000
 #: Probability of a character that no piece covers, and least probability of a piece.
 FLOOR = 1e-7
 #: Bytes of text that one step takes; distinct words are scored once a step.
 STEP = 6_000_000
-_ODD = seeds(PART + 1, 7) | np.uint64(1)
+_ODD = seeds(256, 7) | np.uint64(1)
 
 
 @dataclass
@@ -39,7 +42,6 @@ def vocabulary(path: str) -> tuple[np.ndarray, np.ndarray, int]:
 
     s = sentencepiece.SentencePieceProcessor(model_file=path)
     pieces = sorted({s.id_to_piece(i) for i in range(s.get_piece_size()) if not (s.is_control(i) or s.is_unknown(i) or s.is_byte(i))} - {""})
-    pieces = [p for p in pieces if len(p) <= PART]
     hashes = np.sort(np.concatenate([_hash(codes) for _, codes in _by_length(pieces)]))
     slots = np.full(1 << 22, -1, dtype=np.int32)
     slots[(hashes >> np.uint64(42))[::-1]] = np.arange(len(hashes), dtype=np.int32)[::-1]
@@ -103,14 +105,80 @@ def _by_length(texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
             yield part, np.array([texts[j] for j in part], dtype=f"U{n}").view(np.uint32).reshape(len(part), n)
 
 
+def _tails(codes: np.ndarray, path: str, low: int, high: int) -> np.ndarray:
+    """Pieces of the stretches of one word that end after characters low to high - 1: (high - low, greatest length), numbered
+    as by _arcs; column n is for stretches of n + 1 characters."""
+    hashes, slots, most = vocabulary(path)
+    none = len(hashes) + 1
+    out = np.full((high - low, most), none, dtype=np.int64)
+    first = max(0, low - most + 1)
+    sums = np.zeros(high - first, dtype=np.uint64)
+    plain = codes[first:high].astype(np.uint64) + np.uint64(1)
+    for n in range(1, min(most, high - first) + 1):
+        sums = sums[: high - first - n + 1] + plain[n - 1 :] * _ODD[n - 1]
+        at, place = _pieces(mix(sums + np.uint64(n)), hashes, slots)
+        end = at + first + n - 1
+        fine = end >= low
+        out[end[fine] - low, n - 1] = place[fine]
+    out[out[:, 0] == none, 0] = none - 1
+    return out
+
+
+def _sum_logs(x: np.ndarray) -> np.ndarray:
+    """log of the sum of exp over the last axis."""
+    top = x.max(axis=-1, keepdims=True)
+    return top[..., 0] + np.log(np.exp(x - top).sum(axis=-1))
+
+
+def _long_forward(codes: np.ndarray, logs: np.ndarray, path: str) -> np.ndarray:
+    """_forward of one word of any length in logarithms: (length + 1, languages); logs: (languages, pieces + 2)."""
+    most = vocabulary(path)[2]
+    a = np.full((most + len(codes) + 1, len(logs)), -np.inf)  # the row of a beginning of n characters is most + n
+    a[most] = 0
+    for low in range(0, len(codes), STRETCH):
+        high = min(low + STRETCH, len(codes))
+        arcs = logs[:, _tails(codes, path, low, high)]
+        for i in range(low, high):
+            a[most + i + 1] = _sum_logs(a[i + 1 : i + 1 + most][::-1].T + arcs[:, i - low])
+    return a[most:]
+
+
+def _long_expected(codes: np.ndarray, logs: np.ndarray, path: str) -> tuple[np.ndarray, np.ndarray]:
+    """(pieces, expected counts) of one word under one language, forward and backward; logs: (pieces + 2,)."""
+    most = vocabulary(path)[2]
+    a = _long_forward(codes, logs[None], path)[:, 0]
+    b = np.full(len(codes) + 1, -np.inf)
+    b[-1] = 0
+    pieces, counts = [], []
+    for high in range(len(codes), 0, -STRETCH):
+        low = max(0, high - STRETCH)
+        tails = _tails(codes, path, low, high)
+        for i in range(high - 1, low - 1, -1):  # the stretches that end after character i; b[i + 1] is whole by then
+            n = min(most, i + 1)
+            own = logs[tails[i - low, :n]] + b[i + 1]
+            starts = i - np.arange(n)
+            b[starts] = np.logaddexp(b[starts], own)
+            pieces.append(tails[i - low, :n])
+            counts.append(np.exp(a[starts] + own - a[-1]))
+    return np.concatenate(pieces), np.concatenate(counts)
+
+
+def _codes(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le"), dtype=np.uint32)
+
+
 def log_probabilities(texts: list[str], model: Model, path: str) -> np.ndarray:
     """(words, languages): log of the probability of each word, summed over all segmentations into pieces."""
-    parts = [(i, (MARK + t)[j : j + PART]) for i, t in enumerate(texts) for j in range(0, len(t) + 1, PART)]
+    marked = [MARK + t for t in texts]
     out = np.zeros((len(texts), len(model.langs)))
-    owner = np.array([i for i, _ in parts], dtype=np.int64)
-    for place, codes in _by_length([t for _, t in parts]):
-        total = _forward(codes, _arcs(codes, path), model.p)[-1]
-        np.add.at(out, owner[place], np.log(total.T + 1e-300))
+    short = np.array([i for i, t in enumerate(marked) if len(t) <= SHORT], dtype=np.int64)
+    for place, codes in _by_length([marked[i] for i in short]):
+        out[short[place]] = np.log(_forward(codes, _arcs(codes, path), model.p)[-1].T)
+    with np.errstate(divide="ignore"):
+        logs = np.log(model.p)
+    for i, t in enumerate(marked):
+        if len(t) > SHORT:
+            out[i] = _long_forward(_codes(t), logs, path)[-1]
     return out
 
 
@@ -127,10 +195,10 @@ def _texts(data: np.ndarray, spans: list[tuple[int, int]]) -> list[str]:
 
 
 class Known:
-    """Scores of words met before in this task, by hash: at most `most` words, then it starts anew."""
+    """Scores of words met before in this task, by hash: at most about `most_bytes` of them, then it starts anew."""
 
-    def __init__(self, model: Model, path: str, most: int = 1_000_000):
-        self.model, self.path, self.most = model, path, most
+    def __init__(self, model: Model, path: str, most_bytes: int = 16_000_000):
+        self.model, self.path, self.most = model, path, most_bytes // (8 + 8 * max(1, len(model.langs)))
         self.hashes, self.logs = np.zeros(0, dtype=np.uint64), np.zeros((0, len(model.langs)))
 
     def of(self, kinds: np.ndarray, data: np.ndarray, spans: list[tuple[int, int]]) -> np.ndarray:
@@ -168,12 +236,14 @@ def _expected(p: np.ndarray | None, langs: int, path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         size = len(vocabulary(path)[0]) + 2
         total = np.zeros((langs, size))
+        with np.errstate(divide="ignore"):
+            logs = None if p is None else np.log(p)
         for batch in batches:
             lang, n = np.array(batch.column(0)), np.array(batch.column(2)).astype(float)
-            parts = [(i, (MARK + t)[j : j + PART]) for i, t in enumerate(batch.column(1).to_pylist()) for j in range(0, len(t) + 1, PART)]
-            owner = np.array([i for i, _ in parts], dtype=np.int64)
-            for place, codes in _by_length([t for _, t in parts]):
-                own, times = lang[owner[place]], n[owner[place]]
+            marked = [MARK + t for t in batch.column(1).to_pylist()]
+            short = np.array([i for i, t in enumerate(marked) if len(t) <= SHORT], dtype=np.int64)
+            for place, codes in _by_length([marked[i] for i in short]):
+                own, times = lang[short[place]], n[short[place]]
                 arcs = _arcs(codes, path)
                 if p is not None:
                     mine, each = p, own
@@ -183,26 +253,39 @@ def _expected(p: np.ndarray | None, langs: int, path: str):
                         a[high] += a[low] * mine[each, ids]
                     for low, high, ids in sorted(arcs, key=lambda x: -x[0]):
                         b[low] += b[high] * mine[each, ids]
-                    whole = a[-1] + 1e-300
-                shares = [times * (high - low) if p is None else times * a[low] * mine[each, ids] * b[high] / whole for low, high, ids in arcs]
+                    whole = a[-1]
+                weights = [times * (high - low) if p is None else times * a[low] * mine[each, ids] * b[high] / whole for low, high, ids in arcs]
                 cells = np.concatenate([own * size + ids for _, _, ids in arcs])
-                total += np.bincount(cells, weights=np.concatenate(shares), minlength=langs * size).reshape(langs, size)
+                total += np.bincount(cells, weights=np.concatenate(weights), minlength=langs * size).reshape(langs, size)
+            for i, t in enumerate(marked):
+                if len(t) <= SHORT:
+                    continue
+                if p is None:
+                    codes = _codes(t)
+                    for low in range(0, len(codes), STRETCH):
+                        tails = _tails(codes, path, low, min(low + STRETCH, len(codes)))
+                        total[lang[i]] += np.bincount(tails.ravel(), weights=np.tile(n[i] * np.arange(1, tails.shape[1] + 1), len(tails)), minlength=size)
+                else:
+                    pieces, counts = _long_expected(_codes(t), logs[lang[i]], path)
+                    total[lang[i]] += n[i] * np.bincount(pieces, weights=counts, minlength=size)
         at = np.flatnonzero(total.reshape(-1))
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total.reshape(-1)[at])], names=["cell", "n"])
 
     return run
 
 
-def fit(docs: DataFrame, path: str, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", max_docs: int = 12_000, rounds: int = 3) -> Model:
+def fit(docs: DataFrame, path: str, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", max_docs: int = 3_000, rounds: int = 3) -> Model:
     """Probabilities of the pieces of a fixed vocabulary for each language, by expectation maximisation over all segmentations.
 
-    Learns from whole texts of at most max_docs rows with text and language, those of the smallest hash of their id. Words are
-    counted by language, then every round is one pass over the word counts and sums expected counts of pieces, so the driver
-    gets languages times pieces at most. No such rows: a model without languages.
+    Learns from whole texts of at most max_docs ids of each language, those of the smallest hash, so that rare languages are
+    learnt too. Words are counted by language, then every round is one pass over the word counts and sums expected counts of
+    pieces, so the driver gets languages times pieces at most. Rows without text, language or id are left out; no others: a
+    model without languages.
     """
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).where("text is not null and lang is not null and id is not null")
-    picked = cut(rows.select("id").orderBy(F.xxhash64("id"), "id").limit(max_docs).distinct())
-    rows = cut(rows.join(F.broadcast(picked), "id", "left_semi"))  # at most max_docs ids
+    place = F.row_number().over(W.partitionBy("lang").orderBy(F.xxhash64("id"), "id"))
+    picked = cut(rows.select("id", "lang").distinct().withColumn("place", place).where(F.col("place") <= max_docs).select("id", "lang"))
+    rows = cut(rows.join(picked, ["id", "lang"], "left_semi"))
     langs = sorted(r[0] for r in rows.select("lang").distinct().collect())
     size = len(vocabulary(path)[0]) + 2
     if not langs:

@@ -16,13 +16,16 @@ TYPE_SIZE = {1: 1, 2: 1, 3: 2, 4: 4, 5: 8, 6: 1, 7: 1, 8: 2, 9: 4, 10: 8, 11: 4,
 TYPE_CODE = {1: "B", 3: "H", 4: "I", 6: "b", 8: "h", 9: "i", 11: "f", 12: "d", 13: "I"}
 WIDTH, HEIGHT, BITS, COMPRESSION, PHOTOMETRIC, STRIP_OFFSETS, SAMPLES, ROWS_PER_STRIP, STRIP_COUNTS, PLANAR, PREDICTOR, TILE_WIDTH, TILE_HEIGHT, TILE_OFFSETS, TILE_COUNTS, FORMAT = 256, 257, 258, 259, 262, 273, 277, 278, 279, 284, 317, 322, 323, 324, 325, 339
 NONE, LZW, DEFLATE, PACKBITS, OLD_DEFLATE = 1, 5, 8, 32773, 32946
+#: The most bytes of pixels that one stored byte can stand for.
+MOST_GROWTH = {NONE: 1, PACKBITS: 64, LZW: 2730, DEFLATE: 1032, OLD_DEFLATE: 1032}
 #: Bytes of pixels that one output batch holds, or one page.
 BATCH_BYTES = 4_000_000
 
 
-def unpack_bits(data: bytes) -> bytes:
+def unpack_bits(data: bytes, need: int) -> bytes:
+    """At least the first `need` bytes, where there are as many."""
     out, i = bytearray(), 0
-    while i < len(data):
+    while i < len(data) and len(out) < need:
         n = data[i]
         i += 1
         if n < 128:
@@ -34,8 +37,8 @@ def unpack_bits(data: bytes) -> bytes:
     return bytes(out)
 
 
-def unpack_lzw(data: bytes) -> bytes:
-    """Codes of 9 to 12 bits, high bit first; the width grows one code early."""
+def unpack_lzw(data: bytes, need: int) -> bytes:
+    """At least the first `need` bytes, where there are as many. Codes of 9 to 12 bits, high bit first; the width grows one code early."""
     out, table, last = bytearray(), [bytes([i]) for i in range(256)] + [b"", b""], None
     held = bits = 0
     width = 9
@@ -43,6 +46,8 @@ def unpack_lzw(data: bytes) -> bytes:
         held, bits = held << 8 | byte, bits + 8
         if bits < width:
             continue
+        if len(out) >= need:
+            break
         bits -= width
         code, held = held >> bits, held & ((1 << bits) - 1)
         if code == 257:
@@ -64,15 +69,15 @@ def unpack_lzw(data: bytes) -> bytes:
     return bytes(out)
 
 
-def _decoded(data: bytes, compression: int) -> bytes:
+def _decoded(data: bytes, compression: int, need: int) -> bytes:
     if compression == NONE:
         return data
     if compression == PACKBITS:
-        return unpack_bits(data)
+        return unpack_bits(data, need)
     if compression == LZW:
-        return unpack_lzw(data)
+        return unpack_lzw(data, need)
     if compression in (DEFLATE, OLD_DEFLATE):
-        return zlib.decompress(data)
+        return zlib.decompressobj().decompress(data, need)
     raise ValueError(f"compression {compression}")
 
 
@@ -97,7 +102,8 @@ def read_pages(data: bytes) -> Iterator[dict]:
     """The pages of a TIFF file: page, width, height, samples, bits, pixels (rows of interleaved samples, little-endian).
 
     Walks the chain of image directories; decodes plain, PackBits, LZW and deflate strips and tiles of 8, 16, 32 or 64 bits a
-    sample, planes together or apart, and undoes horizontal and floating-point predictors. Raises ValueError on anything else.
+    sample, planes together or apart, and undoes horizontal and floating-point predictors. Raises ValueError on anything else, before
+    memory is taken for more pixels than the file's bytes can stand for.
     """
     try:
         order = {b"II": "<", b"MM": ">"}[data[:2]]
@@ -112,7 +118,7 @@ def read_pages(data: bytes) -> Iterator[dict]:
             fields, at = _directory(data, at, order)
             yield {"page": page} | _page(data, fields, order)
             page += 1
-    except (KeyError, struct.error, zlib.error, IndexError) as e:
+    except (KeyError, struct.error, zlib.error, IndexError, TypeError) as e:
         raise ValueError(f"not a readable TIFF: {e!r}") from e
 
 
@@ -142,6 +148,13 @@ def _page(data: bytes, f: dict[int, list], order: str) -> dict:
         high, wide, offsets, counts = f[TILE_HEIGHT][0], f[TILE_WIDTH][0], f[TILE_OFFSETS], f[TILE_COUNTS]
     else:
         high, wide, offsets, counts = min(f.get(ROWS_PER_STRIP, [height])[0], height), width, f[STRIP_OFFSETS], f[STRIP_COUNTS]
+    if min(width, height, samples, high, wide) < 1 or samples > len(depths) > 1:
+        raise ValueError(f"a page of {width} x {height} x {samples} in blocks of {wide} x {high}")
+    blocks = -(-width // wide) * -(-height // high) * (samples if apart else 1)
+    if blocks > min(len(offsets), len(counts)):
+        raise ValueError(f"{blocks} blocks, {len(offsets)} places")
+    if width * height * samples * bits // 8 > MOST_GROWTH.get(compression, 1) * len(data):
+        raise ValueError("more pixels than the file can hold")
     in_block, size = 1 if apart else samples, bits // 8
     out = np.zeros((height, width, samples * size), dtype=np.uint8)
     across, down = -(-width // wide), -(-height // high)
@@ -149,7 +162,8 @@ def _page(data: bytes, f: dict[int, list], order: str) -> dict:
         plane, place = divmod(k, across * down)
         top, left = place // across * high, place % across * wide
         rows = high if TILE_OFFSETS in f else min(high, height - top)
-        block = _block(_decoded(data[offsets[k] : offsets[k] + counts[k]], compression), rows, wide, in_block, bits, predictor, order)
+        need = rows * wide * in_block * size
+        block = _block(_decoded(data[offsets[k] : offsets[k] + counts[k]], compression, need), rows, wide, in_block, bits, predictor, order)
         target = out[top : top + rows, left : left + wide, plane * size : plane * size + in_block * size]
         target[:] = block[: target.shape[0], : target.shape[1]]
     return {"width": width, "height": height, "samples": samples, "bits": bits, "pixels": out.tobytes()}

@@ -46,20 +46,25 @@ def _signatures(k: int, m: int, r: int):
 
 
 def _sets(k: int):
+    """Full sets of the wanted texts: rows (id, text, node, digest) whose set has that digest."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            wanted = batch.column(3).to_pylist()
             for low, high, data, offsets in steps(batch.column(1)):
                 hashes, rows, _, _ = words(data, offsets)
                 sets, ends = shingles(hashes, rows, high - low, k)
                 grouped = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(sets.view(np.int64)))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(low, high - low), grouped], names=["doc_id", "shingles"])
+                right = pa.array([blake2b(sets[a:b].tobytes(), digest_size=16).digest() == wanted[low + i] for i, (a, b) in enumerate(zip(ends[:-1], ends[1:], strict=True))], pa.bool_())
+                own = pa.RecordBatch.from_arrays([batch.column(2).slice(low, high - low), grouped], names=["node", "shingles"])
+                yield own.filter(right)
 
     return run
 
 
 def _met(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """pairs (u, v) with their full sets x and y and the size i of what they share."""
-    x, y = sets.select(F.col("doc_id").alias("u"), F.col("shingles").alias("x")), sets.select(F.col("doc_id").alias("v"), F.col("shingles").alias("y"))
+    x, y = sets.select(F.col("node").alias("u"), F.col("shingles").alias("x")), sets.select(F.col("node").alias("v"), F.col("shingles").alias("y"))
     both = pairs.join(x.hint("merge"), "u").join(y.hint("merge"), "v")
     return both.withColumn("i", F.size(F.array_intersect("x", "y")).cast("long"))
 
@@ -112,9 +117,10 @@ def _marks(groups: DataFrame, percent: int) -> tuple[DataFrame, DataFrame, DataF
     return own, own.select("u", "v").join(best.drop("least"), "u").where("v <> best"), marks
 
 
-def _full_sets(docs: DataFrame, ids: DataFrame, k: int) -> DataFrame:
-    picked = docs.join(ids.hint("merge"), "doc_id", "left_semi")  # the same plan at every size
-    return picked.mapInArrow(_sets(k), f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, shingles array<bigint>").dropDuplicates(["doc_id"])
+def _full_sets(docs: DataFrame, nodes: DataFrame, k: int) -> DataFrame:
+    """(node, shingles) of nodes (node, doc_id, digest)."""
+    picked = docs.join(nodes.hint("merge"), "doc_id").select("doc_id", "text", "node", "digest")  # the same plan at every size
+    return picked.mapInArrow(_sets(k), "node bigint, shingles array<bigint>").dropDuplicates(["node"])
 
 
 def _pairs_of(keys: Column) -> Column:
@@ -139,22 +145,24 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     two comparisons a node and a few for common edits, and no link between nodes that meet in a bucket is lost.
 
     Returns doc_id, n_shingles, component_id, kept. A document with fewer than k words has its whole sequence as one
-    shingle; one without words or text has none and is linked with nothing. Rows that repeat an id with the same text
-    share their result. A row without id gets its group's component, or null, and is not kept. An empty table gives an empty
-    result; other columns are ignored.
+    shingle; one without words or text has none and is linked with nothing. Rows that repeat an id are documents of their
+    own and share their result where their texts are equal. A row without id gets its group's component, or null, and is not
+    kept. An empty table gives an empty result; other columns are ignored. Runs jobs while the plan is built.
     """
     m = collections_for(percent / 100, rows)
     docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     kind = docs.schema["doc_id"].dataType.simpleString()
     marked = cut(docs.mapInArrow(_signatures(k, m, rows), f"doc_id {kind}, n_shingles bigint, digest binary, keys array<bigint>"))
-    nodes = cut(marked.where("n_shingles > 0 and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("doc_id"), F.min_by("keys", "doc_id").alias("keys")))
-    single = nodes.select("doc_id", F.explode("keys").alias("key"))
-    shared = cut(single.groupBy("key").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a < b").select("key"))
-    live = single.join(shared, "key", "left_semi").groupBy("doc_id").agg(F.array_sort(F.collect_list("key")).alias("keys")).where(F.size("keys") > 1)
-    tables = cut(live.select("doc_id", F.explode(_pairs_of(F.col("keys"))).alias("key")))
-    heads = cut(tables.groupBy("key").agg(F.min("doc_id").alias("u"), F.max("doc_id").alias("last")).where("u < last").select("key", "u"))
-    star = cut(tables.join(heads, "key").where("doc_id > u").select("u", F.col("doc_id").alias("v")).distinct())
-    sets = cut(_full_sets(docs, star.select(F.explode(F.array("u", "v")).alias("doc_id")).distinct(), k))
+    nodes = marked.where("n_shingles > 0 and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("doc_id"), F.min_by("keys", "doc_id").alias("keys"))
+    nodes = cut(nodes.withColumn("node", F.monotonically_increasing_id()))
+    single = nodes.select("node", F.explode("keys").alias("key"))
+    shared = cut(single.groupBy("key").agg(F.min("node").alias("a"), F.max("node").alias("b")).where("a < b").select("key"))
+    live = single.join(shared, "key", "left_semi").groupBy("node").agg(F.array_sort(F.collect_list("key")).alias("keys")).where(F.size("keys") > 1)
+    tables = cut(live.select("node", F.explode(_pairs_of(F.col("keys"))).alias("key")))
+    heads = cut(tables.groupBy("key").agg(F.min("node").alias("u"), F.max("node").alias("last")).where("u < last").select("key", "u"))
+    star = cut(tables.join(heads, "key").where("node > u").select("u", F.col("node").alias("v")).distinct())
+    wanted = cut(star.select(F.explode(F.array("u", "v")).alias("node")).distinct())
+    sets = cut(_full_sets(docs, nodes.select("node", "doc_id", "digest").join(wanted, "node"), k))
     first = _met(star, sets).withColumns({"linked": _linked(percent), "x_size": F.size("x"), "added": F.array_except("y", "x"), "missing": F.array_except("x", "y")})
     first = cut(first.select("u", "v", "linked", "x_size", "added", "missing"))
     links = first.where("linked").select("u", "v")
@@ -179,7 +187,9 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     across = x.join(y, (F.col("x.mark") == F.col("y.mark")) & (F.col("x.component") < F.col("y.component")) & (100 * i >= percent * union))
     second = across.select(F.least("x.v", "y.v").alias("u"), F.greatest("x.v", "y.v").alias("v"))
     merged = connected_components(links.unionByName(second))
-    grouped = cut(nodes.select("digest", "doc_id").join(merged, F.col("doc_id") == F.col("node"), "left").select("digest", F.coalesce("component", "doc_id").alias("component_id")))
+    grouped = cut(nodes.select("digest", "doc_id", "node").join(merged.withColumnRenamed("node", "n"), F.col("node") == F.col("n"), "left").select("digest", "doc_id", "component"))
+    least = cut(grouped.where("component is not null").groupBy("component").agg(F.min("doc_id").alias("component_id")))
+    grouped = cut(grouped.join(least, "component", "left").select("digest", F.coalesce("component_id", "doc_id").alias("component_id")))
     out = marked.join(grouped, "digest", "left")
     component = F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(False)).alias("kept"))

@@ -12,6 +12,8 @@ from lodestone.llm.shared import cut
 #: Fixed value: a word is a run of anything but these.
 WORD = r"[^\x20\x09-\x0D]+"
 _MASK = (1 << 64) - 1
+#: What makes rows alike: they can change places without a trace in the result.
+ALIKE = ["doc_id", "source", "size"]
 
 
 def _draw(*parts: int) -> float:
@@ -24,9 +26,10 @@ def _draw(*parts: int) -> float:
     return (x >> 11) / (1 << 53)
 
 
-def pivotal(keys: list[int], shares: list[float], seed: int) -> list[float]:
-    """Pairs fractional shares in order and moves mass within a pair, at random but keeping every expectation, until one of
-    the two is integral; the other meets the next. At most one share stays fractional; the sum stays as it was."""
+def pivotal(keys: list[int], sizes: list[int], shares: list[float], seed: int) -> list[float]:
+    """Pairs fractional shares in order and moves words within a pair, at random but keeping every expectation, until one of
+    the two is integral; the other meets the next. The words that the shares stand for stay as they were; at most one share
+    stays fractional."""
     out, held = list(shares), None
     for i, p in enumerate(shares):
         if not 1e-9 < p < 1 - 1e-9:
@@ -35,17 +38,13 @@ def pivotal(keys: list[int], shares: list[float], seed: int) -> list[float]:
         if held is None:
             held = i
             continue
-        a, b, u = out[held], p, _draw(seed, keys[held], keys[i], i)
-        both = a + b
-        if both < 1 - 1e-9:
-            win, lose = (held, i) if u * both < a else (i, held)
-            out[win], out[lose], held = both, 0.0, win
-        elif both > 1 + 1e-9:
-            win, lose = (held, i) if u * (2 - both) < 1 - b else (i, held)
-            out[win], out[lose], held = 1.0, both - 1, lose
-        else:
-            win, lose = (held, i) if u < a else (i, held)
-            out[win], out[lose], held = 1.0, 0.0, None
+        a, s, t = out[held], sizes[held], sizes[i]
+        up, down = min((1 - a) * s, p * t), min(a * s, (1 - p) * t)  # words that the held one can gain or give
+        moved = up if _draw(seed, keys[held], keys[i], i) * (up + down) < down else -down
+        for k, share in ((held, a + moved / s), (i, p - moved / t)):
+            out[k] = float(round(share)) if min(share, 1 - share) < 1e-9 else share
+        left = [k for k in (held, i) if 0 < out[k] < 1]
+        held = left[0] if left else None
     return out
 
 
@@ -54,7 +53,7 @@ def targets(totals: DataFrame, weights: tuple[float, ...], cap: float) -> DataFr
 
     All sizes together are shared by weight; a target stops at cap times its source's size and the excess is shared again,
     which comes to one level: target = least(cap * size, level * weight). Sorted by where they stop, the level is the
-    greatest of what is left to share over the weight that is left.
+    greatest of what is left to share over the weight that is left. One task sorts the sources, a row each.
     """
     number = F.row_number().over(W.orderBy(F.col("source").asc_nulls_last())) - 1
     own = totals.withColumn("source_no", number).withColumn("w", F.element_at(F.array(*[F.lit(float(w)) for w in weights]), F.pmod("source_no", F.lit(len(weights))) + 1))
@@ -66,73 +65,70 @@ def targets(totals: DataFrame, weights: tuple[float, ...], cap: float) -> DataFr
     return own.select("source", "source_size", "source_no", F.least("most", F.max("level").over(every) * F.col("w")).alias("target"))
 
 
-def settle(sizes: list[int], shares: list[float], owed: float) -> list[float]:
-    """Rounds the last shares, from the largest size to the smallest: each goes to the side nearer to its share once the
-    words still owed are moved onto it, and what it then gives too much or too little is owed by the next."""
-    out = []
-    for size, p in zip(sizes, shares, strict=True):
-        out.append(1.0 if p + owed / size >= 0.5 else 0.0)
-        owed += size * (p - out[-1])
-    return out
-
-
 def _round(rows: pd.DataFrame, seed: int) -> pd.DataFrame:
     rows = rows.sort_values(["size", "tag"], ascending=[False, True], kind="stable")
-    return rows.assign(p=pivotal(rows["tag"].tolist(), rows["p"].tolist(), seed))
+    return rows.assign(p=pivotal(rows["tag"].tolist(), rows["size"].tolist(), rows["p"].tolist(), seed))
 
 
-def _settle(rows: pd.DataFrame) -> pd.DataFrame:
-    rows = rows.sort_values(["size", "tag"], ascending=[False, True], kind="stable")
-    return rows.assign(p=settle(rows["size"].tolist(), rows["p"].tolist(), float(rows["owed"].iloc[0])))[["tag", "p"]]
+def _grouped(rows: DataFrame, most: int, seed: int) -> DataFrame:
+    """Rounds within groups of about `most` rows: those of one source are dealt by hash to as many chunks as that takes."""
+    sizes = cut(rows.groupBy("source_no").agg(F.ceil(F.count("*") / most).alias("chunks")))
+    dealt = rows.join(sizes, "source_no").withColumn("chunk", F.pmod(F.xxhash64("tag", F.lit(seed)), F.col("chunks"))).drop("chunks")
+    return cut(dealt.groupBy("source_no", "chunk").applyInPandas(lambda rows: _round(rows, seed), dealt.schema))
 
 
-def _grouped(rows: DataFrame, most: int, seed: int) -> DataFrame:
-    """Rounds within groups of about `most` rows: those of one source and bucket are dealt by hash to as many chunks as that takes."""
-    by = ["source_no", "bucket"]
-    sizes = cut(rows.groupBy(*by).agg(F.ceil(F.count("*") / most).alias("chunks")))
-    dealt = rows.join(sizes, by).withColumn("chunk", F.pmod(F.xxhash64("tag", F.lit(seed)), F.col("chunks"))).drop("chunks")
-    return cut(dealt.groupBy(*by, "chunk").applyInPandas(lambda rows: _round(rows, seed), dealt.schema))
+def sized(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+    """doc_id, source and size: the number of words of the text, 0 for null."""
+    size = F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long")
+    return docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"), size.alias("size"))
 
 
-def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[float, ...] = (1, 2, 3), cap: float = 3, seed: int = 0, chunk: int = 2048, fan_in: int = 64) -> DataFrame:
-    """How many whole copies of each document a mix takes, so that each source's words come near its target.
+def shares(rows: DataFrame, weights: tuple[float, ...] = (1, 2, 3), cap: float = 3, seed: int = 0, chunk: int = 256) -> DataFrame:
+    """rows (doc_id, source, size) -> one row for all that are alike: ALIKE, n, source_size, target, total: the copies of all n.
 
     Every document of a source has the share target / source_size of copies: its whole part for sure, the fractional part
-    by pivotal rounding. Leaves of the reduction tree are chunks of one source and one power of two of size, sorted from
-    large to small, so that mass moves between documents of like size; each leaves one fractional document at most. These
-    residuals meet, fan_in at a time, until one is left for a source and size. The few of a source (one for each power of
-    two at most) are rounded at the root from large to small, each to the side that brings the source's words nearer to
-    its target. Groups are bounded by chunk and fan_in, whatever a source holds.
-
-    Returns doc_id, size, source_no, source_size, target, copies. size: words of the text; null or empty text has 0 and takes
-    nothing, as its copies have no words. The null source is a source, the last. Repeated rows are documents of their own. With no words at all every
-    target is 0. An empty table gives an empty result; other columns are ignored. Runs on the same rows agree.
+    by pivotal rounding. Leaves of the reduction tree are chunks of one source, sorted from large to small; words move
+    within pairs, so a chunk keeps its sum of words but for one fractional document. These residuals meet, `chunk` at a time,
+    until one is left for a source, which a draw of its own rounds up or down by its share. So every document has its
+    expected number of copies, and a source misses its target by less than the size of one document. Alike rows count as
+    one whose last copy is rounded. Groups are bounded by chunk, whatever a source holds.
     """
-    return _mixed(docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"), F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long").alias("size")), weights, cap, seed, chunk, fan_in)
-
-
-def _mixed(docs: DataFrame, weights: tuple[float, ...], cap: float, seed: int, chunk: int, fan_in: int) -> DataFrame:
-    sized = cut(docs)
-    totals = cut(targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")), weights, cap))
-    share: Column = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
-    own = sized.join(totals, sized["source"].eqNullSafe(totals["source"])).select("doc_id", "size", "source_no", "source_size", "target", F.floor(share).alias("whole"), F.when(F.col("size") > 0, share - F.floor(share)).otherwise(0.0).alias("p"))
-    own = own.withColumn("tag", F.xxhash64("doc_id")).withColumn("bucket", F.when(F.col("size") > 0, F.floor(F.log2("size"))).otherwise(-1))
-    leaves = _grouped(own, chunk, seed)
+    alike = cut(rows.groupBy(*ALIKE).agg(F.count("*").alias("n")))
+    totals = cut(targets(alike.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("source_size")), weights, cap))
+    share: Column = F.when((F.col("source_size") > 0) & (F.col("size") > 0), F.col("target") / F.col("source_size") * F.col("n")).otherwise(0.0)
+    own = alike.join(totals, alike["source"].eqNullSafe(totals["source"])).select(alike["*"], "source_no", "source_size", "target", F.floor(share).alias("whole"), (share - F.floor(share)).alias("p"))
+    leaves = _grouped(own.withColumn("tag", F.xxhash64("doc_id", "size")), chunk, seed)
     inner = (F.col("p") > 0) & (F.col("p") < 1)
-    leaf = F.xxhash64("source_no", "bucket", "chunk")  # at most one fractional row in each
-    rest = cut(leaves.where(inner).select("source_no", "bucket", "size", leaf.alias("tag"), "p"))
-    settled, level = rest.where("false").select("tag", "p"), 1
-    while rest.groupBy("source_no", "bucket").count().where("count > 1").limit(1).count():
-        rounded = _grouped(rest, fan_in, seed + level)
-        settled = settled.unionByName(rounded.where(~inner).select("tag", "p"))
-        rest = rounded.where(inner).select("source_no", "bucket", "size", "tag", "p")
+    leaf = F.xxhash64("source_no", "chunk")  # at most one fractional row in each
+    rest = cut(leaves.where(inner).select("source_no", "size", leaf.alias("tag"), "p"))
+    settled, level = rest.where("false").select("source_no", "tag", "p"), 1
+    while rest.groupBy("source_no").count().where("count > 1").limit(1).count():
+        rounded = _grouped(rest, chunk, seed + level)
+        settled = settled.unionByName(rounded.where(~inner).select("source_no", "tag", "p"))
+        rest = rounded.where(inner).select("source_no", "size", "tag", "p")
         level += 1
-    given = leaves.where(~inner).groupBy("source_no").agg((F.first("target") - F.sum(F.col("size") * (F.col("whole") + F.col("p")))).alias("owed"))
-    expected = leaves.where(inner).groupBy("source_no").agg(F.first("target").alias("goal"), F.sum(F.col("size") * F.col("whole")).alias("sure"))
-    above = settled.join(leaves.where(inner).select("source_no", "size", leaf.alias("tag")), "tag").groupBy("source_no").agg(F.sum(F.col("size") * F.col("p")).alias("more"))
-    owed = expected.join(given, "source_no", "left").join(above, "source_no", "left").select("source_no", (F.coalesce("owed", "goal") - F.col("sure") - F.coalesce("more", F.lit(0.0))).alias("owed"))
-    last = rest.join(cut(owed), "source_no").select("source_no", "tag", "size", "p", (F.col("owed") - F.sum(F.col("size") * F.col("p")).over(W.partitionBy("source_no"))).alias("owed"))
-    settled = settled.unionByName(last.groupBy("source_no").applyInPandas(_settle, "tag bigint, p double"))
-    ends = leaves.where(inner).withColumn("leaf", leaf).drop("p").join(settled.select(F.col("tag").alias("leaf"), "p"), "leaf")
-    columns = ("doc_id", "size", "source_no", "source_size", "target", (F.col("whole") + F.col("p")).cast("long").alias("copies"))
+    draw = F.pmod(F.xxhash64("source_no", "tag", F.lit(seed)), F.lit(1 << 40)) / float(1 << 40)
+    settled = settled.unionByName(rest.select("source_no", "tag", F.when(draw < F.col("p"), 1.0).otherwise(0.0).alias("p")))
+    ends = leaves.where(inner).withColumn("tag", leaf).drop("p").join(settled, ["source_no", "tag"])
+    columns = (*ALIKE, "n", "source_no", "source_size", "target", (F.col("whole") + F.col("p")).cast("long").alias("total"))
     return leaves.where(~inner).select(*columns).unionByName(ends.select(*columns))
+
+
+def nth(total: Column, n: Column, i: Column) -> Column:
+    """Copies of the i-th of n alike rows, counted from 1, so that all have `total` and none differs from another by over one."""
+    return (F.floor(total / n) + F.when(i <= total % n, 1).otherwise(0)).cast("long")
+
+
+def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[float, ...] = (1, 2, 3), cap: float = 3, seed: int = 0, chunk: int = 256) -> DataFrame:
+    """How many whole copies of each document a mix takes, so that each source's words come near its target (see shares).
+
+    Returns doc_id, size, source_no, source_size, target, copies: a row per document. Null or empty text has size 0 and takes
+    nothing, as its copies have no words. The null source is a source, the last. Repeated rows, and rows without id, are
+    documents of their own. With no words at all every target is 0. An empty table gives an empty result; other columns are
+    ignored. Runs on the same rows agree, in whatever order they come. Runs jobs while the plan is built.
+    """
+    each = shares(sized(docs, id_col, text_col, source_col), weights, cap, seed, chunk)
+    block = 4096  # alike rows are dealt out by blocks, so that no list grows with them
+    each = each.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / block))))
+    each = each.withColumn("i", F.explode(F.sequence(F.col("block") * block + 1, F.least(F.col("n"), (F.col("block") + 1) * block))))
+    return each.select("doc_id", "size", "source_no", "source_size", "target", nth(F.col("total"), F.col("n"), F.col("i")).alias("copies"))

@@ -14,7 +14,7 @@ IP = r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}"
 CARD = r"[0-9]++(?:[\x20-][0-9]++)*+"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 #: Letters that make a term; shorter words tell nothing.
-TERM = r"\p{L}{4,}"
+TERM = r"\p{L}{3,}"
 
 
 def _digits(v: Column) -> Column:
@@ -40,62 +40,85 @@ def _phone(v: Column) -> Column:
     return F.length(_digits(v)).between(10, 15)
 
 
+def _without_emails(text: Column) -> Column:
+    """The text with blanks for each address; no other base span has letters."""
+    return F.array_join(F.zip_with(F.split(text, EMAIL, -1), F.regexp_extract_all(text, F.lit(EMAIL), 0), lambda gap, w: F.concat(gap, F.coalesce(F.repeat(F.lit(" "), F.length(w)), F.lit("")))), "")
+
+
 KINDS = (("email", EMAIL, None), ("ip", IP, _ip), ("card", CARD, _card), ("phone", PHONE, _phone))
 
 
-def disclosing_terms(found: DataFrame, docs: DataFrame, generalise: float, remove: float, support: int) -> DataFrame:
-    """(doc_id, start, end, kind): terms near an entity that reveal at least `generalise` of its information.
+#: What stands for an entity's kin: the domain of an address, the network of an ip, the issuer of a card, the area of a phone.
+KIN = {"email": lambda v: F.substring_index(v, "@", -1), "ip": lambda v: F.substring_index(v, ".", 2), "card": lambda v: F.substring(v, 1, 6), "phone": lambda v: F.substring(v, 1, 4)}
+
+
+def disclosure(n_e: Column, n_t: Column, n_et: Column, total: float) -> Column:
+    """The share of an entity's information that a term reveals: PMI over IC, by documents, less for thin evidence.
+
+    Information IC(e) = -log2(n(e) / N), PMI(e, t) = log2(n(e, t) * N / (n(e) * n(t))). The share is multiplied by n / (n + 1)
+    for the joint count n and once more for the lesser of the two single counts, so that one meeting proves little.
+    """
+    ic = -F.log2(n_e / total)
+    least = F.least(n_e, n_t)
+    return F.log2(n_et * total / (n_e * n_t)) / F.greatest(ic, F.lit(1e-9)) * (n_et / (n_et + 1)) * (least / (least + 1))
+
+
+def disclosing_terms(near: DataFrame, docs: DataFrame, generalise: float) -> DataFrame:
+    """(entity, term, share): terms near an entity that reveal at least `generalise` of its information.
 
-    For an entity e and a term t within its windows, over all documents: information IC(e) = -log2(n(e) / N), disclosure
-    PMI(e, t) = log2(n(e, t) * N / (n(e) * n(t))), share = PMI / IC. Only pairs seen in at least `support` different windows
-    count, so that copies of one passage reveal nothing by being copied.
+    near: doc_id, entity, around (a hash of the text about it), terms. Documents are counted, over the whole corpus; windows
+    of the same text count as one document, so that copies of a passage reveal nothing by being copied.
     """
-    total = docs.count()
-    near = cut(found.select("doc_id", F.explode("windows").alias("w")).select("doc_id", F.xxhash64("w.kind", "w.value").alias("entity"), F.xxhash64("w.around").alias("around"), F.explode("w.terms").alias("t")).select("doc_id", "entity", "around", F.lower("t.hit").alias("term"), "t.start", "t.end"))
-    holders = near.select("doc_id", "entity").distinct().groupBy("entity").agg(F.count("*").alias("n_e")).where(F.col("n_e") >= support)
-    met = near.select("doc_id", "entity", "term").distinct().groupBy("entity", "term").agg(F.count("*").alias("n_et"))
-    wide = near.select("around", "entity", "term").distinct().groupBy("entity", "term").agg(F.count("*").alias("windows")).where(F.col("windows") >= support)
-    pairs = cut(wide.join(met, ["entity", "term"]).join(holders, "entity"))
+    total = float(max(docs.count(), 1))
+    one = near.groupBy("entity", "around").agg(F.min("doc_id").alias("doc_id"), F.min_by("terms", "doc_id").alias("terms"))
+    one = cut(one.select("entity", "doc_id", "terms"))
+    holders = one.select("entity", "doc_id").distinct().groupBy("entity").agg(F.count("*").alias("n_e"))
+    met = one.select("entity", "doc_id", F.explode("terms").alias("term")).distinct().groupBy("entity", "term").agg(F.count("*").alias("n_et"))
+    pairs = cut(met.where(F.col("n_et") / (F.col("n_et") + 1) >= generalise).join(holders, "entity"))  # no share is above this factor
     words = docs.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(TERM), 0))).alias("term")).groupBy("term").agg(F.count("*").alias("n_t"))
-    known = pairs.join(words, "term")
-    ic = -F.log2(F.col("n_e") / total)
-    share = F.log2(F.col("n_et") * float(total) / (F.col("n_e") * F.col("n_t"))) / F.greatest(ic, F.lit(1e-9))
-    telling = cut(known.withColumn("share", share).where(F.col("share") >= generalise).select("entity", "term", "share"))
-    return near.join(telling, ["entity", "term"]).select("doc_id", "start", "end", F.when(F.col("share") >= remove, F.lit("removed")).otherwise(F.lit("generalised")).alias("kind"))
+    known = pairs.join(words, "term").withColumn("share", disclosure(F.col("n_e"), F.col("n_t"), F.col("n_et"), total))
+    return known.where(F.col("share") >= generalise).select("entity", "term", "share")
 
 
-def find_personal(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 64, generalise: float = 0.7, remove: float = 0.9, support: int = 3) -> DataFrame:
+def find_personal(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 64, generalise: float = 0.5, remove: float = 0.75) -> DataFrame:
     """One row per document: doc_id, base and spans, each array<struct<start, no, end, kind>> sorted by start, then kind.
 
     base: e-mail addresses, IP addresses, card and phone numbers by pattern and rule. spans: base, and the kinds `generalised`
-    and `removed`: terms of four or more letters within `window` code points of such an entity which, over the whole corpus,
-    reveal the shares `generalise` and `remove` of the entity's information. A document without base spans has no others. Code
-    points, end exclusive. Null text is empty; rows that repeat an id are expected to repeat its text and share their terms;
-    rows without id have base spans only. An empty table gives an empty result; other columns are ignored.
+    and `removed`: terms of three or more letters which, over the whole corpus, reveal the shares `generalise` and `remove`
+    of the information of an entity of the document, wherever in its text they stand. An entity is a value, and also its kin
+    (the domain of an address, the network of an ip, the issuer of a card, the area of a phone), which recur where values
+    don't. Terms are counted with an entity within `window` code points of it, up to the next match of its pattern; a document without base spans has no others.
+    Code points, end exclusive. Null text is empty; rows that repeat an id are expected to repeat its text and share their
+    terms; rows without id have base spans only. An empty table gives an empty result; other columns are ignored. Runs jobs
+    while the plan is built.
     """
     docs = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    found = docs.select("doc_id", "text", *[matches(F.col("text"), pattern, keep).alias(kind) for kind, pattern, keep in KINDS])
+    found = docs.select("doc_id", "text", *[matches(F.col("text"), pattern, keep, around=window).alias(kind) for kind, pattern, keep in KINDS])
 
     def entity(kind: str) -> Column:
         value = _digits if kind in ("card", "phone") else F.lower
-        return F.transform(kind, lambda s: F.struct(F.lit(kind).alias("kind"), s["start"].alias("start"), s["end"].alias("end"), value(s["hit"]).alias("value")))
+        named = lambda v: F.array(F.xxhash64(F.lit(kind), v), F.xxhash64(F.lit(f"kin of {kind}"), KIN[kind](v)))
+        return F.transform(kind, lambda s: F.struct(named(value(s["hit"])).alias("names"), F.concat_ws(" ", s["before"], s["after"]).alias("around")))
 
     entities = F.concat(*[entity(kind) for kind, _, _ in KINDS])
     found = found.withColumns({"base": F.concat(*[labelled(F.col(kind), i, kind) for i, (kind, _, _) in enumerate(KINDS)]), "entities": entities})
-    # Windows before and after each entity, without the words that their far ends may cut.
-    low = lambda e: F.greatest(e["start"] - window, F.lit(0))
-    before = lambda e: F.substring(F.col("text"), (low(e) + 1).cast("int"), (e["start"] - low(e)).cast("int"))
-    after = lambda e: F.substring(F.col("text"), (e["end"] + 1).cast("int"), F.lit(window))
-    whole = lambda s, e: (s["start"] > low(e)) | (s["start"] == 0)
-    terms = lambda e: F.concat(F.filter(matches(before(e), TERM, base=low(e)), lambda s: whole(s, e)), F.filter(matches(after(e), TERM, base=e["end"]), lambda s: s["end"] < e["end"] + window))
-    windows = F.transform("entities", lambda e: F.struct(e["kind"].alias("kind"), e["value"].alias("value"), F.concat(before(e), F.lit(" "), after(e)).alias("around"), terms(e).alias("terms")))
-    found = cut(found.select("doc_id", "base", windows.alias("windows")))
-    telling = disclosing_terms(found.where("doc_id is not null"), docs, generalise, remove, support)
-    telling = cut(telling.groupBy("doc_id").agg(F.collect_set(F.struct("start", "end", "kind")).alias("telling")))
-    both = found.select("doc_id", "base").join(telling, "doc_id", "left")
-    free = F.filter(F.coalesce("telling", F.array().cast("array<struct<start:bigint,end:bigint,kind:string>>")), lambda s: ~F.exists("base", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])))
-    more = F.transform(free, lambda s: F.struct(s["start"].alias("start"), F.when(s["kind"] == "generalised", 4).otherwise(5).alias("no"), s["end"].alias("end"), s["kind"].alias("kind")))
-    return both.select("doc_id", F.array_sort("base").alias("base"), F.array_sort(F.concat("base", more)).alias("spans"))
+    found = cut(found.select("doc_id", "base", "entities", F.when(F.size("base") > 0, F.col("text")).alias("text")))
+    named = found.where("text is not null and doc_id is not null")
+    each = named.select("doc_id", F.explode("entities").alias("e"))
+    each = each.select("doc_id", F.explode("e.names").alias("entity"), F.xxhash64("e.around").alias("around"), F.array_distinct(F.regexp_extract_all(F.lower("e.around"), F.lit(TERM), 0)).alias("terms"))
+    near = cut(each)
+    telling = cut(disclosing_terms(near, docs, generalise))
+    # Every place of a telling term in the documents that hold its entity.
+    terms = telling.select("term").distinct()
+    places = named.select("doc_id", F.explode(matches(_without_emails(F.col("text")), TERM)).alias("t")).select("doc_id", "t.start", "t.end", F.lower("t.hit").alias("term"))
+    places = places.join(terms, "term")
+    held = near.select("doc_id", "entity").distinct()
+    spans = places.join(telling, "term").join(held, ["doc_id", "entity"], "left_semi").groupBy("doc_id", "start", "end").agg(F.max("share").alias("share"))
+    kind = F.when(F.col("share") >= remove, F.struct(F.lit(5).alias("no"), F.lit("removed").alias("kind"))).otherwise(F.struct(F.lit(4).alias("no"), F.lit("generalised").alias("kind")))
+    spans = spans.select("doc_id", F.struct("start", kind["no"].alias("no"), "end", kind["kind"].alias("kind")).alias("s"))
+    more = cut(spans.groupBy("doc_id").agg(F.collect_list("s").alias("more")))
+    both = found.select("doc_id", "base").join(more, "doc_id", "left")
+    return both.select("doc_id", F.sort_array("base").alias("base"), F.sort_array(F.concat("base", F.coalesce("more", F.array().cast("array<struct<start:bigint,no:int,end:bigint,kind:string>>")))).alias("spans"))
 
 
 def sanitised(text: Column, spans: Column) -> Column:
@@ -107,5 +130,5 @@ def sanitised(text: Column, spans: Column) -> Column:
         mark = F.when((s["kind"] == "removed") | (s["end"] <= a["at"]), F.lit("")).otherwise(F.concat(F.lit("<"), s["kind"], F.lit(">")))
         return F.struct(F.greatest(a["at"], s["end"]).alias("at"), F.concat(a["out"], gap, mark).alias("out"))
 
-    done = F.aggregate(F.array_sort(spans), start, put)
+    done = F.aggregate(F.sort_array(spans), start, put)
     return F.concat(done["out"], F.substring(text, (done["at"] + 1).cast("int"), F.lit(2**31 - 1)))

@@ -15,10 +15,16 @@ from lodestone.llm.secrets import digest, find_secrets
 from lodestone.llm.suffix_dedup import repeated_passages
 from lodestone.llm.toxicity import Model, fit, prior_of, score
 
-VOCABULARIES = "/opt/tokenizers"
 THRESHOLD = 0.3
 
 
+def vocabulary(name: str) -> str:
+    """Path of a public tokenizer's file."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -49,11 +55,15 @@ def op3_personal(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *digest(found, ("email", "ip", "card", "phone")))
 
 
-def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pieces = pack(table(spark, sf_dir, "documents"), f"{VOCABULARIES}/byte_bpe_50k.json")
+def packed(docs: DataFrame) -> DataFrame:
+    pieces = pack(docs, vocabulary("byte_bpe_50k.json"))
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packed(table(spark, sf_dir, "documents"))
+
+
 def op5_rows(docs: DataFrame) -> DataFrame:
     stored = media_tiff.store_texts(docs)
     stored = stored.select("doc_id", "n_bytes", F.octet_length("media").cast("long").alias("media_bytes"), F.sha2("media", 256).alias("media_sha256"), "media")
@@ -81,7 +91,7 @@ def op8_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    path = f"{VOCABULARIES}/piece_bpe_32k.model"
+    path = vocabulary("piece_bpe_32k.model")
     found = langid.identify(docs, langid.fit(docs.where(remainder(docs, 5) != 0), path), path)
     return found.select("doc_id", F.coalesce(remainder(found, 5) == 0, F.lit(False)).alias("held_out"), "lang_pred", "score")
 

@@ -5,11 +5,10 @@ from __future__ import annotations
 import math
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lodestone.llm.shared import cut
-from lodestone.llm.spans import labelled, matches, rendered
+from lodestone.llm.spans import NO_SPANS, bound, labelled, matches, rendered
 
 #: The base patterns. Runs of one class are maximal, so a least length can stand in the pattern; the value of an assignment cannot, as a match that fails is not tried again.
 ASSIGN = r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -76,31 +75,48 @@ def battery(tokens: DataFrame) -> DataFrame:
     return own.select(*columns, "encoding", F.col("n").cast("bigint").alias("symbols"), F.when(known, F.least(fisher, F.lit(1.0))).alias("p"))
 
 
-def thresholds(tokens: DataFrame, rate: float, least: float = 0.02) -> DataFrame:
-    """tokens (encoding, length_class, bin) -> (encoding, length_class, bin): the first bin of p that counts as random there.
+def thresholds(tokens: DataFrame, rate: float, least: float = 0.02, pseudo: float = 20.0) -> DataFrame:
+    """tokens (encoding, length_class, bin), each distinct token once -> (encoding, length_class, least_bin): the first bin
+    of p that counts as random there; classes without one are left out.
 
     Random tokens have uniform p, so within each encoding and length class twice the tokens above one half, with one
-    standard error, estimate all random ones. From the lowest bin on (at least `least`), the first is taken at which those estimated above it fall short of
-    the tokens above it by a share of at most `rate`: the expected share of false discoveries. Classes are few, whatever the corpus.
+    standard error, estimate all random ones. From the lowest bin on (at least `least`), the first is taken at which those
+    estimated above it fall short of the tokens above it by a share of at most `rate`: the expected share of false
+    discoveries. A class is counted together with `pseudo` tokens spread as its encoding's are, an encoding's with as many
+    spread as all tokens are, and all with as many spread evenly, so that a class of few tokens leans on those around it.
+    Classes are few, whatever the corpus: 8 encodings by at most 62 lengths, of BINS counts each.
     """
-    by = W.partitionBy("encoding", "length_class")
-    counted = tokens.groupBy("encoding", "length_class", "bin").count()
-    above = F.sum("count").over(by.orderBy(F.desc("bin")))
-    upper = F.coalesce(F.sum(F.when(F.col("bin") >= BINS // 2, F.col("count"))).over(by), F.lit(0))
-    random = 2 * (upper + F.sqrt(upper))
-    false = 1 - random * (1 - F.col("bin") / BINS) / F.col("above")
-    good = counted.withColumn("above", above).withColumn("false", false).where((F.col("false") <= rate) & (F.col("bin") >= math.ceil(least * BINS)))
-    return good.groupBy("encoding", "length_class").agg(F.min("bin").alias("least_bin"))
+    spread = F.transform(F.sequence(F.lit(0), F.lit(BINS - 1)), lambda b: F.coalesce(F.element_at(F.map_from_entries(F.col("bins")), b), F.lit(0)).cast("double"))
+    counted = tokens.groupBy("encoding", "length_class", F.col("bin").cast("int").alias("bin")).count()
+
+    def histogram(*by: str) -> DataFrame:
+        each = counted.groupBy(*by, "bin").agg(F.sum("count").alias("n"))
+        return each.groupBy(*by).agg(F.collect_list(F.struct("bin", "n")).alias("bins")).select(*by, spread.alias("own"))
+
+    def leaning(own: Column, on: Column) -> Column:
+        """Counts of own and pseudo more, spread as `on` is."""
+        return bound(F.aggregate(on, F.lit(0.0), lambda a, x: a + x), lambda total: F.zip_with(own, on, lambda x, y: x + pseudo * y / total))
+
+    flat = F.array_repeat(F.lit(1.0), BINS)
+    every = histogram().select(leaning(F.col("own"), flat).alias("every"))  # one row
+    encodings = histogram("encoding").join(F.broadcast(every)).select("encoding", leaning(F.col("own"), F.col("every")).alias("wide"))
+    classes = histogram("encoding", "length_class").join(F.broadcast(encodings), "encoding")  # 8 rows
+    classes = classes.select("encoding", "length_class", leaning(F.col("own"), F.col("wide")).alias("counts"))
+    above = lambda b: F.aggregate(F.slice("counts", b + 1, BINS), F.lit(0.0), lambda a, x: a + x)
+    classes = classes.withColumn("random", 2 * (above(F.lit(BINS // 2)) + F.sqrt(above(F.lit(BINS // 2)))))
+    good = F.filter(F.sequence(F.lit(math.ceil(least * BINS)), F.lit(BINS - 1)), lambda b: 1 - F.col("random") * (1 - b / BINS) / above(b) <= rate)
+    return classes.select("encoding", "length_class", F.array_min(good).alias("least_bin")).where("least_bin is not null")
 
 
 def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rate: float = 0.05) -> DataFrame:
     """One row per document: doc_id, base and spans, each array<struct<start, no, end, kind>> sorted by start, then kind.
 
     base: assignments, access keys and hex strings by pattern. spans: base and the kind `random`, whole tokens of 20 or more
-    symbols that pass the test battery under the false-discovery control of their encoding and length class, where they
-    overlap no base span. Code points, end exclusive. Null text is empty; empty texts have no spans. Rows that repeat an id
-    are expected to repeat its text and share their random spans; rows without id have base spans only. An empty table gives
-    an empty result; other columns are ignored.
+    symbols that pass the test battery under the false-discovery control of their encoding and length class; also where
+    they lie in a base span, whose randomness is then confirmed. Every distinct token is one test, however often it occurs.
+    Code points, end exclusive. Null text is empty; empty texts have no spans. Rows that repeat an id are expected to repeat
+    its text and share their random spans; rows without id have base spans only. An empty table gives an empty result;
+    other columns are ignored. Runs jobs while the plan is built.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     found = docs.select(
@@ -110,18 +126,19 @@ def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             labelled(matches(text, ACCESS), 1, "access"),
             labelled(matches(text, HEX), 2, "hex"),
         ).alias("base"),
-        matches(text, CANDIDATE).alias("candidates"),
+        matches(text, CANDIDATE, lambda t: t.rlike("[0-9]") & t.rlike("[A-Za-z]")).alias("candidates"),
     )
     found = cut(found)
-    tokens = battery(found.where("doc_id is not null").select("doc_id", F.explode("candidates").alias("c")).select("doc_id", "c.start", "c.end", F.col("c.hit").alias("token"))).where("encoding is not null")
-    tokens = tokens.withColumns({"length_class": F.floor(2 * F.log2("symbols")), "bin": F.least(F.floor(F.col("p") * BINS), F.lit(BINS - 1))})
-    tokens = cut(tokens.select("doc_id", "start", "end", "encoding", "length_class", "bin"))
-    least = cut(thresholds(tokens, rate))
-    random = tokens.join(F.broadcast(least), ["encoding", "length_class"]).where("bin >= least_bin")  # 8 encodings by at most 62 classes
-    random = cut(random.groupBy("doc_id").agg(F.collect_set(F.struct("start", "end")).alias("random")))
+    each = found.where("doc_id is not null").select("doc_id", F.explode("candidates").alias("c")).select("doc_id", "c.start", "c.end", F.col("c.hit").alias("token"))
+    tested = battery(each.select("token").distinct()).where("encoding is not null")
+    tested = tested.withColumns({"length_class": F.floor(2 * F.log2("symbols")), "bin": F.least(F.floor(F.col("p") * BINS), F.lit(BINS - 1))})
+    tested = cut(tested.select("token", "encoding", "length_class", "bin"))
+    least = cut(thresholds(tested, rate))
+    random = cut(tested.join(F.broadcast(least), ["encoding", "length_class"]).where("bin >= least_bin").select("token"))  # 8 encodings by at most 62 classes
+    random = cut(each.join(random, "token").groupBy("doc_id").agg(F.collect_set(F.struct("start", "end")).alias("random")))
     both = found.select("doc_id", "base").join(random, "doc_id", "left")
-    free = F.filter(F.coalesce("random", F.array().cast("array<struct<start:bigint,end:bigint>>")), lambda s: ~F.exists("base", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])))
-    return both.select("doc_id", F.array_sort("base").alias("base"), F.array_sort(F.concat("base", labelled(free, 3, "random"))).alias("spans"))
+    random = labelled(F.coalesce("random", F.array().cast(NO_SPANS)), 3, "random")
+    return both.select("doc_id", F.sort_array("base").alias("base"), F.sort_array(F.concat("base", random)).alias("spans"))
 
 
 def digest(found: DataFrame, kinds: tuple[str, ...]) -> list[Column]:

@@ -3,15 +3,16 @@
 from __future__ import annotations
 
 import functools
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from lodestone.plans.scratch import cut  # noqa: F401  operators take it from here
+
 #: Bytes that separate words.
 SPACES = (0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D)
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -19,23 +20,6 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 STEP_BYTES = 2_000_000
 
 
-def scratch(spark: SparkSession) -> str:
-    """The shared folder that the cluster names in spark.checkpoint.dir; a fresh one where it names none, as in tests."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = f"/tmp/checkpoints/{uuid.uuid4().hex}"
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """df as a written table in the shared folder: later stages survive lost executors and joins see true sizes."""
-    spark = df.sparkSession
-    path = f"{scratch(spark)}/lodestone/{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def ascii_lower(text: Column) -> Column:
     """A-Z in lower case, all else as it is. A text of one byte a character has only ASCII, where lower() does just that and is faster."""
     return F.when(F.length(text) == F.octet_length(text), F.lower(text)).otherwise(F.translate(text, UPPER, LOWER))

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from lodestone.llm.shared import cut, mix, seeds, steps, words
 
-#: Neighbours in suffix order that each suffix is compared with, on either side.
+#: Neighbours in suffix order that each suffix of a small class is compared with, on either side; larger classes are counted.
 NEIGHBOURS = 8
 _ODD = seeds(4096, 31) | np.uint64(1)
 
@@ -147,32 +147,17 @@ def compare(ids: np.ndarray, positions: np.ndarray, classes: np.ndarray, after:
 
 
 def _neighbours(left: int, right: int, least: int):
-    """Streams a sorted partition; also passes on its first and last rows, whose neighbours may be in other partitions."""
+    """Streams a sorted partition; the last NEIGHBOURS rows of a batch meet the next batch."""
+    names = ["doc_id", "start", "end", "seen_in"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, first = None, True
-        names = ["doc_id", "position", "class", "after", "before"]
-
-        def out(found: pd.DataFrame, edge: pa.Table | None) -> Iterator[pa.RecordBatch]:
-            for c in ("doc_id", "start", "end", "seen_in"):
-                found[c] = found[c].astype("int64")
-            n = len(found)
-            yield pa.RecordBatch.from_arrays([pa.array(found[c]) for c in ("doc_id", "start", "end", "seen_in")] + [pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.binary()), pa.nulls(n, pa.binary())], names=["doc_id", "start", "end", "seen_in", *names[1:]])
-            if edge is not None and edge.num_rows:
-                n, edge = edge.num_rows, edge.combine_chunks()
-                columns = [edge.column(c).combine_chunks() if edge.column(c).num_chunks != 1 else edge.column(c).chunk(0) for c in names]
-                yield pa.RecordBatch.from_arrays([columns[0], pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), *columns[1:]], names=["doc_id", "start", "end", "seen_in", *names[1:]])
-
+        held = None
         for batch in batches:
-            if not batch.num_rows:
-                continue
             now = pa.Table.from_batches([batch])
             block = now if held is None else pa.concat_tables([held, now])
             found = compare(np.array(block.column("doc_id")), np.array(block.column("position")), np.array(block.column("class")), _matrix(block.column("after"), right), _matrix(block.column("before"), left), least)
-            yield from out(found, now.slice(0, NEIGHBOURS) if first else None)
-            held, first = block.slice(max(0, block.num_rows - NEIGHBOURS)), False
-        if held is not None:
-            yield from out(pd.DataFrame({"doc_id": [], "start": [], "end": [], "seen_in": []}), held)
+            yield pa.RecordBatch.from_arrays([pa.array(found[c].astype("int64")) for c in names], names=names)
+            held = block.slice(max(0, block.num_rows - NEIGHBOURS))
 
     return run
 
@@ -183,9 +168,9 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     Words are runs without white space, A-Z in lower case. A suffix of a document's words is retained where its first k words
     have the least hash of `window` consecutive k-grams, so any repeated passage retains the same suffixes in all its places:
     the first starts within its first `window` words. Suffixes that share their first least - window + 1 words with no other
-    are left out. Classes of up to NEIGHBOURS + 1 suffixes are sorted, each suffix is compared with the NEIGHBOURS nearest on
-    either side, which is its whole class, and matches extend to the right and to the left; matches of `least` words count. The
-    sort is by ranges of suffix, document and position; the few rows at the ends of each range are compared once more across ranges.
+    are left out; those that do, a class, meet in one task and are sorted there. Classes of up to NEIGHBOURS + 1 suffixes are
+    small enough to share out by hash; each suffix is compared with the NEIGHBOURS nearest on either side, which is its whole
+    class, and matches extend to the right and to the left; matches of `least` words count.
 
     In larger classes every stretch of `least` words that starts at a suffix or up to window - 1 words before it is counted by its
     64-bit hash; those of two or more documents count. Any match of `least` words around a suffix consists of such stretches, so
@@ -207,17 +192,8 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     common = cut(grams.groupBy("gram").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a < b"))
     crowded = grams.join(common, "gram").select("doc_id", "start", (F.col("start") + least).alias("end"), F.when(F.col("a") == F.col("doc_id"), F.col("b")).otherwise(F.col("a")).alias("seen_in"))
     order = ["class", "after", "before", "doc_id", "position"]
-    ranged = wide.repartitionByRange(*order).sortWithinPartitions(*order)
-    kind = "doc_id bigint, start bigint, end bigint, seen_in bigint, position bigint, class bigint, after binary, before binary"
-    met = cut(ranged.mapInArrow(_neighbours(window - 1, least, least), kind))
-
-    def across(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(order, kind="stable")
-        matrix = lambda c, n: np.frombuffer(b"".join(rows[c]), dtype=np.uint32).reshape(-1, n)
-        return compare(rows["doc_id"].to_numpy(), rows["position"].to_numpy(), rows["class"].to_numpy(), matrix("after", least), matrix("before", window - 1), least)
-
-    edges = met.where("start is null").select("doc_id", "position", "class", "after", "before").distinct()
-    found = met.where("start is not null").select("doc_id", "start", "end", "seen_in").unionByName(edges.groupBy("class").applyInPandas(across, "doc_id bigint, start bigint, end bigint, seen_in bigint"))
+    ranged = wide.repartition("class").sortWithinPartitions(*order)
+    found = ranged.mapInArrow(_neighbours(window - 1, least, least), "doc_id bigint, start bigint, end bigint, seen_in bigint")
     found = found.unionByName(crowded)
     by = W.partitionBy("doc_id").orderBy("start", "end")
     before = F.max("end").over(by.rowsBetween(W.unboundedPreceding, -1))

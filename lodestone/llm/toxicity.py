@@ -10,6 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from lodestone.llm.shared import _IS_SPACE, cut, steps, words
 
@@ -151,22 +152,26 @@ def fit(docs: DataFrame, positive: DataFrame, prior: float, id_col: str = "doc_i
     return Model(features, weights, bias)
 
 
-def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] | None = None, out: str = "score") -> DataFrame:
     """doc_id and score (0 to 1, higher: more likely toxic) of every whole text; the id and all other columns stay out of the score.
 
-    Null and empty texts get the score of the bias. Repeated rows get equal scores; an empty table gives an empty result.
+    With `keep`, these columns of the rows instead of doc_id; `out` names the score. Null and empty texts get the score of the bias. Repeated rows get
+    equal scores, rows without id one as well; an empty table gives an empty result.
     """
     features, weights, bias = model.features, model.weights, model.bias
+    kept = [F.col(id_col).alias("doc_id")] if keep is None else [F.col(f"`{c}`") for c in keep]
+    fields = [StructField(f.name, f.dataType) for f in docs.select(*kept).schema] + [StructField(out, DoubleType())]
+    names = [f.name for f in fields]
+    own = docs.select(F.col(text_col).cast("string").alias("c"), *[c.alias(f"c{i}") for i, c in enumerate(kept)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for low, high, data, offsets in steps(batch.column(1)):
+            for low, high, data, offsets in steps(batch.column(0)):
                 rows, place = _present(data, offsets, features)
                 z = np.bincount(rows, weights=weights[place], minlength=high - low) + bias
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(low, high - low), pa.array(1 / (1 + np.exp(-np.clip(z, -40, 40))))], names=["doc_id", "score"])
+                yield pa.RecordBatch.from_arrays([*(c.slice(low, high - low) for c in batch.columns[1:]), pa.array(1 / (1 + np.exp(-np.clip(z, -40, 40))))], names=names)
 
-    own = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return own.mapInArrow(run, f"doc_id {docs.schema[id_col].dataType.simpleString()}, score double")
+    return own.mapInArrow(run, StructType(fields))
 
 
 def prior_of(labels: DataFrame, label_col: str = "toxic") -> float:

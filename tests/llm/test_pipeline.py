@@ -37,6 +37,37 @@ def test_stages(spark):
     assert tokens.keys() == per_copy.keys()
 
 
+def test_stages_on_repeated_rows_and_null_ids(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    base = docs.where("length(text) between 900 and 3000").orderBy("doc_id").limit(1).first()
+    words = base.text.split(" ")
+    near, other = " ".join(["Zz", *words[1:]]), " ".join(reversed(words))
+    rows = [(1, base.text), (1, base.text), (2, base.text), (3, near), (3, other), (None, other.translate({b: a for a, b in LOWER.items()})), (None, None), (4, ""), (None, "lone words stand here quite by themselves today")]
+    odd = spark.createDataFrame([(i, t, None, None, None) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long").select(*docs.columns)
+    kept = corpus_pipeline.toxicity(spark, odd.unionByName(docs), SF)
+    assert kept.where("doc_id is null").count() == 3
+    one = corpus_pipeline.dedup_exact(spark, odd, SF).cache()
+    got = sorted(((r.doc_id, r.text) for r in one.collect()), key=repr)
+    assert got == sorted([(2, base.text), (3, near), (3, other), (4, ""), (None, rows[-1][1])], key=repr)
+    two = corpus_pipeline.dedup_near(spark, odd, SF)
+    assert sorted((r.doc_id or 0 for r in two.collect())) == [0, 0, 1, 3, 4]  # of other and its copy the one with an id
+    mixed = corpus_pipeline.mix(spark, one, SF)
+    assert mixed.where("coalesce(text, '') = ''").count() == 1 and mixed.columns == docs.columns
+    assert corpus_pipeline.packing(spark, odd, SF).where("doc_id is null").count() >= 3
+
+
+def test_stages_on_an_empty_table(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").where("false")
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, docs, SF).count() == 0
+
+
+def test_run_deletes_what_stages_wrote(spark, tmp_path):
+    spark.conf.set("spark.checkpoint.dir", str(tmp_path))
+    corpus_pipeline.run(spark, SF).write.format("noop").mode("overwrite").save()
+    assert len(list((tmp_path / "lodestone").iterdir())) == 4  # the results of the stages but the last
+
+
 def test_registered():
     import __spark_entry__
 
