@@ -11,6 +11,8 @@ from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Folders of local applications that name none.
+_OWN: dict[str, str] = {}
 #: Paths of the tables written within the innermost open `temporary`.
 _WRITTEN: ContextVar[list[str] | None] = ContextVar("written", default=None)
 
@@ -22,8 +24,8 @@ def folder(spark: SparkSession) -> str:
     if not path:
         if not re.match(r"local(\[|$)", spark.conf.get("spark.master", "local")):
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        path = tempfile.mkdtemp(prefix="spark-")
-        spark.conf.set("spark.checkpoint.dir", path)
+        path = _OWN.get(spark.sparkContext.applicationId) or tempfile.mkdtemp(prefix="spark-")
+        _OWN[spark.sparkContext.applicationId] = path
     return path
 
 
