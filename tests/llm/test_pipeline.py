@@ -1,6 +1,7 @@
 """The pipeline's stages, each against what its predecessor kept."""
 
 from collections import defaultdict
+from pathlib import Path
 
 import corpus_pipeline
 from lodestone.llm import queries
@@ -62,10 +63,11 @@ def test_stages_on_an_empty_table(spark):
         assert stage(spark, docs, SF).count() == 0
 
 
-def test_run_deletes_what_stages_wrote(spark, tmp_path):
-    spark.conf.set("spark.checkpoint.dir", str(tmp_path))
+def test_run_deletes_what_stages_wrote(spark):
+    written = Path(spark.conf.get("spark.checkpoint.dir")) / "lodestone"
+    before = set(written.iterdir())
     corpus_pipeline.run(spark, SF).write.format("noop").mode("overwrite").save()
-    assert len(list((tmp_path / "lodestone").iterdir())) == 4  # the results of the stages but the last
+    assert len(set(written.iterdir()) - before) == 4  # the results of the stages but the last
 
 
 def test_registered():
