@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from lodestone.functions.numeric import ratio, share
+from lodestone.functions.numeric import percentiles, ratio, share
 from lodestone.plans.views import SQL_EVENTS, answers, attributed, bought, event_log, identified
 from lodestone.registry import query
 
@@ -69,7 +69,7 @@ def confidence_means(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH {SQL_EVENTS} SELECT event_type AS kind, round(quantile_cont(value, 0.5), 6) AS p50, round(quantile_cont(value, 0.95), 6) AS p95 FROM log GROUP BY 1")
 def latency_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Median and 95th percentile of latency with linear interpolation."""
-    return event_log(spark, sf_dir).groupBy(F.col("event_type").alias("kind")).agg(F.round(F.percentile("value", F.lit(0.5)), 6).alias("p50"), F.round(F.percentile("value", F.lit(0.95)), 6).alias("p95"))
+    return percentiles(event_log(spark, sf_dir).withColumnRenamed("event_type", "kind"), "kind", "value", {"p50": 0.5, "p95": 0.95})
 
 
 @query(f"WITH {SQL_EVENTS} SELECT k AS status, count(*) AS n FROM log WHERE event_type = 'error' GROUP BY 1 ORDER BY n DESC, status LIMIT 8")
@@ -156,7 +156,9 @@ def confirmation_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
  round(coalesce(avg(CAST(k % 4 = 0 AS INT)), 0), 6) AS multi_photo_share FROM ident GROUP BY 1""")
 def request_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Requests by tier with latency and the share of several photos, 0 over nothing."""
-    return identified(event_log(spark, sf_dir)).groupBy(F.coalesce("tier", F.lit("?")).alias("tier")).agg(F.count("*").alias("n"), F.round(F.percentile("value", F.lit(0.5)), 6).alias("p50"), F.round(F.percentile("value", F.lit(0.95)), 6).alias("p95"), F.coalesce(share(F.col("k") % 4 == 0), F.lit(0.0)).alias("multi_photo_share"))
+    rows = identified(event_log(spark, sf_dir)).withColumn("tier", F.coalesce("tier", F.lit("?")))
+    counts = rows.groupBy("tier").agg(F.count("*").alias("n"), F.coalesce(share(F.col("k") % 4 == 0), F.lit(0.0)).alias("multi_photo_share"))
+    return counts.join(percentiles(rows, "tier", "value", {"p50": 0.5, "p95": 0.95}), "tier")
 
 
 @query(f"WITH {SQL_EVENTS} SELECT event_id, request_id, ts FROM log WHERE event_type = 'click' AND request_id IN (SELECT request_id FROM ident)")
@@ -213,8 +215,9 @@ def issues(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rules with a least support over the report, in fixed order: number, severity and what is wrong."""
     log = event_log(spark, sf_dir)
     hit = attributed(log).agg(F.count("*").alias("items"), F.avg((F.col("best") == F.col("truth")).cast("int")).alias("top1"))
-    rest = log.agg(F.count_if(F.col("event_type") == "view").alias("identify"), F.percentile(F.when(F.col("event_type") == "view", F.col("value")), F.lit(0.95)).alias("p95"), F.count_if(F.col("event_type") == "error").alias("errors"), F.countDistinct(F.when(F.col("event_type") == "click", F.col("request_id"))).alias("carted"))
-    a = hit.join(F.broadcast(rest))  # one row each
+    rest = log.agg(F.count_if(F.col("event_type") == "view").alias("identify"), F.count_if(F.col("event_type") == "error").alias("errors"), F.countDistinct(F.when(F.col("event_type") == "click", F.col("request_id"))).alias("carted"))
+    p95 = percentiles(identified(log).withColumn("all", F.lit(1)), "all", "value", {"p95": 0.95}).agg(F.max("p95").alias("p95"))
+    a = hit.join(F.broadcast(rest)).join(F.broadcast(p95))  # one row each
     rule = lambda no, severity, what, when: F.when(when, F.struct(F.lit(no).alias("no"), F.lit(severity).alias("severity"), F.lit(what).alias("what")))
     c = F.col
     rules = F.array(rule(1, "bad", "top answer rarely bought", (c("items") >= 10) & (c("top1") < 0.6)), rule(2, "warn", "slow answers", c("p95") > 1500), rule(3, "bad", "errors", c("errors") >= 3), rule(4, "warn", "few answers reach the cart", (c("identify") >= 20) & (c("carted") / c("identify") < 0.3)))

@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lodestone.functions.dimensions import pipe_size_of_od, ratio_score
+from lodestone.functions.ranking import running
 from lodestone.functions.text import norm_attr, path_key, split_path
 from lodestone.plans.views import SQL_PARTS, parts
 from lodestone.registry import query
@@ -86,9 +87,10 @@ def upserted(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {SQL_PARTS}, k AS (SELECT *, family || '|' || brand || '|' || size AS spec FROM parts), f AS (SELECT *, min(part) OVER (PARTITION BY spec) AS first_part FROM k) SELECT part, spec, dense_rank() OVER (ORDER BY first_part) - 1 AS label FROM f")
 def label_map(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Dense labels of distinct specifications in order of their first part. Only the specifications are ranked as a whole."""
+    """Dense labels of distinct specifications in order of their first part, numbered by ranges."""
     k = parts(spark, sf_dir).select("part", F.concat_ws("|", "family", "brand", F.col("size").cast("string")).alias("spec"))
-    ranked = k.groupBy("spec").agg(F.min("part").alias("first_part")).select("spec", (F.row_number().over(W.orderBy("first_part")) - 1).cast("bigint").alias("label"))
+    first = k.groupBy("spec").agg(F.min("part").alias("first_part")).withColumns({"n": F.lit(1).cast("long"), "all": F.lit(0)})
+    ranked = running(first, "all", "first_part", "n").select("spec", (F.col("up_to") - 1).alias("label"))
     return k.join(ranked, "spec").select("part", "spec", "label")
 
 

@@ -7,10 +7,11 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lodestone.functions.numeric import ratio
+from lodestone.plans.scratch import cut
 from lodestone.plans.views import SQL_LINES, order_lines
 from lodestone.registry import query
 
-#: Parts of one order that make pairs.
+#: Fixed value: an order's first so many families, in order of name, make pairs.
 PAIR_CAP = 40
 
 
@@ -29,7 +30,7 @@ def customer_first_last(spark: SparkSession, sf_dir: str) -> DataFrame:
     return order_lines(spark, sf_dir).groupBy("client").agg(F.min("placed_at").alias("first_at"), F.max("placed_at").alias("last_at"), F.countDistinct("order_id").alias("orders"), F.sum("quantity").alias("items"), F.max_by("order_id", F.struct("placed_at", "order_id")).alias("recent"))
 
 
-SQL_PAIRS = """basket AS (SELECT DISTINCT order_id, client, family AS part FROM lines WHERE family IS NOT NULL),
+SQL_PAIRS = f"""basket AS (SELECT * FROM (SELECT DISTINCT order_id, client, family AS part FROM lines WHERE family IS NOT NULL) x QUALIFY row_number() OVER (PARTITION BY order_id ORDER BY part) <= {PAIR_CAP}),
 pairs AS (SELECT a.part AS a, b.part AS b, count(DISTINCT a.order_id) AS orders, count(DISTINCT a.client) AS clients FROM basket a JOIN basket b ON a.order_id = b.order_id AND a.part < b.part GROUP BY ALL)"""
 
 
@@ -80,12 +81,12 @@ def reorder_due(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""WITH {SQL_LINES}, h AS (SELECT client, kind AS value, count(*) AS n FROM lines WHERE kind IS NOT NULL GROUP BY ALL), t AS (SELECT *, sum(n) OVER (PARTITION BY client) AS total, row_number() OVER (PARTITION BY client ORDER BY n DESC, value) AS r FROM h)
- SELECT client, value, n, round(n / total, 6) AS share FROM t WHERE r = 1 AND n >= 2 AND n / total >= 0.3""")
+ SELECT client, value, n, round(n / total, 6) AS share FROM t WHERE r = 1 AND n >= 2 AND n / total >= 0.4""")
 def usual_values(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The usual type of a client: the most frequent, twice at least and three tenths of all."""
+    """The usual type of a client: the most frequent, twice at least and four tenths of all."""
     h = order_lines(spark, sf_dir).where("kind is not null").groupBy("client", F.col("kind").alias("value")).agg(F.count("*").alias("n"))
     t = h.groupBy("client").agg(F.sum("n").alias("total"), F.max_by(F.struct("value", "n"), F.struct("n", F.lit(0))).alias("x"), F.min(F.struct((-F.col("n")).alias("m"), "value", "n")).alias("top"))
-    return t.select("client", "top.value", "top.n", (F.col("top.n") / F.col("total")).alias("s")).where("n >= 2 and s >= 0.3").select("client", "value", "n", F.round("s", 6).alias("share"))
+    return t.select("client", "top.value", "top.n", (F.col("top.n") / F.col("total")).alias("s")).where("n >= 2 and s >= 0.4").select("client", "value", "n", F.round("s", 6).alias("share"))
 
 
 SQL_PRIOR = """own AS (SELECT client, kind, count(*) AS n FROM lines WHERE kind IS NOT NULL GROUP BY ALL), tot AS (SELECT client, sum(n) AS n FROM own GROUP BY 1),
@@ -222,9 +223,8 @@ def segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = kinds.groupBy("client").pivot("kind", names).agg(F.first("n")).na.fill(0)
     total = sum((F.col(f"`{n}`") for n in names), F.lit(0))
     v = v.select("client", array_to_vector(F.array(*[F.sqrt(F.col(f"`{n}`") / total) for n in names])).alias("features"))
-    v = v.persist()  # read in every iteration
-    model = KMeans(k=8, seed=7, maxIter=25, featuresCol="features", predictionCol="segment").fit(v)
-    return model.transform(v).select("client", "segment")
+    v = cut(v)  # read in every iteration
+    return KMeans(k=8, seed=7, maxIter=25, featuresCol="features", predictionCol="segment").fit(v).transform(v).select("client", "segment")
 
 
 @query(f"WITH {SQL_LINES} SELECT kind, brand, count(*) AS lines, CAST(sum(quantity) AS BIGINT) AS quantity, grouping(kind) AS all_kinds, grouping(brand) AS all_brands FROM lines WHERE kind IS NOT NULL GROUP BY ROLLUP (kind, brand)")

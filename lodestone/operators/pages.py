@@ -33,45 +33,53 @@ def link_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 class _Reader(HTMLParser):
-    """Collects what product pages state: title, meta, JSON-LD, images, crumbs and two-column rows."""
+    """Collects what product pages state: title, meta, JSON-LD, images and two-column rows. Text goes to every element of
+    interest that is open, so markup inside a cell loses no words; line breaks count as blanks."""
 
     def __init__(self) -> None:
         super().__init__()
         self.title, self.meta, self.data, self.images, self.rows = "", {}, [], [], []
-        self._open: list[str] = []
+        self._texts: list[tuple[str, list[str]]] = []
         self._row: list[str] = []
-        self._text = ""
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         a = dict(attrs)
-        if tag == "meta" and (name := a.get("property") or a.get("name")):
+        if tag == "meta" and (name := (a.get("property") or a.get("name") or "").lower()):
             self.meta.setdefault(name, a.get("content") or "")
         elif tag == "img":
             self.images.append(a.get("src") or "")
-            return
+        elif tag in ("br", "p", "div", "li"):
+            self.handle_data(" ")
         elif tag == "tr":
             self._row = []
-        self._open.append("ld" if tag == "script" and a.get("type") == "application/ld+json" else tag)
-        self._text = ""
+        elif tag in ("title", "td", "th") or (tag == "script" and (a.get("type") or "").lower() == "application/ld+json"):
+            self._texts.append((tag, []))
 
     def handle_data(self, data: str) -> None:
-        self._text += data
+        for _, text in self._texts:
+            text.append(data)
 
     def handle_endtag(self, tag: str) -> None:
-        kind = self._open.pop() if self._open else tag
-        text = " ".join(self._text.split())
-        if kind == "title":
-            self.title = self.title or text
-        elif kind == "ld":
+        if tag == "tr":
+            if len(self._row) == 2 and all(self._row):
+                self.rows.append(tuple(self._row))
+            self._row = []
+        if not any(t == tag for t, _ in self._texts):
+            return
+        while self._texts:  # elements left open inside end with it
+            kind, pieces = self._texts.pop()
+            if kind == tag:
+                break
+        text = "".join(pieces)
+        if tag == "title":
+            self.title = self.title or " ".join(text.split())
+        elif tag == "script":
             try:
-                self.data.append(json.loads(self._text))
+                self.data.append(json.loads(text))
             except ValueError:
                 pass
-        elif tag in ("td", "th"):
-            self._row.append(text)
-        elif tag == "tr" and len(self._row) == 2 and all(self._row):
-            self.rows.append(tuple(self._row))
-        self._text = ""
+        else:
+            self._row.append(" ".join(text.split()))
 
 
 def parse_product(html: str) -> dict:
@@ -101,8 +109,9 @@ def product_pages(pages: DataFrame) -> DataFrame:
     return found.withColumn("attributes", F.map_from_entries("attributes"))
 
 
-@query()
+@query(r"""WITH t AS (SELECT page_id, html, trim(regexp_replace(regexp_extract(html, '<title>([^<]*)</title>', 1), '\s+', ' ', 'g')) AS name FROM pages)
+ SELECT page_id, replace(replace(replace(replace(name, '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&amp;', '&') AS name, len(list_distinct(list_filter(regexp_extract_all(html, '<img [^>]*src="([^"]*)"', 1), lambda x: x <> '' AND NOT contains(lower(x), 'logo')))) AS n_images FROM t""")
 def page_products(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Product facts of every page."""
+    """Name and number of images of every page, by the product parser."""
     p = product_pages(table(spark, sf_dir, "pages"))
-    return p.select("page_id", "name", "description", F.size("images").alias("n_images"), F.size("attributes").alias("n_attributes"))
+    return p.select("page_id", "name", F.size("images").cast("bigint").alias("n_images"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -29,7 +31,8 @@ def bm25(docs: DataFrame, key: str, text: str, asked: list[str]) -> DataFrame:
     Queries are a stated few: each document's tokens are matched with theirs in the scan, so only hits are shuffled. Lengths
     and document frequencies cover all documents.
     """
-    wanted = {q: sorted(set(q.lower().split())) for q in asked}
+    wanted = {q: sorted(set(re.findall("[0-9a-z]+", q.lower()))) for q in asked}
+    wanted = {q: ws for q, ws in wanted.items() if ws}
     every = sorted({t for ts in wanted.values() for t in ts})
     t = tokens(F.col(text))
     own = docs.select(key, t.alias("t")).select(key, F.size("t").alias("dl"), *[F.size(F.filter("t", _is(w))).alias(f"tf_{w}") for w in every])
