@@ -52,7 +52,3 @@ def test_carts_stream_as_batch(spark):
     key = lambda r: r.user_id
     stream = sorted(events.stream_carts(spark, SF).collect(), key=key)
     assert stream == sorted(events.carts_batch(spark.read.parquet(f"{SF}/events.parquet")).collect(), key=key)
-
-
-def test_page_products(spark):
-    assert pages.page_products(spark, SF).where("name <> ''").count() == spark.read.parquet(f"{SF}/pages.parquet").count()
