@@ -67,21 +67,27 @@ def encoder(vocabulary: str):
     of the time; texts with the special token, or a run of white space that tiktoken's pattern can't take, go to tokenizers."""
     import tiktoken
     from public_tokenizers import PATTERN
-    from tokenizers import Tokenizer
 
-    whole = Tokenizer.from_file(vocabulary)
     with open(vocabulary.removesuffix(".json") + ".tiktoken", "rb") as f:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
     core = tiktoken.Encoding("plain", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
 
     def encode(text: str) -> np.ndarray:
         if SPECIAL in text or RUN.search(text):
-            return np.array(whole.encode(text, add_special_tokens=False).ids, dtype="<u4")
+            return np.array(_whole(vocabulary).encode(text, add_special_tokens=False).ids, dtype="<u4")
         return core.encode_to_numpy(text, disallowed_special=())
 
     return encode
 
 
+@functools.lru_cache(maxsize=1)
+def _whole(vocabulary: str):
+    """The file's own tokenizer, which few tasks need."""
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(vocabulary)
+
+
 def _pack(vocabulary: str, capacity: int, chunk: int, pool: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(vocabulary)

@@ -17,7 +17,7 @@ from lodestone.plans.scratch import cut  # noqa: F401  operators take it from he
 SPACES = (0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D)
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Bytes of text that one vectorised step takes; a longer text is a step of its own.
-STEP_BYTES = 2_000_000
+STEP_BYTES = 1_000_000
 
 
 def ascii_lower(text: Column) -> Column:
@@ -59,6 +59,8 @@ def steps(column: pa.Array, lower: bool = True, size: int = STEP_BYTES) -> Itera
         high = min(max(high, low + 1), len(column))
         yield low, high, data[offsets[low] : offsets[high]], offsets[low : high + 1] - offsets[low]
         low = high
+    del column, data, offsets
+    pa.default_memory_pool().release_unused()  # workers live on between tasks
 
 
 def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -73,7 +75,7 @@ def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     first[1:] &= ~inside[:-1] | edge[1:-1]
     last[:-1] &= ~inside[1:] | edge[1:-1]
     starts, ends = np.flatnonzero(first), np.flatnonzero(last) + 1
-    up, down = _powers(-(-len(data) // STEP_BYTES) * STEP_BYTES)
+    up, down = _powers(STEP_BYTES) if len(data) <= STEP_BYTES else _powers.__wrapped__(len(data))  # those of a longer text aren't kept
     sums = np.zeros(len(data) + 1, dtype=np.uint64)
     np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[: len(data)], out=sums[1:])
     rows = np.searchsorted(offsets, starts, side="right") - 1
