@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lodestone.functions.numeric import percentiles, ratio, share
-from lodestone.plans.views import SQL_EVENTS, answers, attributed, bought, event_log, identified
-from lodestone.registry import query
+from lodestone.plans.scratch import cut
+from lodestone.plans.views import SQL_EVENTS, SQL_PARTS, answers, attributed, bought, event_log, identified, parts
+from lodestone.registry import SQL, query
 
 
 @query(f"""WITH {SQL_EVENTS} SELECT event_type AS kind, count(*) AS n, count(DISTINCT request_id) AS requests,
@@ -204,26 +207,65 @@ def segment_precision(spark: SparkSession, sf_dir: str) -> DataFrame:
     return attributed(event_log(spark, sf_dir)).join(s, "user_id").groupBy("segment").agg(F.count("*").alias("n"), share(F.col("best") == F.col("truth")).alias("precision"))
 
 
-@query(f"""WITH {SQL_EVENTS}, a AS (SELECT (SELECT count(*) FROM ident) AS identify, (SELECT count(*) FROM hit) AS items, (SELECT avg(CAST(best = truth AS INT)) FROM hit) AS top1,
-  (SELECT quantile_cont(value, 0.95) FROM ident) AS p95, (SELECT count(*) FROM log WHERE event_type = 'error') AS errors,
-  (SELECT count(DISTINCT request_id) FROM log WHERE event_type = 'click') / nullif((SELECT count(*) FROM ident), 0) AS to_cart)
+@query(f"""WITH {SQL_EVENTS}, {SQL_PARTS}, c AS (SELECT best, truth, count(*) AS times FROM hit WHERE best <> truth GROUP BY ALL), s AS (SELECT * FROM ({SQL["search_funnel"]}) x), strip AS (SELECT * FROM ({SQL["strip_take"]}) x),
+ spec AS (SELECT part, concat_ws('|', brand, kind, name, CAST(size AS VARCHAR)) AS spec FROM parts), eq AS (SELECT sum(CASE WHEN p.spec = t.spec THEN times ELSE 0 END) / sum(times) AS share FROM c LEFT JOIN spec p ON p.part = best LEFT JOIN spec t ON t.part = truth),
+ a AS (SELECT (SELECT count(*) FROM ident) AS identify, (SELECT count(*) FROM hit) AS items, (SELECT avg(CAST(best = truth AS INT)) FROM hit) AS top1, (SELECT quantile_cont(value, 0.95) FROM ident) AS p95,
+  (SELECT avg(coalesce(confidence, 0)) FILTER (WHERE best = truth) FROM hit) AS sure, (SELECT avg(coalesce(confidence, 0)) FILTER (WHERE best <> truth) FROM hit) AS unsure, (SELECT count(*) FROM log WHERE event_type = 'error') AS errors,
+  (SELECT count(*) FROM log WHERE event_type = 'signup' AND k % 9 = 0) AS none, (SELECT count(DISTINCT request_id) FROM log WHERE event_type = 'click') AS carted)
  SELECT 1 AS no, 'bad' AS severity, 'top answer rarely bought' AS what FROM a WHERE items >= 10 AND top1 < 0.6
- UNION ALL SELECT 2, 'warn', 'slow answers' FROM a WHERE p95 > 1500 UNION ALL SELECT 3, 'bad', 'errors' FROM a WHERE errors >= 3
- UNION ALL SELECT 4, 'warn', 'few answers reach the cart' FROM a WHERE identify >= 20 AND to_cart < 0.3
- UNION ALL SELECT 5, 'warn', 'confused pair ' || best || ' ' || truth FROM (SELECT best, truth, count(*) AS n FROM hit WHERE best <> truth GROUP BY ALL HAVING n >= 2 ORDER BY n DESC, best, truth LIMIT 5)""")
+ UNION ALL SELECT 2, 'warn', 'confused pair ' || best || ' ' || truth FROM (FROM c ORDER BY times DESC, best, truth LIMIT 5) x WHERE times >= 2
+ UNION ALL SELECT 3, 'bad', 'weak tier ' || tier FROM (SELECT tier, count(*) AS n, avg(CAST(best = truth AS INT)) AS p FROM hit GROUP BY 1) x WHERE n >= 5 AND p < CASE tier WHEN 'exact' THEN 0.9 WHEN 'likely' THEN 0.7 END
+ UNION ALL SELECT 4, 'warn', 'weak category ' || category FROM (SELECT category, count(*) AS n, round(avg(CAST(best = truth AS INT)), 6) AS p FROM hit GROUP BY 1 ORDER BY p, category LIMIT 2) x WHERE n >= 5 AND p < 0.5
+ UNION ALL SELECT 5, 'warn', 'weak segment ' || segment FROM (SELECT c_mktsegment AS segment, count(*) AS n, round(avg(CAST(best = truth AS INT)), 6) AS p FROM hit JOIN customer ON c_custkey = user_id GROUP BY 1 ORDER BY p, segment LIMIT 1) x WHERE n >= 10 AND p < 0.5
+ UNION ALL SELECT 6, 'info', 'parts of one specification confused' FROM eq WHERE share >= 0.3
+ UNION ALL SELECT 7, 'warn', 'searches find nothing' FROM s WHERE searches >= 50 AND no_result >= 0.2
+ UNION ALL SELECT 8, 'info', 'strip rarely taken' FROM strip WHERE orders_after_strip >= 30 AND take < 0.2
+ UNION ALL SELECT 9, 'warn', 'confidence does not tell right from wrong' FROM a WHERE unsure > sure - 0.05
+ UNION ALL SELECT 10, 'warn', 'slow answers' FROM a WHERE p95 > 1500 UNION ALL SELECT 11, 'bad', 'errors' FROM a WHERE errors >= 3
+ UNION ALL SELECT 12, 'bad', 'nothing in the list fits' FROM a WHERE identify >= 20 AND none / identify > 0.25
+ UNION ALL SELECT 13, 'warn', 'few answers reach the cart' FROM a WHERE identify >= 20 AND carted / identify < 0.3""")
 def issues(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rules with a least support over the report, in fixed order: number, severity and what is wrong."""
-    log = event_log(spark, sf_dir)
-    hit = attributed(log).agg(F.count("*").alias("items"), F.avg((F.col("best") == F.col("truth")).cast("int")).alias("top1"))
-    rest = log.agg(F.count_if(F.col("event_type") == "view").alias("identify"), F.count_if(F.col("event_type") == "error").alias("errors"), F.countDistinct(F.when(F.col("event_type") == "click", F.col("request_id"))).alias("carted"))
-    p95 = percentiles(identified(log).withColumn("all", F.lit(1)), "all", "value", {"p95": 0.95}).agg(F.max("p95").alias("p95"))
-    a = hit.join(F.broadcast(rest)).join(F.broadcast(p95))  # one row each
-    rule = lambda no, severity, what, when: F.when(when, F.struct(F.lit(no).alias("no"), F.lit(severity).alias("severity"), F.lit(what).alias("what")))
-    c = F.col
-    rules = F.array(rule(1, "bad", "top answer rarely bought", (c("items") >= 10) & (c("top1") < 0.6)), rule(2, "warn", "slow answers", c("p95") > 1500), rule(3, "bad", "errors", c("errors") >= 3), rule(4, "warn", "few answers reach the cart", (c("identify") >= 20) & (c("carted") / c("identify") < 0.3)))
-    found = a.select(F.explode(F.filter(rules, lambda r: r.isNotNull())).alias("r")).select("r.*")
-    pairs = confusion_pairs(spark, sf_dir).where("times >= 2").orderBy(F.desc("times"), "predicted", "truth").limit(5)
-    return found.unionByName(pairs.select(F.lit(5).alias("no"), F.lit("warn").alias("severity"), F.concat_ws(" ", F.lit("confused pair"), F.col("predicted").cast("string"), F.col("truth").cast("string")).alias("what")))
+    """Thirteen rules with a least support over the report, in fixed order: number, severity and what is wrong.
+
+    Outcomes are counted once, by pair of parts, tier, category, segment and in all; each rule reads its rows of those counts
+    or of another one-row report. Ties go to the smaller key.
+    """
+    log, c = event_log(spark, sf_dir), F.col
+    customers = spark.read.parquet(f"{sf_dir}/customer.parquet").select(c("c_custkey").alias("user_id"), c("c_mktsegment").alias("segment"))
+    ok, sure = c("best") == c("truth"), F.coalesce("confidence", F.lit(0.0))
+    named = lambda level, *keys: F.struct(F.lit(level).alias("level"), F.concat_ws(" ", *[c(k).cast("string") for k in keys]).alias("key"), *[c(k).cast("bigint").alias(k) if level == "pair" else F.lit(None).cast("bigint").alias(k) for k in ("best", "truth")])
+    levels = F.array(named("all"), *[F.when(c(k).isNotNull(), named(k, k)) for k in ("tier", "category", "segment")], F.when(~ok, named("pair", "best", "truth")))
+    each = attributed(log).join(customers, "user_id", "left").select(F.explode(F.filter(levels, lambda x: x.isNotNull())).alias("x"), ok.alias("ok"), sure.alias("sure")).select("x.*", "ok", "sure")
+    counted = cut(each.groupBy("level", "key", "best", "truth").agg(F.count("*").alias("n"), share(c("ok")).alias("p"), F.avg(F.when(c("ok"), c("sure"))).alias("sure"), F.avg(F.when(~c("ok"), c("sure"))).alias("unsure")))
+    of = lambda level: counted.where(c("level") == level)
+    spec = lambda key, name: parts(spark, sf_dir).select(c("part").alias(key), F.concat_ws("|", "brand", "kind", "name", c("size").cast("string")).alias(name))
+    same = of("pair").join(spec("best", "s"), "best", "left").join(spec("truth", "t"), "truth", "left").agg((F.sum(F.when(c("s") == c("t"), c("n")).otherwise(0)) / F.sum("n")).alias("share"))
+    whole = log.agg(F.count_if(c("event_type") == "view").alias("identify"), F.count_if(c("event_type") == "error").alias("errors"), F.count_if((c("event_type") == "signup") & (c("k") % 9 == 0)).alias("none"), F.countDistinct(F.when(c("event_type") == "click", c("request_id"))).alias("carted"))
+    p95 = percentiles(identified(log).withColumn("all", F.lit(1)), "all", "value", {"p95": 0.95})
+    rate = lambda name: F.try_divide(c(name), c("identify"))
+
+    def rule(no: int, severity: str, what: str, rows: DataFrame, when: Column, keyed: bool = False) -> DataFrame:
+        text = F.concat(F.lit(what + " "), c("key")) if keyed else F.lit(what)
+        return rows.where(when).select(F.lit(no).alias("no"), F.lit(severity).alias("severity"), text.alias("what"))
+
+    worst = lambda level, order, n: of(level).orderBy(*order).limit(n)
+    category = of("category").withColumn("number", c("key").cast("bigint")).orderBy("p", "number").limit(2)
+    rules = [
+        rule(1, "bad", "top answer rarely bought", of("all"), (c("n") >= 10) & (c("p") < 0.6)),
+        rule(2, "warn", "confused pair", worst("pair", [F.desc("n"), "best", "truth"], 5), c("n") >= 2, keyed=True),
+        rule(3, "bad", "weak tier", of("tier"), (c("n") >= 5) & (c("p") < F.when(c("key") == "exact", 0.9).when(c("key") == "likely", 0.7)), keyed=True),
+        rule(4, "warn", "weak category", category, (c("n") >= 5) & (c("p") < 0.5), keyed=True),
+        rule(5, "warn", "weak segment", worst("segment", ["p", "key"], 1), (c("n") >= 10) & (c("p") < 0.5), keyed=True),
+        rule(6, "info", "parts of one specification confused", same, c("share") >= 0.3),
+        rule(7, "warn", "searches find nothing", search_funnel(spark, sf_dir), (c("searches") >= 50) & (c("no_result") >= 0.2)),
+        rule(8, "info", "strip rarely taken", strip_take(spark, sf_dir), (c("orders_after_strip") >= 30) & (c("take") < 0.2)),
+        rule(9, "warn", "confidence does not tell right from wrong", of("all"), c("unsure") > c("sure") - 0.05),
+        rule(10, "warn", "slow answers", p95, c("p95") > 1500),
+        rule(11, "bad", "errors", whole, c("errors") >= 3),
+        rule(12, "bad", "nothing in the list fits", whole, (c("identify") >= 20) & (rate("none") > 0.25)),
+        rule(13, "warn", "few answers reach the cart", whole, (c("identify") >= 20) & (rate("carted") < 0.3)),
+    ]
+    return reduce(DataFrame.unionByName, rules)
 
 
 @query(f"WITH {SQL_EVENTS} SELECT event_id, user_id, count(*) OVER (PARTITION BY user_id ORDER BY ts RANGE BETWEEN INTERVAL 6 HOURS PRECEDING AND CURRENT ROW) AS calls FROM log")

@@ -219,11 +219,10 @@ def stated_times(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select("event_id", F.date_format(at, "yyyy-MM-dd HH:mm:ss").alias("at"), (at < F.lit("2024-01-10 00:00:00").cast("timestamp")).alias("stale"))
 
 
-@query(f"WITH r AS ({SQL['recommend']}) SELECT CASE WHEN why = 'popular' THEN 'popular' ELSE 'own history' END AS reason, count(*) AS n FROM r GROUP BY 1")
+@query(f"WITH r AS ({SQL['recommend']}) SELECT CASE WHEN why IN ('complement', 'segment', 'aisle', 'popular') THEN why ELSE 'own history' END AS reason, count(*) AS n FROM r GROUP BY 1")
 def recommendation_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Recommendations by the kind of their reason."""
-    why = F.col("why")
-    kind = F.when(why.startswith("often bought with"), "complement").when(F.contains(why, F.lit("shops like yours")), "segment favourite").when(why.startswith("new in"), "usual aisle").when(why == "popular", "popular").otherwise("own history")
+    kind = F.when(F.col("why").isin("complement", "segment", "aisle", "popular"), F.col("why")).otherwise("own history")
     return recommend(spark, sf_dir).groupBy(kind.alias("reason")).agg(F.count("*").alias("n"))
 
 

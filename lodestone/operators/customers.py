@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lodestone.functions.numeric import ratio
 from lodestone.plans.scratch import cut
-from lodestone.plans.views import SQL_LINES, order_lines
-from lodestone.registry import query
+from lodestone.plans.views import SQL_LINES, SQL_PARTS, order_lines, parts
+from lodestone.registry import SQL, query
 
 #: Fixed value: an order's first so many families, in order of name, make pairs.
 PAIR_CAP = 40
@@ -66,18 +68,27 @@ def complements_lift(spark: SparkSession, sf_dir: str) -> DataFrame:
     return both.withColumn("r", F.row_number().over(W.partitionBy("part").orderBy(F.desc("lift"), "other"))).where("r <= 5").drop("r")
 
 
-@query(f"""WITH {SQL_LINES}, b AS (SELECT DISTINCT client, brand, placed_at FROM lines WHERE brand IS NOT NULL), g AS (SELECT client, brand, placed_at, date_diff('second', lag(placed_at) OVER (PARTITION BY client, brand ORDER BY placed_at), placed_at) AS gap FROM b),
- m AS (SELECT client, brand, count(*) AS times, max(placed_at) AS last_at, list_sort(list(gap) FILTER (WHERE gap IS NOT NULL)) AS gaps FROM g GROUP BY ALL HAVING count(*) >= 3),
- d AS (SELECT client, brand, times, gaps[len(gaps) // 2 + 1] AS every_s, date_diff('second', last_at, TIMESTAMP '2001-01-01') AS since_s FROM m)
- SELECT client, brand, times, round(every_s / 86400.0, 1) AS every_days, round(since_s / 86400.0, 1) AS since_days FROM d WHERE every_s >= 3600 AND since_s >= every_s""")
-def reorder_due(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Brands due again: three or more purchases, and the upper median of the gaps has passed since the last."""
-    b = order_lines(spark, sf_dir).where("brand is not null").select("client", "brand", "placed_at").distinct()
+def _sql_due(key: str) -> str:
+    return f"""b AS (SELECT DISTINCT client, {key}, placed_at FROM lines WHERE {key} IS NOT NULL), g AS (SELECT client, {key}, placed_at, date_diff('second', lag(placed_at) OVER (PARTITION BY client, {key} ORDER BY placed_at), placed_at) AS gap FROM b),
+ m AS (SELECT client, {key}, count(*) AS times, max(placed_at) AS last_at, list_sort(list(gap) FILTER (WHERE gap IS NOT NULL)) AS gaps FROM g GROUP BY ALL HAVING count(*) >= 3),
+ due AS (SELECT * FROM (SELECT client, {key}, times, gaps[len(gaps) // 2 + 1] AS every_s, date_diff('second', last_at, TIMESTAMP '2001-01-01') AS since_s FROM m) x WHERE every_s >= 3600 AND since_s >= every_s)"""
+
+
+def due(lines: DataFrame, key: str) -> DataFrame:
+    """(client, key, times, every, since): what a client bought three times or more and whose upper median gap has passed, in seconds, on the report's day."""
+    b = lines.where(F.col(key).isNotNull()).select("client", key, "placed_at").distinct()
     seconds = F.unix_timestamp(F.col("placed_at").cast("timestamp"))
-    gap = seconds - F.lag(seconds).over(W.partitionBy("client", "brand").orderBy("placed_at"))
-    m = b.withColumn("gap", gap).groupBy("client", "brand").agg(F.count("*").alias("times"), F.max("placed_at").alias("last_at"), F.sort_array(F.collect_list("gap")).alias("gaps")).where("times >= 3")
-    d = m.select("client", "brand", "times", F.element_at("gaps", (F.floor(F.size("gaps") / 2) + 1).cast("int")).alias("every"), (F.unix_timestamp(F.lit("2001-01-01 00:00:00").cast("timestamp")) - F.unix_timestamp(F.col("last_at").cast("timestamp"))).alias("since"))
-    return d.where("every >= 3600 and since >= every").select("client", "brand", "times", F.round(F.col("every") / 86400.0, 1).alias("every_days"), F.round(F.col("since") / 86400.0, 1).alias("since_days"))
+    gap = seconds - F.lag(seconds).over(W.partitionBy("client", key).orderBy("placed_at"))
+    m = b.withColumn("gap", gap).groupBy("client", key).agg(F.count("*").alias("times"), F.max("placed_at").alias("last_at"), F.sort_array(F.collect_list("gap")).alias("gaps")).where("times >= 3")
+    every = F.element_at("gaps", (F.floor(F.size("gaps") / 2) + 1).cast("int"))
+    since = F.unix_timestamp(F.lit("2001-01-01 00:00:00").cast("timestamp")) - F.unix_timestamp(F.col("last_at").cast("timestamp"))
+    return m.select("client", key, "times", every.alias("every"), since.alias("since")).where("every >= 3600 and since >= every")
+
+
+@query(f"WITH {SQL_LINES}, {_sql_due('brand')} SELECT client, brand, times, round(every_s / 86400.0, 1) AS every_days, round(since_s / 86400.0, 1) AS since_days FROM due")
+def reorder_due(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Brands due again."""
+    return due(order_lines(spark, sf_dir), "brand").select("client", "brand", "times", F.round(F.col("every") / 86400.0, 1).alias("every_days"), F.round(F.col("since") / 86400.0, 1).alias("since_days"))
 
 
 @query(f"""WITH {SQL_LINES}, h AS (SELECT client, kind AS value, count(*) AS n FROM lines WHERE kind IS NOT NULL GROUP BY ALL), t AS (SELECT *, sum(n) OVER (PARTITION BY client) AS total, row_number() OVER (PARTITION BY client ORDER BY n DESC, value) AS r FROM h)
@@ -126,6 +137,49 @@ def boosts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return priors(spark, sf_dir).join(w, "client").select("client", "kind", F.round(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.col("weight") * soft)), 6).alias("boost"))
 
 
+SQL_CANDIDATES = "candidates AS (SELECT client, part FROM lines UNION SELECT client, part FROM (SELECT DISTINCT client FROM lines) x, (SELECT part FROM lines GROUP BY part ORDER BY count(*) DESC, part LIMIT 6) y)"
+
+
+def part_scores(candidates: DataFrame, catalog: DataFrame, lines: DataFrame, prior: DataFrame) -> DataFrame:
+    """candidates (client, part) with the boost of each part for its client, from -1 to 1.
+
+    Soft evidence, by how well the client is known: the clipped log of the type's prior over its global share, the share of
+    lines of the same size and of the same brand. Strong evidence in full: lines of the family, and of the part itself.
+    Parts that aren't in the catalog and clients without lines of a known type have 0. All shares come from one histogram
+    of (client, dimension, key), to which the candidates' own keys are joined once.
+    """
+    dims = ("kind", "brand", "family", "size", "part")
+    keyed = F.explode(F.array(*[F.struct(F.lit(d).alias("dim"), F.col(d).cast("string").alias("key")) for d in dims])).alias("x")
+    hist = lines.select("client", "order_id", keyed).where("x.key is not null").groupBy("client", "x.dim", "x.key").agg(F.count("*").alias("n"))
+    known = lines.groupBy("client").agg(F.count("kind").alias("items"), F.least(F.lit(1.0), F.countDistinct("order_id") / 5.0).alias("weight"))
+    c = candidates.select("client", "part").distinct().join(catalog.select(*dims), "part", "left")
+    found = c.select("client", F.col("part").alias("candidate"), F.col("kind").alias("type"), keyed).select("client", "candidate", "type", "x.*").join(hist, ["client", "dim", "key"], "left")
+    of = lambda d: F.coalesce(F.max(F.when(F.col("dim") == d, F.col("n"))), F.lit(0)).alias(f"n_{d}")
+    wide = found.groupBy("client", "candidate", "type").agg(*[of(d) for d in dims]).join(known, "client", "left").join(prior.withColumnRenamed("kind", "type"), ["client", "type"], "left")
+    taste = F.greatest(F.lit(-1.5), F.least(F.lit(1.5), F.log((F.col("p") + 0.001) / (F.col("g") + 0.001)))) / 1.5
+    part_of = lambda d, most: most * F.least(F.lit(1.0), 4 * F.col(f"n_{d}") / F.col("items"))
+    soft = F.coalesce(taste, F.lit(0.0)) + part_of("size", 0.15) + part_of("brand", 0.1)
+    strong = 0.3 * F.least(F.lit(1.0), F.col("n_family") / 3) + F.when(F.col("n_part") > 0, 0.5 + 0.1 * F.least(F.lit(3), F.col("n_part"))).otherwise(0.0)
+    boost = F.when(F.col("type").isNotNull() & (F.col("items") > 0), F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.col("weight") * soft + strong))).otherwise(0.0)
+    return wide.select("client", F.col("candidate").alias("part"), F.round(boost, 6).alias("boost"))
+
+
+def _sql_count(dim: str) -> str:
+    return f"LEFT JOIN (SELECT client, {dim}, count(*) AS n FROM lines WHERE {dim} IS NOT NULL GROUP BY ALL) n_{dim} ON n_{dim}.client = c.client AND n_{dim}.{dim} = p.{dim}"
+
+
+@query(f"""WITH {SQL_LINES}, {SQL_PRIOR}, {SQL_PARTS}, {SQL_CANDIDATES}, known AS (SELECT client, count(kind) AS items, least(1.0, count(DISTINCT order_id) / 5.0) AS weight FROM lines GROUP BY 1)
+ SELECT c.client, c.part, CASE WHEN p.kind IS NULL OR items = 0 THEN 0 ELSE round(greatest(-1, least(1, weight * (coalesce(greatest(-1.5, least(1.5, ln((r.p + 0.001) / (r.g + 0.001)))) / 1.5, 0) + 0.15 * least(1.0, 4 * coalesce(n_size.n, 0) / items) + 0.1 * least(1.0, 4 * coalesce(n_brand.n, 0) / items))
+  + 0.3 * least(1.0, coalesce(n_family.n, 0) / 3) + CASE WHEN n_part.n > 0 THEN 0.5 + 0.1 * least(3, n_part.n) ELSE 0 END)), 6) END AS boost
+ FROM candidates c LEFT JOIN parts p USING (part) JOIN known k ON k.client = c.client LEFT JOIN prior r ON r.client = c.client AND r.kind = p.kind {" ".join(map(_sql_count, ("size", "brand", "family", "part")))}""")
+def part_boosts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Boosts of the parts a client has bought and of the six most frequent ones."""
+    lines = order_lines(spark, sf_dir)
+    popular = lines.groupBy("part").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "part").limit(6).agg(F.collect_list("part").alias("popular"))  # six parts in one row
+    candidates = lines.select("client", "part").unionByName(lines.select("client").distinct().join(F.broadcast(popular)).select("client", F.explode("popular").alias("part")))
+    return part_scores(candidates, parts(spark, sf_dir), lines, priors(spark, sf_dir))
+
+
 @query(f"WITH {SQL_LINES}, c AS (SELECT part, count(*) AS n FROM lines GROUP BY 1) SELECT part, round(0.3 * ln(1 + n) / ln(1 + (SELECT max(n) FROM c)), 6) AS boost FROM c")
 def popularity_boosts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Boost of a part by how often it is bought, 0.3 for the most frequent."""
@@ -176,22 +230,71 @@ def once_bought_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.withColumns({"i": i, "n": F.count("*").over(W.partitionBy("client"))}).select("client", "part", F.round(0.8 - 0.04 * F.col("i") / F.greatest(F.lit(1), 2 * F.col("n")), 6).alias("score"))
 
 
-@query(f"""WITH {SQL_LINES}, c AS (SELECT client, family, count(*) AS n, max(placed_at) AS last_at FROM lines WHERE family IS NOT NULL GROUP BY ALL), pop AS (SELECT family, count(*) AS n FROM lines WHERE family IS NOT NULL GROUP BY 1 ORDER BY n DESC, family LIMIT 6),
- t AS (SELECT client, family, 1 AS tier, 1 + n / 10.0 AS score, 'staple' AS why FROM c WHERE n >= 2 UNION ALL SELECT client, family, 2, 0.8 - 0.01 * (row_number() OVER (PARTITION BY client ORDER BY last_at DESC, family) - 1), 'once' FROM c WHERE n = 1
-  UNION ALL SELECT DISTINCT client, p.family, 3, p.n / 1000000.0, 'popular' FROM c, pop p),
- f AS (SELECT client, family, arg_min(score, tier) AS score, arg_min(why, tier) AS why FROM t GROUP BY ALL)
- SELECT client, family, round(score, 6) AS score, why, row_number() OVER (PARTITION BY client ORDER BY round(score, 6) DESC, family) AS place FROM f QUALIFY place <= 6""")
+#: Places of the strip, those kept for what a client never bought, and how many of a list of guesses are looked at.
+PLACES, NEW, GUESSES = 6, 1, 12
+
+
+@query(f"""WITH {SQL_LINES}, {_sql_due('family')}, {SQL_PARTS}, lift AS ({SQL["complements_lift"]}), c AS (SELECT client, family, count(*) AS n, max(placed_at) AS last_at FROM lines WHERE family IS NOT NULL GROUP BY ALL), cust AS (SELECT c_custkey AS client, c_mktsegment AS segment FROM customer),
+ latest AS (SELECT client, arg_max(order_id, (placed_at, order_id)) AS order_id FROM lines WHERE family IS NOT NULL GROUP BY 1), recent AS (SELECT client, family, row_number() OVER (PARTITION BY client ORDER BY family) AS i FROM (SELECT DISTINCT client, family FROM lines JOIN latest USING (client, order_id) WHERE family IS NOT NULL) x),
+ l4 AS (SELECT *, row_number() OVER (PARTITION BY part ORDER BY lift DESC, other) AS r FROM lift QUALIFY r <= 4),
+ fav AS (SELECT segment, family, count(*) AS n, row_number() OVER (PARTITION BY segment ORDER BY count(*) DESC, family) AS r FROM lines JOIN cust USING (client) WHERE family IS NOT NULL GROUP BY segment, family QUALIFY r <= {GUESSES}),
+ kinds AS (SELECT client, kind, row_number() OVER (PARTITION BY client ORDER BY count(*) DESC, kind) - 1 AS j FROM lines WHERE kind IS NOT NULL GROUP BY client, kind QUALIFY j < 2), brands AS (SELECT client, brand, row_number() OVER (PARTITION BY client ORDER BY count(*) DESC, brand) - 1 AS m FROM lines WHERE brand IS NOT NULL GROUP BY client, brand QUALIFY m < 2),
+ aisle AS (SELECT k.client, j, s.family, row_number() OVER (PARTITION BY k.client, j ORDER BY m, s.family) - 1 AS found FROM kinds k JOIN brands USING (client) JOIN (SELECT DISTINCT kind, brand, family FROM parts WHERE family IS NOT NULL) s ON s.kind = k.kind AND s.brand = brands.brand
+  WHERE (k.client, s.family) NOT IN (SELECT (client, family) FROM c) QUALIFY found < {GUESSES}),
+ pop AS (SELECT family, count(*) AS n FROM lines WHERE family IS NOT NULL GROUP BY 1 ORDER BY n DESC, family LIMIT {PLACES}),
+ t AS (SELECT client, family, 1 AS tier, 0 AS sub, 2.0 AS score, 'due' AS why FROM due UNION ALL SELECT client, family, 2, 0, 1 + n / 10.0, 'staple' FROM c WHERE n >= 2
+  UNION ALL SELECT client, family, 3, i, 0.8 - 0.04 * i / {GUESSES}, 'once' FROM (SELECT client, family, row_number() OVER (PARTITION BY client ORDER BY last_at DESC, family) - 1 AS i FROM c WHERE n = 1) o WHERE i < {GUESSES}
+  UNION ALL SELECT client, other, 4, i * 10 + r, 0.4 + least(lift, 5) / 50, 'complement' FROM recent JOIN l4 ON l4.part = recent.family WHERE (client, other) NOT IN (SELECT (client, family) FROM c)
+  UNION ALL SELECT client, fav.family, 5, r, 0.2 + 0.1 * least(1.0, fav.n / 50), 'segment' FROM (SELECT DISTINCT client FROM c) x JOIN cust USING (client) JOIN fav USING (segment) WHERE (client, fav.family) NOT IN (SELECT (client, family) FROM c)
+  UNION ALL SELECT client, family, 6, j * 100 + found, 0.6 - 0.03 * j - 0.002 * found, 'aisle' FROM aisle
+  UNION ALL SELECT client, family, 7, 0, 0.2 * least(1.0, n / 50), 'popular' FROM cust, pop WHERE client NOT IN (SELECT client FROM c)),
+ f AS (SELECT client, family, round(arg_min(score, (tier, sub)), 6) AS score, arg_min(why, (tier, sub)) AS why, min(tier) AS tier FROM t GROUP BY ALL),
+ o AS (SELECT *, tier <= 3 AS own, row_number() OVER (PARTITION BY client, tier <= 3 ORDER BY score DESC, tier, family) AS r, count(*) FILTER (WHERE tier <= 3) OVER (PARTITION BY client) AS owns, count(*) FILTER (WHERE tier > 3) OVER (PARTITION BY client) AS news FROM f),
+ h AS (SELECT *, least(owns, CASE WHEN news > 0 THEN {PLACES - NEW} ELSE {PLACES} END) AS head FROM o)
+ SELECT client, family, score, why, CAST(CASE WHEN NOT own THEN head + r WHEN r <= head THEN r ELSE r + least(news, {PLACES} - head) END AS BIGINT) AS place FROM h WHERE (own OR r <= {PLACES} - head) AND place <= {PLACES}""")
 def recommend(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Six families for each client: staples, then those bought once, then popular ones; the first reason of a family stays."""
+    """Six families for each client, before a search.
+
+    Reasons in order: due again, bought twice or more, bought once (newest first), bought by others with those of the last
+    order, frequent in the segment, new in the client's two usual types and two usual brands, and, for customers without
+    orders, frequent ones. The first reason of a family stays and gives its score; equal scores go by reason, then name. The
+    last place is kept for a family the client never bought, if there is one. Lines without a family don't count, nor do
+    aisles of clients without a known brand. A list of the shelf is read as deep as a client's own families can reach into
+    it, so none is missed.
+    """
     lines = order_lines(spark, sf_dir).where("family is not null")
-    c = lines.groupBy("client", "family").agg(F.count("*").alias("n"), F.max("placed_at").alias("last_at"))
-    popular = lines.groupBy("family").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "family").limit(6).agg(F.collect_list(F.struct("family", "n")).alias("popular"))  # six families in one row
-    once = F.row_number().over(W.partitionBy("client").orderBy(F.desc("last_at"), "family")) - 1
-    t = c.where("n >= 2").select("client", "family", F.lit(1).alias("tier"), (1 + F.col("n") / 10.0).alias("score"), F.lit("staple").alias("why"))
-    t = t.unionByName(c.where("n = 1").select("client", "family", F.lit(2).alias("tier"), (0.8 - 0.01 * once).alias("score"), F.lit("once").alias("why")))
-    t = t.unionByName(c.select("client").distinct().join(F.broadcast(popular)).select("client", F.explode("popular").alias("p")).select("client", "p.family", F.lit(3).alias("tier"), (F.col("p.n") / 1000000.0).alias("score"), F.lit("popular").alias("why")))
-    f = t.groupBy("client", "family").agg(F.min_by(F.struct("score", "why"), "tier").alias("x")).select("client", "family", F.round("x.score", 6).alias("score"), "x.why")
-    return f.withColumn("place", F.row_number().over(W.partitionBy("client").orderBy(F.desc("score"), "family")).cast("bigint")).where("place <= 6")
+    c = cut(lines.groupBy("client", "family").agg(F.count("*").alias("n"), F.max("placed_at").alias("last_at")))
+    customers = spark.read.parquet(f"{sf_dir}/customer.parquet").select(F.col("c_custkey").alias("client"), F.col("c_mktsegment").alias("segment"))
+    bought = c.groupBy("client").agg(F.count("*").alias("families"))
+    rank = lambda by, *order: F.row_number().over(W.partitionBy(*by).orderBy(*order))
+    reason = lambda rows, tier, sub, score, why: rows.select("client", "family", F.lit(tier).alias("tier"), F.lit(sub).cast("int").alias("sub"), F.round(score, 6).alias("score"), F.lit(why).alias("why"))
+    unbought = lambda rows: rows.join(c.select("client", "family"), ["client", "family"], "left_anti")
+    top = lambda by, key, n: lines.where(F.col(key).isNotNull()).groupBy(by, key).agg(F.count("*").alias("n")).withColumn("r", rank([by], F.desc("n"), key)).where(F.col("r") <= n)
+
+    once = c.where("n = 1").withColumn("i", rank(["client"], F.desc("last_at"), "family") - 1).where(F.col("i") < GUESSES)
+    orders = lines.groupBy("client", "order_id").agg(F.max("placed_at").alias("at"), F.array_sort(F.collect_set("family")).alias("families"))
+    recent = orders.groupBy("client").agg(F.max_by("families", F.struct("at", "order_id")).alias("families")).select("client", F.posexplode("families").alias("i", "part"))
+    lift = complements_lift(spark, sf_dir).withColumn("r", rank(["part"], F.desc("lift"), "other")).where("r <= 4")
+    complements = unbought(recent.join(lift, "part").withColumnRenamed("other", "family"))
+    favourites = lines.join(customers, "client").groupBy("segment", "family").agg(F.count("*").alias("n")).withColumn("r", rank(["segment"], F.desc("n"), "family")).where(F.col("r") <= GUESSES)
+    segment = unbought(bought.join(customers, "client").join(favourites, "segment"))
+    shelf = parts(spark, sf_dir).where("family is not null").select("kind", "brand", "family").distinct().withColumn("deep", rank(["kind", "brand"], "family"))
+    usual = top("client", "kind", 2).select("client", "kind", (F.col("r") - 1).alias("j")).join(top("client", "brand", 2).select("client", "brand", F.col("r").alias("m")), "client").join(bought, "client")
+    aisle = unbought(usual.join(shelf, ["kind", "brand"]).where(F.col("deep") <= F.col("families") + GUESSES)).withColumn("found", rank(["client", "j"], "m", "family") - 1).where(F.col("found") < GUESSES)
+    popular = c.groupBy("family").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "family").limit(PLACES).agg(F.collect_list(F.struct("family", "n")).alias("popular"))  # six families in one row
+    unknown = customers.join(bought, "client", "left_anti").join(F.broadcast(popular)).select("client", F.explode("popular").alias("p")).select("client", "p.*")
+    reasons = [
+        reason(due(lines, "family"), 1, 0, F.lit(2.0), "due"), reason(c.where("n >= 2"), 2, 0, 1 + F.col("n") / 10.0, "staple"), reason(once, 3, F.col("i"), 0.8 - 0.04 * F.col("i") / GUESSES, "once"),
+        reason(complements, 4, F.col("i") * 10 + F.col("r"), 0.4 + F.least(F.col("lift"), F.lit(5.0)) / 50, "complement"), reason(segment, 5, F.col("r"), 0.2 + 0.1 * F.least(F.lit(1.0), F.col("n") / 50), "segment"),
+        reason(aisle, 6, F.col("j") * 100 + F.col("found"), 0.6 - 0.03 * F.col("j") - 0.002 * F.col("found"), "aisle"), reason(unknown, 7, 0, 0.2 * F.least(F.lit(1.0), F.col("n") / 50), "popular"),
+    ]
+    first = reduce(DataFrame.unionByName, reasons).groupBy("client", "family").agg(F.min_by(F.struct("score", "why", "tier"), F.struct("tier", "sub")).alias("x")).select("client", "family", "x.*")
+    own, every = F.col("tier") <= 3, W.partitionBy("client")
+    f = first.withColumns({"own": own, "owns": F.count_if(own).over(every), "news": F.count_if(~own).over(every), "r": F.row_number().over(W.partitionBy("client", own).orderBy(F.desc("score"), "tier", "family"))})
+    f = f.withColumn("head", F.least(F.col("owns"), F.when(F.col("news") > 0, PLACES - NEW).otherwise(PLACES)))
+    place = F.when(~F.col("own"), F.col("head") + F.col("r")).when(F.col("r") <= F.col("head"), F.col("r")).otherwise(F.col("r") + F.least(F.col("news"), PLACES - F.col("head")))
+    f = f.where(F.col("own") | (F.col("r") <= PLACES - F.col("head"))).withColumn("place", place.cast("bigint"))
+    return f.where(F.col("place") <= PLACES).select("client", "family", "score", "why", "place")
 
 
 @query(f"""WITH {SQL_LINES}, o AS (SELECT DISTINCT client, order_id, placed_at FROM lines), r AS (SELECT *, row_number() OVER (PARTITION BY client ORDER BY placed_at, order_id) AS round FROM o),
