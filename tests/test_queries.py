@@ -1,6 +1,7 @@
 """Every registered query of the engine against its SQL in DuckDB."""
 
 import math
+import os
 
 import duckdb
 import pandas as pd
@@ -52,3 +53,17 @@ def test_carts_stream_as_batch(spark):
     key = lambda r: r.user_id
     stream = sorted(events.stream_carts(spark, SF).collect(), key=key)
     assert stream == sorted(events.carts_batch(spark.read.parquet(f"{SF}/events.parquet")).collect(), key=key)
+
+
+def test_carts_over_micro_batches(spark, tmp_path):
+    """Events in order of time over several files, one a micro-batch: the last state of each user is that of all events at once."""
+    rows = pd.read_parquet(f"{SF}/events.parquet").sort_values(["ts", "event_id"])
+    for i, at in enumerate(range(0, len(rows), len(rows) // 3)):
+        rows.iloc[at : at + len(rows) // 3].to_parquet(tmp_path / f"{i}.parquet", index=False)
+        os.utime(tmp_path / f"{i}.parquet", (1_000_000 + i * 60, 1_000_000 + i * 60))
+    whole = spark.read.parquet(str(tmp_path))
+    stream = spark.readStream.schema(whole.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path))
+    every = events.drained(events.carts_stream(stream, None), "append")
+    assert every.count() > every.select("user_id").distinct().count()
+    last = {r.user_id: (r.lines, r.pieces, r.placed) for r in every.orderBy("seen").collect()}
+    assert last == {r.user_id: (r.lines, r.pieces, r.placed) for r in events.carts_batch(whole).collect()}
