@@ -45,22 +45,25 @@ def _feature_runs(data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[np.nd
 
 
 def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Documents of the task that have a feature: among the positive and among the unlabelled."""
+    """Documents of the task that have a feature: among the positive and among the unlabelled, and the exclusive or of all their hashes, equal for features of the same documents."""
     for batch in batches:
-        sides = np.array(batch.column(2))
+        sides, hashes = np.array(batch.column(2)), np.array(batch.column(3))
         for low, high, data, offsets in steps(batch.column(1), size=500_000):
-            found, side = [], sides[low:high]
+            found, side, own = [], sides[low:high], hashes[low:high]
             for value, rows in _feature_runs(data, offsets):
                 order = np.lexsort((value, rows))
                 value, rows = value[order], rows[order]
                 new = np.ones(len(value), dtype=bool)
                 new[1:] = (value[1:] != value[:-1]) | (rows[1:] != rows[:-1])
-                found.append((value[new & (rows >= 0)], side[rows[new & (rows >= 0)]]))
-            value, flags = np.concatenate([x[0] for x in found]), np.concatenate([x[1] for x in found])
+                found.append((value[new & (rows >= 0)], rows[new & (rows >= 0)]))
+            value, rows = np.concatenate([x[0] for x in found]), np.concatenate([x[1] for x in found])
+            flags, order = side[rows], np.argsort(value, kind="stable")
             kinds, place = np.unique(value, return_inverse=True)
+            starts = np.concatenate(([0], np.cumsum(np.bincount(place, minlength=len(kinds)))))[:-1]
+            held = np.bitwise_xor.reduceat(own[rows[order]], starts) if len(kinds) else np.zeros(0, dtype=np.int64)
             positive = np.bincount(place, weights=(flags & 1).astype(float), minlength=len(kinds)).astype(np.int64)
             other = np.bincount(place, weights=(flags >> 1).astype(float), minlength=len(kinds)).astype(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(kinds.view(np.int64)), pa.array(positive), pa.array(other)], names=["feature", "p", "u"])
+            yield pa.RecordBatch.from_arrays([pa.array(kinds.view(np.int64)), pa.array(positive), pa.array(other), pa.array(held)], names=["feature", "p", "u", "held"])
 
 
 def _present(data: np.ndarray, offsets: np.ndarray, features: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -119,9 +122,9 @@ def fit(docs: DataFrame, positive: DataFrame, prior: float, id_col: str = "doc_i
 
     The fit uses at most max_positive confirmed and max_unlabelled other or same documents, those of the smallest hash of
     their id, with whole texts. Features are words and byte n-grams that confirmed documents have more often than the
-    unlabelled by at least four standard errors and twice. N-grams of one word have equal counts: three of a pair of counts are
-    taken, then the clearest, max_features of them at most and about one for each confirmed document. No confirmed documents, no
-    unlabelled or no such features: a model of the bias alone.
+    unlabelled by at least four standard errors and twice. Of features that the very same documents have, as n-grams of one
+    word, three are taken; then the clearest, max_features of them at most. No confirmed documents, no unlabelled or no such
+    features: a model of the bias alone.
     """
     ids = docs.select(F.col(id_col).alias("id")).where("id is not null").distinct()
     toxic = positive.select(F.col(id_col).alias("id")).where("id is not null").distinct()
@@ -132,14 +135,14 @@ def fit(docs: DataFrame, positive: DataFrame, prior: float, id_col: str = "doc_i
     bias = float(np.log(prior / (1 - prior))) if 0 < prior < 1 else Model.bias
     if not n_p or not n_u:
         return Model(bias=bias)
-    sample = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(picked), "id").select("id", "text", "side")
+    sample = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(picked), "id").select("id", "text", "side", F.xxhash64("id").alias("hash"))
     sample = cut(sample.dropDuplicates(["id"]))  # at most max_positive + max_unlabelled rows
-    counted = sample.mapInArrow(_counts, "feature bigint, p bigint, u bigint").groupBy("feature").agg(F.sum("p").alias("p"), F.sum("u").alias("u"))
+    counted = sample.mapInArrow(_counts, "feature bigint, p bigint, u bigint, held bigint").groupBy("feature").agg(F.sum("p").alias("p"), F.sum("u").alias("u"), F.bit_xor("held").alias("held"))
     pp, pu = F.col("p") / n_p, (F.col("u") + 0.5) / (n_u + 1)
     clear = (pp - pu) / F.sqrt(pu * (1 - pu) / n_p + 1e-12)
     best = counted.withColumn("z", clear).where((F.col("p") >= 8) & (pp > 2 * pu) & (F.col("z") >= 4))
-    best = best.withColumn("like", F.row_number().over(W.partitionBy("p", "u").orderBy("feature"))).where("like <= 3")
-    best = best.orderBy(F.desc("z"), "feature").limit(min(max_features, max(128, n_p))).select("feature")
+    best = best.withColumn("like", F.row_number().over(W.partitionBy("p", "u", "held").orderBy("feature"))).where("like <= 3")
+    best = best.orderBy(F.desc("z"), "feature").limit(max_features).select("feature")
     features = np.sort(np.array([r[0] for r in best.collect()], dtype=np.int64).view(np.uint64))
     if not len(features):
         return Model(bias=bias)
