@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lodestone.functions.numeric import percentiles, ratio, share
+from lodestone.functions.ranking import running
 from lodestone.plans.scratch import cut
 from lodestone.plans.views import SQL_EVENTS, SQL_PARTS, answers, attributed, bought, event_log, identified, parts
 from lodestone.registry import SQL, query
@@ -120,11 +121,19 @@ def daily_trend(spark: SparkSession, sf_dir: str) -> DataFrame:
  SELECT count(*) AS orders_after_strip, round(avg(CAST(strip.part = part AS INT)), 6) AS take FROM t
  WHERE event_type = 'purchase' AND strip IS NOT NULL AND (used IS NULL OR (used.ts, used.id) < (strip.ts, strip.id))""")
 def strip_take(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each checkout takes the latest strip shown to that client since the checkout before it, and uses it up; take: it bought what was shown."""
-    s = event_log(spark, sf_dir).where("event_type in ('view', 'purchase')").select("user_id", "ts", "event_id", "event_type", "part")
-    w = W.partitionBy("user_id").orderBy("ts", "event_id").rowsBetween(W.unboundedPreceding, -1)
-    last = lambda kind: F.last(F.when(F.col("event_type") == kind, F.struct("ts", "event_id", "part")), ignorenulls=True).over(w)
-    t = s.withColumns({"strip": last("view"), "used": last("purchase")}).where("event_type = 'purchase' and strip is not null")
+    """Each checkout takes the latest strip shown to that client since the checkout before it, and uses it up; take: it bought what was shown.
+
+    A window covers a client's day; the last strip and checkout of the days before are carried in a row for each day, so a task
+    holds a day of a client, not the client.
+    """
+    s = event_log(spark, sf_dir).where("event_type in ('view', 'purchase')").select("user_id", F.to_date("ts").alias("day"), "ts", "event_id", "event_type", "part")
+    of = lambda kind: F.when(F.col("event_type") == kind, F.struct("ts", "event_id", "part"))
+    before = W.partitionBy("user_id").orderBy("day").rowsBetween(W.unboundedPreceding, -1)
+    days = s.groupBy("user_id", "day").agg(F.max(of("view")).alias("strip"), F.max(of("purchase")).alias("used"))
+    days = days.select("user_id", "day", *[F.last(c, ignorenulls=True).over(before).alias(f"old_{c}") for c in ("strip", "used")])
+    w = W.partitionBy("user_id", "day").orderBy("ts", "event_id").rowsBetween(W.unboundedPreceding, -1)
+    t = s.withColumns({"strip": F.last(of("view"), ignorenulls=True).over(w), "used": F.last(of("purchase"), ignorenulls=True).over(w)}).where("event_type = 'purchase'").join(days, ["user_id", "day"])
+    t = t.withColumns({c: F.coalesce(c, f"old_{c}") for c in ("strip", "used")}).where("strip is not null")
     t = t.where(F.col("used").isNull() | (F.struct("used.ts", "used.event_id") < F.struct("strip.ts", "strip.event_id")))
     return t.agg(F.count("*").alias("orders_after_strip"), share(F.col("strip.part") == F.col("part")).alias("take"))
 
@@ -270,16 +279,22 @@ def issues(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {SQL_EVENTS} SELECT event_id, user_id, count(*) OVER (PARTITION BY user_id ORDER BY ts RANGE BETWEEN INTERVAL 6 HOURS PRECEDING AND CURRENT ROW) AS calls FROM log")
 def rate_window(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Calls of each user in the six hours up to each call."""
-    seconds = F.unix_micros(F.col("ts").cast("timestamp"))
-    w = W.partitionBy("user_id").orderBy(seconds).rangeBetween(-6 * 3600 * 1_000_000, 0)
-    return event_log(spark, sf_dir).select("event_id", "user_id", F.count("*").over(w).alias("calls"))
+    """Calls of each user in the six hours up to each call. Every call stands in its own six hours and, to be counted only, in the
+    next six, so a task holds twelve hours of a user."""
+    six = 6 * 3600 * 1_000_000
+    calls = event_log(spark, sf_dir).select("event_id", "user_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("at")).withColumn("own", F.floor(F.col("at") / six))
+    calls = calls.withColumn("span", F.explode(F.array("own", F.col("own") + 1)))
+    w = W.partitionBy("user_id", "span").orderBy("at").rangeBetween(-six, 0)
+    return calls.withColumn("calls", F.count("*").over(w)).where("span = own").select("event_id", "user_id", "calls")
 
 
 @query(f"""WITH {SQL_EVENTS}, p AS (SELECT event_id, part, row_number() OVER (PARTITION BY part ORDER BY ts, event_id) - 1 AS i, count(*) OVER (PARTITION BY part) AS n FROM log WHERE event_type = 'signup')
  SELECT event_id, part, n >= 2 AND (i = n - 1 OR i % 5 = 4) AS held_out FROM p""")
 def feedback_holdout(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Photos held out of each part that has two or more: the last, and every fifth before it."""
-    w = W.partitionBy("part").orderBy("ts", "event_id")
-    p = event_log(spark, sf_dir).where("event_type = 'signup'").select("event_id", "part", (F.row_number().over(w) - 1).alias("i"), F.count("*").over(W.partitionBy("part")).alias("n"))
-    return p.select("event_id", "part", ((F.col("n") >= 2) & ((F.col("i") == F.col("n") - 1) | (F.col("i") % 5 == 4))).alias("held_out"))
+    """Photos held out of each part that has two or more: the last, and every fifth before it. Photos are numbered by ranges of
+    part and time (see running), so a part of many photos isn't one task's. Runs a job while the plan is built."""
+    p = event_log(spark, sf_dir).where("event_type = 'signup'").select("event_id", "part", F.struct("ts", "event_id").alias("at"), F.lit(1).alias("one"))
+    n = p.groupBy(F.col("part").alias("of")).agg(F.count("*").alias("n"))
+    placed = running(p, "part", "at", "one").join(n, F.col("part").eqNullSafe(F.col("of")))
+    last_or_fifth = (F.col("up_to") == F.col("n")) | (F.col("up_to") % 5 == 0)
+    return placed.select("event_id", "part", ((F.col("n") >= 2) & last_or_fifth).alias("held_out"))
