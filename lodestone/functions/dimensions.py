@@ -49,6 +49,6 @@ def pipe_size_of_od(od: Column, tolerance: float = 0.12) -> Column:
 
 
 def ratio_score(ratio: Column, low: float, high: float, falloff: float = 1.6) -> Column:
-    """1 within [low, high], falling by the log of the excess to -1; -1 for what isn't positive."""
+    """1 within [low, high], falling by the log of the excess to -1; -1 for what isn't positive, null for null."""
     excess = F.when(ratio < low, F.log(low / ratio)).otherwise(F.log(ratio / high))
-    return F.when(ratio <= 0, -1.0).when(ratio.between(low, high), 1.0).otherwise(F.greatest(F.lit(-1.0), 1 - 2 * excess / F.log(F.lit(falloff))))
+    return F.when(ratio <= 0, -1.0).when(ratio.between(low, high), 1.0).when(ratio.isNotNull(), F.greatest(F.lit(-1.0), 1 - 2 * excess / F.log(F.lit(falloff))))

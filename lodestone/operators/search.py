@@ -3,14 +3,16 @@
 from __future__ import annotations
 
 import re
+import zlib
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lodestone.functions.text import tokens
+from lodestone.plans.scratch import fresh
 from lodestone.plans.views import SQL_PARTS, parts, table
-from lodestone.registry import query
+from lodestone.registry import SQL, query
 
 K1, B = 1.2, 0.75
 #: The report's stated queries.
@@ -63,6 +65,47 @@ def bm25_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hits.withColumn("r", F.row_number().over(W.partitionBy("query").orderBy("score", "doc_id"))).where("r <= 20").drop("r")
 
 
+def write_index(docs: DataFrame, key: str, text: str, path: str, buckets: int = 64, files: int = 8) -> None:
+    """Writes a kept index: postings (token, key, tf, dl) in folders by a hash of the token, and a row of counts.
+
+    A common token's postings are dealt over `files` tasks by a hash of the key. Null and empty texts have no postings. Rows that
+    repeat a key are documents of their own as long as their lengths differ. A task writes one bucket's share at a time.
+    """
+    t = docs.select(F.col(key).alias("key"), tokens(F.col(text)).alias("t")).where(F.size("t") > 0).withColumn("dl", F.size("t"))
+    post = t.select("key", "dl", F.explode("t").alias("token")).groupBy("token", "key", "dl").agg(F.count("*").alias("tf"))
+    post = post.withColumn("bucket", F.pmod(F.crc32(F.col("token").cast("binary")), F.lit(buckets)).cast("int"))
+    post.repartition("bucket", F.pmod(F.xxhash64("key"), F.lit(files))).sortWithinPartitions("bucket", "token").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings")
+    t.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"), F.lit(buckets).alias("buckets"), F.lit(docs.schema[key].dataType.simpleString()).alias("key_type")).write.mode("overwrite").parquet(f"{path}/counts")
+
+
+def search_index(spark: SparkSession, path: str, asked: list[str]) -> DataFrame:
+    """(query, key, score) like bm25, from a kept index: only the folders of the queries' tokens are read, and in them only the row
+    groups that can hold these tokens. Queries are a stated few, so their tokens are known while the plan is built."""
+    wanted = {q: sorted(set(re.findall("[0-9a-z]+", q.lower()))) for q in asked}
+    every = sorted({t for ts in wanted.values() for t in ts})
+    counts = spark.read.parquet(f"{path}/counts")
+    kept = counts.first()
+    folders = sorted({zlib.crc32(t.encode()) % kept.buckets for t in every})
+    post = spark.read.schema(f"token string, key {kept.key_type}, dl int, tf bigint, bucket int").parquet(f"{path}/postings").where(F.col("bucket").isin(folders) & F.col("token").isin(every))
+    df = post.groupBy("token").agg(F.count("*").alias("df"))
+    terms = spark.createDataFrame([(q, t, len(ts)) for q, ts in wanted.items() for t in ts], "query string, token string, terms int")
+    facts = terms.join(df, "token").join(F.broadcast(counts.select("n", "avgdl")))  # one row
+    hits = post.join(F.broadcast(facts), "token")  # a row for each stated term
+    idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    score = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
+    found = hits.groupBy("query", "key", "dl", "terms").agg(F.count("*").alias("had"), (-F.sum(score)).alias("score"))
+    return found.where("had = terms").select("query", "key", "score")
+
+
+@query(SQL["bm25_search"])
+def index_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The twenty best documents of each stated query from a kept index, which is written first."""
+    path = fresh(spark)
+    write_index(table(spark, sf_dir, "documents"), "doc_id", "text", path)
+    hits = search_index(spark, path, list(ASKED)).select("query", F.col("key").alias("doc_id"), F.round("score", 6).alias("score"))
+    return hits.withColumn("r", F.row_number().over(W.partitionBy("query").orderBy("score", "doc_id"))).where("r <= 20").drop("r")
+
+
 @query(f"WITH {SQL_POSTINGS} SELECT token, count(*) AS documents, CAST(sum(tf) AS BIGINT) AS times FROM post GROUP BY token ORDER BY documents DESC, token LIMIT 100")
 def index_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The hundred most common terms of the index."""

@@ -118,3 +118,40 @@ def family_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     words = F.filter(F.regexp_extract_all("name", F.lit("[A-Za-z][A-Za-z-]+"), 0), lambda w: F.length(w) > 2)
     last = F.when(F.size(words) > 3, F.slice(words, -3, 3)).otherwise(words)
     return parts(spark, sf_dir).select("part", T.family_key(F.array("kind"), name).alias("family_key"), F.array_join(last, " ").alias("words"))
+
+
+_round = lambda inches: round(inches * MM + 1e-9, 2)
+_PIPE, _FEMALE, _BORE80 = _round(T.OD["1/2"]), _round(T.FEMALE["1/2"]), _round(T.OD["1/2"] - 2 * T.WALL["80"]["1/2"])
+_NUT8 = T.NUT_MM[8.0]
+_sql_score = lambda r, low, high, falloff: f"CASE WHEN {r} <= 0 THEN -1.0 WHEN {r} BETWEEN {low} AND {high} THEN 1.0 ELSE greatest(-1.0, 1 - 2 * (CASE WHEN {r} < {low} THEN ln({low} / ({r})) ELSE ln(({r}) / {high}) END) / ln({falloff})) END"
+_sql_body = lambda low, high: f"CASE WHEN short / {_PIPE} < {low} THEN {_sql_score(f'short / {_PIPE}', low, high, 1.25)} ELSE {_sql_score(f'short / {_PIPE}', low, high, 1.4)} END"
+
+
+@query(f"""WITH {SQL_PARTS}, m AS (SELECT part, part % 6 AS form, 5.0 + size AS stated, 4.0 + part % 30 AS long, 3.0 + part % 19 AS short, 8.0 + part % 17 AS bore FROM parts),
+ v AS (SELECT part, CASE WHEN form < 2 THEN {_sql_score('long / stated', 0.85, 1.4, 1.6)} END AS a, CASE form WHEN 1 THEN {_sql_score('short / 9.0', 0.85, 1.15, 1.35)} WHEN 2 THEN {_sql_score('long / 9.0', 0.85, 1.15, 1.35)} END AS b,
+  CASE WHEN form = 3 THEN CASE WHEN long < 1.5 * short THEN {_sql_score(f'short / {_NUT8}', 0.85, 1.15, 1.3)} ELSE {_sql_score(f'long / 1.08 / {_NUT8}', 0.85, 1.15, 1.3)} END END AS c,
+  CASE form WHEN 4 THEN {_sql_body(1.1, 1.6)} WHEN 5 THEN {_sql_body(0.9, 1.5)} END AS d, CASE form WHEN 4 THEN {_sql_score(f'bore / {_FEMALE}', 0.85, 1.15, 1.3)} WHEN 5 THEN {_sql_score(f'bore / {_BORE80}', 0.85, 1.15, 1.3)} END AS e FROM m)
+ SELECT part, round((coalesce(a, 0) + coalesce(b, 0) + coalesce(c, 0) + coalesce(d, 0) + coalesce(e, 0)) / (CASE WHEN a IS NULL THEN 0 ELSE 1 END + CASE WHEN b IS NULL THEN 0 ELSE 1 END + CASE WHEN c IS NULL THEN 0 ELSE 1 END + CASE WHEN d IS NULL THEN 0 ELSE 1 END + CASE WHEN e IS NULL THEN 0 ELSE 1 END), 5) AS vote,
+  concat_ws(' ', CASE WHEN a IS NOT NULL THEN 'length' END, CASE WHEN b IS NOT NULL THEN 'width' END, CASE WHEN c IS NOT NULL THEN 'nut' END, CASE WHEN d IS NOT NULL THEN 'pipe' END, CASE WHEN e IS NOT NULL THEN 'bore' END) AS votes FROM v""")
+def measured_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How measured sides and a bore agree with the length, width, thread or pipe that each part states."""
+    form, number = F.col("part") % 6, lambda c, low, n: (low + F.col(c) % n).cast("double")
+    entry = lambda *kv: F.create_map(*[x if not isinstance(x, str) else F.lit(x) for x in kv])
+    length = F.concat((5 + F.col("size")).cast("string"), F.lit(" mm"))
+    attributes = F.when(form == 0, entry("Length", length)).when(form == 1, entry("Overall-Length", length, "OD", "9 mm")).when(form == 2, entry("Outside Diameter", "9 mm")).when(form == 3, entry("Thread Size", "M8 x 1.25"))
+    attributes = attributes.when(form == 4, entry("Pipe Size", "1/2", "Gender", "Female")).otherwise(entry("pipe", "1/2 NPT", "gender", "male", "schedule", "80"))
+    p = parts(spark, sf_dir).select("part", attributes.alias("attributes"), F.when(form == 3, "hex nut").otherwise("fitting").alias("name"), number("part", 4, 30).alias("long"), number("part", 3, 19).alias("short"), number("part", 8, 17).alias("bore"))
+    p = T.size_votes(p.withColumn("pitch", F.lit(None)))
+    return p.select("part", F.round(T.size_score(F.col("votes")), 5).alias("vote"), F.array_join("votes.what", " ").alias("votes"))
+
+
+@query(f"""WITH {SQL_STATED}, od(key, v) AS (VALUES {_values(T.OD)}), bore(key, v) AS (VALUES {_values(T.BORE)}), wall(s, key, v) AS (VALUES {_walls}), female(key, v) AS (VALUES {_values(T.FEMALE)}), npt(key, v) AS (VALUES {_values(T.NPT)}), bsp(key, v) AS (VALUES {_values(T.BSP)}),
+ f AS (SELECT part, {_mm('od.v')} AS od, {_mm('coalesce(od.v - 2 * w40.v, CASE WHEN od.v IS NOT NULL THEN bore.v END)')} AS id, {_mm('female.v')} AS fb, CASE WHEN part % 3 = 0 THEN {_mm('coalesce(od.v - 2 * w80.v, CASE WHEN od.v IS NOT NULL THEN bore.v END)')} END AS wb, npt.v AS n, bsp.v AS b, contains(stated, 'NPT') AS is_npt, contains(stated, 'BSPT') AS is_bspt
+  FROM sized s LEFT JOIN od USING (key) LEFT JOIN bore USING (key) LEFT JOIN female USING (key) LEFT JOIN npt USING (key) LEFT JOIN bsp USING (key) LEFT JOIN wall w40 ON w40.key = s.key AND w40.s = '40' LEFT JOIN wall w80 ON w80.key = s.key AND w80.s = '80')
+ SELECT * FROM (SELECT part, unnest(['pipe OD', 'pipe ID', 'female bore', 'bore of the wall', 'NPT per inch', 'BSP per inch', 'male fits', 'female fits']) AS fact, unnest([CAST(od AS VARCHAR), CAST(id AS VARCHAR), CAST(fb AS VARCHAR), CAST(wb AS VARCHAR), CAST(CAST(n AS DOUBLE) AS VARCHAR), CAST(CAST(b AS DOUBLE) AS VARCHAR),
+  CASE WHEN is_npt THEN '{", ".join(T.MALE_FITS["NPT"])}' WHEN is_bspt THEN '{", ".join(T.MALE_FITS["BSPT"])}' END, CASE WHEN is_npt THEN '{", ".join(T.FEMALE_FITS["NPT"])}' WHEN is_bspt THEN '{", ".join(T.FEMALE_FITS["BSPT"])}' END]) AS value FROM f) x WHERE value IS NOT NULL""")
+def fitting_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a part's page says about its nominal pipe size and thread; every third part states schedule 80."""
+    s = stated_sizes(spark, sf_dir)
+    text = F.concat_ws(" ", "stated", F.when(F.col("part") % 3 == 0, "schedule 80"))
+    return s.select("part", F.inline(T.part_facts(T.pipe_size(F.col("stated")), text, F.lit(None).cast("double"))))

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from lodestone.functions import dimensions, text, threads
 from lodestone.functions.numeric import percentiles
+from lodestone.operators import search
 from lodestone.operators.answers import answer
 from lodestone.operators.fusion import rerank_within_tiers
 from lodestone.operators.pages import parse_product
@@ -150,6 +151,35 @@ def test_images_and_events(spark, tmp_path):
     assert readers.read_events(spark, str(tmp_path / "e.log"), "kind string, at string").count() == 1
 
 
+def test_size_votes(spark):
+    rows = [
+        (1, "Screw", {"LENGTH": "20 mm", "Outside-Diameter": "5 mm"}, 20.0, 5.0, None, None),
+        (2, "Screw", {"od": "10 mm"}, 40.0, 1.0, None, -0.5),  # no length: the long side counts as the width
+        (3, "Hex nut", {"thread": "M8"}, 14.04, 4.0, None, None),  # on its edge: 14.04 / 1.08 is 13 mm
+        (4, "Elbow, female", {"pipe": "1/2"}, None, 30.0, 18.0, None),
+        (5, "Pipe, butt-weld", {"pipe size": "1/2", "schedule": "80"}, None, 21.0, 30.0, None),
+        (6, None, None, None, None, None, None),
+        (7, "Screw", {"length": "none", "pipe": "odd"}, 3.0, 2.0, 1.0, None),
+    ]
+    df = spark.createDataFrame(rows, "id int, name string, attributes map<string,string>, long double, short double, bore double, pitch double")
+    got = {r.id: r for r in threads.size_votes(df).withColumn("score", threads.size_score(F.col("votes"))).collect()}
+    votes = {k: {v.what: round(v.vote, 4) for v in r.votes} for k, r in got.items()}
+    assert votes == {1: {"length": 1, "width": 1}, 2: {"width": -1, "pitch": -0.5}, 3: {"nut": 1}, 4: {"pipe": 1, "bore": 1}, 5: {"pipe": 1, "bore": -1}, 6: {}, 7: {}}
+    assert [got[k].score for k in (1, 2, 5, 6)] == [1, -0.75, 0, 0] and set(got[1].asDict()) == {*df.columns, "votes", "score"}
+
+
+def test_kept_index(spark, tmp_path):
+    """Every score of a kept index is that of the texts, for a term of all documents, a rare one, one that is missing and none at all."""
+    texts = [f"common word {i} " + "rare " * (i % 7 == 0) * (1 + i % 3) for i in range(60)] + ["", None, "--"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "id int, text string")
+    search.write_index(docs, "id", "text", str(tmp_path / "index"), buckets=4, files=3)
+    for asked in (["common"], ["rare common", "word 14"], ["missing common"], [""]):
+        plain = {(r.query, r.id): round(r.score, 9) for r in (search.bm25(docs, "id", "text", asked).collect() if asked != [""] else [])}
+        assert {(r.query, r.key): round(r.score, 9) for r in search.search_index(spark, str(tmp_path / "index"), asked).collect()} == plain
+    search.write_index(docs.limit(0), "id", "text", str(tmp_path / "empty"))
+    assert search.search_index(spark, str(tmp_path / "empty"), ["common"]).count() == 0
+
+
 def test_part_folders(spark, tmp_path):
     for name in ("x1/b.jpg", "x1/a.PNG", "x1/notes.txt", "Y2/1.webp", "_drafts/1.jpg", ".cache/1.jpg", "__MACOSX/1.jpg", "Z3/meta.json"):
         (tmp_path / name).parent.mkdir(exist_ok=True)
