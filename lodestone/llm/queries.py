@@ -1,4 +1,4 @@
-"""The registered queries of the ten operators over the whole tables."""
+"""The registered queries of the operators over the whole tables."""
 
 from __future__ import annotations
 
@@ -6,12 +6,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.llm import langid, media_tiff
+from lodestone.llm.divergence import source_divergence
 from lodestone.llm.exact_dedup import exact_dedup
 from lodestone.llm.minhash import near_dedup
 from lodestone.llm.mixing import mix_sources
 from lodestone.llm.packing import pack
+from lodestone.llm.pieces import encode_pieces
 from lodestone.llm.pii import find_personal
+from lodestone.llm.runs import periodic_runs
 from lodestone.llm.secrets import digest, find_secrets
+from lodestone.llm.spans import bound
 from lodestone.llm.suffix_dedup import repeated_passages
 from lodestone.llm.toxicity import Model, fit, prior_of, score
 
@@ -100,4 +104,44 @@ def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup(table(spark, sf_dir, "documents"), k=3, percent=85)
 
 
-QUERIES = {f.__name__: f for f in (op1_secrets, op2_toxicity, op3_personal, op4_packing, op5_tiff, op6_mixing, op7_exact_dedup, op8_passages, op9_langid, op10_minhash)}
+def op11_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_divergence(table(spark, sf_dir, "documents"))
+
+
+def op12_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded = encode_pieces(table(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model"))
+    ids = F.array_join(F.col("ids").cast("array<string>"), ",")
+    return coded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+def planted_periods(docs: DataFrame) -> DataFrame:
+    """doc_id and text, with a tenth of the documents made periodic: with h = crc32(doc_id as text), h % 10 = 0, g = h div 10 and
+    n > 0 words, each word i >= a becomes word a + (i - a) % p, a = g % n, p = 1 + (n - a) div (3 + g % 8)."""
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+
+    def periodic(words):
+        n = F.size(words).cast("long")
+        g = ((h - h % 10) / 10).cast("long")
+        a = F.pmod(g, n)
+        p = 1 + F.floor((n - a) / (3 + F.pmod(g, F.lit(8))))
+        place = lambda i, a, p: F.when(i < a, i).otherwise(a + F.pmod(i - a, p))
+        made = bound(F.struct(words.alias("w"), a.alias("a"), p.alias("p"), n.alias("n")), lambda x: F.array_join(F.transform(F.sequence(F.lit(0).cast("long"), x["n"] - 1), lambda i: F.get(x["w"], place(i, x["a"], x["p"]).cast("int"))), " "))
+        return F.when(F.size(words) > 0, made).otherwise("")
+
+    text = F.when(h % 10 == 0, bound(F.regexp_extract_all("text", F.lit("[^\\x20\\x09-\\x0D]+"), 0), periodic)).otherwise(F.col("text"))
+    return docs.select("doc_id", text.alias("text"))
+
+
+def op13_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic_runs(planted_periods(table(spark, sf_dir, "documents")))
+    better = lambda r, best: (r["length"] * best["period"] > best["length"] * r["period"])  # noqa: E731  runs come by start, then period
+    kind = "struct<start:bigint,length:bigint,period:bigint>"
+    best = F.aggregate("runs", F.lit(None).cast(kind), lambda best, r: F.when(best.isNull() | better(r, best), r).otherwise(best))
+    line = lambda r: F.concat(F.concat_ws(",", *[r[c].cast("string") for c in ("start", "length", "period")]), F.lit("\n"))
+    lines = F.array_join(F.transform("runs", line), "")
+    found = found.select("doc_id", F.size("runs").cast("long").alias("n_runs"), best.alias("best"), F.sha2(lines, 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
+    return found.select("doc_id", "n_runs", "best.start", "best.length", "best.period", F.expr("1000 * best.length div best.period").alias("exponent_milli"), "runs_sha256", "collapsed_sha256")
+
+
+OPERATORS = (op1_secrets, op2_toxicity, op3_personal, op4_packing, op5_tiff, op6_mixing, op7_exact_dedup, op8_passages, op9_langid, op10_minhash, op11_divergence, op12_pieces, op13_runs)
+QUERIES = {f.__name__: f for f in OPERATORS}
