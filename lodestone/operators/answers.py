@@ -2,29 +2,28 @@
 
 from __future__ import annotations
 
-import re
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lodestone.operators.customers import boosts, popularity_boosts, recommend
 from lodestone.operators.fusion import EXACT_MARGIN, EXACT_P, LEAST_SIM, LIKELY_P, SQL_PROB, TEMPERATURE, fused, rerank_within_tiers, softmax
-from lodestone.operators.search import K1, B, bm25
+from lodestone.operators.search import bm25
+from lodestone.operators.text_index import sql_hits
 from lodestone.operators.vector import SQL_TOP, retrieved
 from lodestone.plans.views import SQL_EVENTS, SQL_LINES, SQL_PARTS, answers, bought, event_log, order_lines, parts, table
 from lodestone.registry import SQL, query
 
 #: The search report's stated queries, its client and page, and the hits that are re-ranked.
-ASKED, CLIENT, LIMIT, OFFSET, RERANKED = ("small ring", "ring", "plate 12", "ate brand#1", "nothing here", "000042"), 7, 12, 2, 50
+ASKED, CLIENT, LIMIT, OFFSET, RERANKED = ("small ring", "ring", "plate 12", "ate brand#1", "nothing here", "000042", "0001", "brand#1/7"), 7, 12, 2, 50
 
 
 def search_page(entries: DataFrame, asked: list[str], boost: DataFrame, prefix: tuple[str, ...] = (), limit: int = LIMIT, offset: int = OFFSET, reranked: int = RERANKED, tolerance: float = 0.1) -> DataFrame:
     """(query, part, place): one page of each query's hits.
 
-    entries: part, part_number, path, text, values (words of attribute values). Hits have all tokens of the query (BM25); a
-    query without any takes the entries whose text contains it as it stands, all with score -1. A part whose number is the
-    query is pinned first. A value that stands in the query as a whole word lifts a hit by a quarter. The first
+    entries: part, part_number, path, text, values (words of attribute values). Hits have all phrases of the query (BM25, see
+    `search.phrases`); a query without any takes the entries whose text contains it as it stands, all with score -1. Parts
+    whose number starts with the query are pinned first, in number order. A value that stands in the query as a whole word lifts a hit by a quarter. The first
     max(limit + offset, reranked) hits are kept, then those outside the path prefix leave, the first `reranked` are put in
     order within tiers of like score by boost (part, boost), and the page is cut out. An empty table gives no rows.
     """
@@ -33,13 +32,13 @@ def search_page(entries: DataFrame, asked: list[str], boost: DataFrame, prefix:
     found = bm25(own, "part", "text", [q for q in asked if q.strip()])
     plain = own.select("part", F.explode(F.filter(queries, lambda q: F.contains(F.col("text"), F.lower(q)))).alias("query"))
     plain = plain.join(found.select("query").distinct(), "query", "left_anti").select("query", "part", F.lit(-1.0).alias("score"))
-    number = own.select(F.explode(F.filter(queries, lambda q: F.upper(F.trim(q)) == F.col("part_number"))).alias("query"), "part", F.lit(-1e9).alias("score"))
+    number = own.select(F.explode(F.filter(queries, lambda q: (F.trim(q) != "") & F.startswith(F.upper("part_number"), F.upper(F.trim(q))))).alias("query"), "part", F.lit(-1e9).alias("score"))
     every = found.select("query", "part", F.round("score", 6).alias("score")).unionByName(plain).unionByName(number)
-    every = every.groupBy("query", "part").agg(F.min("score").alias("score")).join(own.select("part", "path", "values"), "part")
+    every = every.groupBy("query", "part").agg(F.min("score").alias("score")).join(own.select("part", "part_number", "path", "values"), "part")
     words = F.concat(F.lit(" "), F.lower("query"), F.lit(" "))
     lifts = F.size(F.filter("values", lambda v: F.contains(words, F.concat(F.lit(" "), v, F.lit(" ")))))
     every = every.withColumn("score", F.when(F.col("score") > -1e8, F.round(F.col("score") * (1 + 0.25 * lifts), 6)).otherwise(F.col("score")))
-    first = W.partitionBy("query").orderBy("score", "part")
+    first = W.partitionBy("query").orderBy("score", F.when(F.col("score") <= -1e8, F.col("part_number")), "part")
     kept = every.withColumn("r", F.row_number().over(first)).where(F.col("r") <= max(limit + offset, reranked))
     kept = kept.where(F.slice("path", 1, len(prefix)) == F.array(*map(F.lit, prefix))) if prefix else kept
     kept = kept.withColumn("pos", F.row_number().over(first)).join(boost, "part", "left")
@@ -56,13 +55,9 @@ def search_boosts(spark: SparkSession, sf_dir: str, client: int) -> DataFrame:
     return p.select("part", F.round(F.coalesce("boost", F.lit(0.0)) + F.coalesce("taste", F.lit(0.0)), 6).alias("boost"))
 
 
-_bm25_sql = " UNION ALL ".join(f"SELECT '{q}' AS query, part, -round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * {K1 + 1} / (tf + {K1} * ({1 - B} + {B} * dl / avgdl))), 6) AS score FROM s WHERE token IN ({', '.join(repr(t) for t in sorted(set(re.findall('[0-9a-z]+', q))))}) GROUP BY part HAVING count(*) = {len(set(re.findall('[0-9a-z]+', q)))}" for q in ASKED)
-
-
 @query(f"""WITH RECURSIVE {SQL_PARTS}, e AS (SELECT part, kind, size, lower(brand) AS brand, lpad(CAST(part AS VARCHAR), 6, '0') AS number, lower(name || ' ' || brand || ' ' || size) AS text FROM parts),
- post AS (SELECT part, token, count(*) AS tf FROM (SELECT part, unnest(regexp_extract_all(text, '[0-9a-z]+')) AS token FROM e) t GROUP BY ALL), lens AS (SELECT part, sum(tf) AS dl FROM post GROUP BY 1),
- f AS (SELECT count(*) AS n, avg(dl) AS avgdl FROM lens), d AS (SELECT token, count(*) AS df FROM post GROUP BY 1), s AS (SELECT * FROM post JOIN lens USING (part) JOIN d USING (token), f), found AS ({_bm25_sql}),
- q(query) AS (VALUES {", ".join(f"('{q}')" for q in ASKED)}), every AS (SELECT query, part, min(score) AS score FROM (SELECT * FROM found UNION ALL SELECT query, part, -1.0 FROM q, e WHERE contains(text, query) AND query NOT IN (SELECT query FROM found) UNION ALL SELECT query, part, -1e9 FROM q, e WHERE query = number) x GROUP BY ALL),
+ {sql_hits(ASKED, "part", "e")},
+ q(query) AS (VALUES {", ".join(f"('{q}')" for q in ASKED)}), every AS (SELECT query, part, min(score) AS score FROM (SELECT * FROM found UNION ALL SELECT query, part, -1.0 FROM q, e WHERE contains(text, query) AND query NOT IN (SELECT query FROM found) UNION ALL SELECT query, part, -1e9 FROM q, e WHERE starts_with(number, upper(trim(query)))) x GROUP BY ALL),
  lifted AS (SELECT query, part, kind, CASE WHEN score > -1e8 THEN round(score * (1 + 0.25 * (contains(' ' || query || ' ', ' ' || brand || ' ')::INT + contains(' ' || query || ' ', ' ' || size || ' ')::INT)), 6) ELSE score END AS score FROM every JOIN e USING (part)),
  kept AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score, part) AS r FROM lifted) x WHERE r <= {max(LIMIT + OFFSET, RERANKED)} AND kind = 'ECONOMY'), hits AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score, part) AS pos, score <= -1e8 AS pinned FROM kept),
  loose AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score, part) AS i FROM hits WHERE NOT pinned), fold AS (SELECT query, part, score, i, 1 AS tier, score AS leader FROM loose WHERE i = 1

@@ -3,23 +3,23 @@
 from __future__ import annotations
 
 import re
-import zlib
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lodestone.functions.text import tokens
-from lodestone.plans.scratch import fresh
 from lodestone.plans.views import SQL_PARTS, parts, table
-from lodestone.registry import SQL, query
+from lodestone.registry import query
 
 K1, B = 1.2, 0.75
 #: The report's stated queries.
 ASKED = ("the of", "der die", "el la", "les")
 
 SQL_POSTINGS = """tok AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[0-9a-z]+')) AS token FROM documents), post AS (SELECT doc_id, token, count(*) AS tf FROM tok GROUP BY ALL),
-lens AS (SELECT doc_id, CAST(sum(tf) AS BIGINT) AS dl FROM post GROUP BY 1)"""
+lens AS (SELECT doc_id, len(regexp_extract_all(lower(coalesce(text, '')), '[0-9a-z]+')) AS dl FROM documents)"""
+#: The weight of a phrase that df of n documents have.
+SQL_IDF = "greatest(1e-6, ln(greatest(1e-6, (n - df + 0.5) / (df + 0.5))))"
 
 
 def postings(docs: DataFrame, key: str, text: str) -> DataFrame:
@@ -27,31 +27,59 @@ def postings(docs: DataFrame, key: str, text: str) -> DataFrame:
     return docs.select(key, F.explode(tokens(F.col(text))).alias("token")).groupBy(key, "token").agg(F.count("*").alias("tf"))
 
 
+def phrases(asked: str) -> list[tuple[str, ...]]:
+    """The phrases of a query, each once, in order: each of its blank-separated words, as the tokens that stand in it. Double
+    quotes don't count; a word without a token is no phrase."""
+    words = [tuple(re.findall("[0-9a-z]+", w)) for w in asked.replace('"', " ").lower().split()]
+    return list(dict.fromkeys(w for w in words if w))
+
+
+def idf(n, df):
+    """Weight of a phrase: ln((n - df + 0.5) / (df + 0.5)), at least 1e-6."""
+    return F.greatest(F.lit(1e-6), F.log(F.greatest(F.lit(1e-6), (n - df + 0.5) / (df + 0.5))))
+
+
+def weighted(idf_, tf, dl, avgdl):
+    """What a phrase adds to a document's score."""
+    return idf_ * tf * (K1 + 1) / (tf + K1 * (1 - B + B * dl / avgdl))
+
+
 def bm25(docs: DataFrame, key: str, text: str, asked: list[str]) -> DataFrame:
-    """(query, key, score) of the documents that have all tokens of a query; negative, lower is better.
+    """(query, key, score) of the documents that have all phrases of a query; negative, lower is better.
 
-    Queries are a stated few: each document's tokens are matched with theirs in the scan, so only hits are shuffled. Lengths
-    and document frequencies cover all documents.
+    Queries are a stated few: each document's tokens are matched with theirs in the scan, so only hits are shuffled. A phrase of
+    several tokens is counted wherever these stand next to each other. Lengths and document frequencies cover all
+    documents; one without tokens counts with length 0.
     """
-    wanted = {q: sorted(set(re.findall("[0-9a-z]+", q.lower()))) for q in asked}
-    wanted = {q: ws for q, ws in wanted.items() if ws}
-    every = sorted({t for ts in wanted.values() for t in ts})
-    t = tokens(F.col(text))
-    own = docs.select(key, t.alias("t")).select(key, F.size("t").alias("dl"), *[F.size(F.filter("t", _is(w))).alias(f"tf_{w}") for w in every])
-    facts = own.agg(F.count_if(F.col("dl") > 0).alias("n"), F.avg(F.when(F.col("dl") > 0, F.col("dl"))).alias("avgdl"), *[F.count_if(F.col(f"tf_{w}") > 0).alias(f"df_{w}") for w in every])
+    wanted = {q: ps for q in asked if (ps := phrases(q))}
+    every = list(dict.fromkeys(p for ps in wanted.values() for p in ps))
+    at = {p: i for i, p in enumerate(every)}
+    own = docs.select(key, tokens(F.coalesce(F.col(text), F.lit(""))).alias("t"))
+    own = own.select(key, F.size("t").alias("dl"), *[F.size(F.filter("t", _starts(p))).alias(f"tf_{i}") for p, i in at.items()])
+    facts = own.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"), *[F.count_if(F.col(f"tf_{i}") > 0).alias(f"df_{i}") for i in at.values()])
     own = own.join(F.broadcast(facts))  # one row
-    idf = lambda w: F.log(1 + (F.col("n") - F.col(f"df_{w}") + 0.5) / (F.col(f"df_{w}") + 0.5))
-    part = lambda w: idf(w) * F.col(f"tf_{w}") * (K1 + 1) / (F.col(f"tf_{w}") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    hits = [F.when(F.forall(F.array(*[F.col(f"tf_{w}") > 0 for w in ws]), lambda x: x), F.struct(F.lit(q).alias("query"), (-sum((part(w) for w in ws[1:]), part(ws[0]))).alias("score"))) for q, ws in wanted.items()]
-    return own.select(key, F.explode(F.filter(F.array(*hits), lambda h: h.isNotNull())).alias("h")).select("h.query", key, "h.score")
+    part = lambda i: weighted(idf(F.col("n"), F.col(f"df_{i}")), F.col(f"tf_{i}"), F.col("dl"), F.col("avgdl"))
+    hits = []
+    for q, ps in wanted.items():
+        score = -sum((part(at[p]) for p in ps[1:]), part(at[ps[0]]))
+        hits.append(F.when(F.forall(F.array(*[F.col(f"tf_{at[p]}") > 0 for p in ps]), lambda x: x), F.struct(F.lit(q).alias("query"), score.alias("score"))))
+    return own.select(key, F.explode(F.filter(F.array(*hits) if hits else F.array().cast("array<struct<query:string,score:double>>"), lambda h: h.isNotNull())).alias("h")).select("h.query", key, "h.score")
+
 
+def _starts(phrase: tuple[str, ...]):
+    """Whether a phrase starts at a token."""
 
-def _is(word: str):
-    return lambda x: x == F.lit(word)
+    def at(x, i):
+        out = x == F.lit(phrase[0])
+        for k, token in enumerate(phrase[1:], 1):
+            out = out & F.coalesce(F.get("t", i + k) == F.lit(token), F.lit(False))
+        return out
+
+    return at
 
 
 _SQL_BM25 = " UNION ALL ".join(
-    f"SELECT '{q}' AS query, doc_id, -round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * {K1 + 1} / (tf + {K1} * ({1 - B} + {B} * dl / avgdl))), 6) AS score FROM s WHERE token IN ({', '.join(repr(t) for t in sorted(set(q.split())))}) GROUP BY doc_id HAVING count(*) = {len(set(q.split()))}"
+    f"SELECT '{q}' AS query, doc_id, -round(sum({SQL_IDF} * tf * {K1 + 1} / (tf + {K1} * ({1 - B} + {B} * dl / avgdl))), 6) AS score FROM s WHERE token IN ({', '.join(repr(t) for t in sorted(set(q.split())))}) GROUP BY doc_id HAVING count(*) = {len(set(q.split()))}"
     for q in ASKED
 )
 
@@ -65,47 +93,6 @@ def bm25_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hits.withColumn("r", F.row_number().over(W.partitionBy("query").orderBy("score", "doc_id"))).where("r <= 20").drop("r")
 
 
-def write_index(docs: DataFrame, key: str, text: str, path: str, buckets: int = 64, files: int = 8) -> None:
-    """Writes a kept index: postings (token, key, tf, dl) in folders by a hash of the token, and a row of counts.
-
-    A common token's postings are dealt over `files` tasks by a hash of the key. Null and empty texts have no postings. Rows that
-    repeat a key are documents of their own as long as their lengths differ. A task writes one bucket's share at a time.
-    """
-    t = docs.select(F.col(key).alias("key"), tokens(F.col(text)).alias("t")).where(F.size("t") > 0).withColumn("dl", F.size("t"))
-    post = t.select("key", "dl", F.explode("t").alias("token")).groupBy("token", "key", "dl").agg(F.count("*").alias("tf"))
-    post = post.withColumn("bucket", F.pmod(F.crc32(F.col("token").cast("binary")), F.lit(buckets)).cast("int"))
-    post.repartition("bucket", F.pmod(F.xxhash64("key"), F.lit(files))).sortWithinPartitions("bucket", "token").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings")
-    t.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"), F.lit(buckets).alias("buckets"), F.lit(docs.schema[key].dataType.simpleString()).alias("key_type")).write.mode("overwrite").parquet(f"{path}/counts")
-
-
-def search_index(spark: SparkSession, path: str, asked: list[str]) -> DataFrame:
-    """(query, key, score) like bm25, from a kept index: only the folders of the queries' tokens are read, and in them only the row
-    groups that can hold these tokens. Queries are a stated few, so their tokens are known while the plan is built."""
-    wanted = {q: sorted(set(re.findall("[0-9a-z]+", q.lower()))) for q in asked}
-    every = sorted({t for ts in wanted.values() for t in ts})
-    counts = spark.read.parquet(f"{path}/counts")
-    kept = counts.first()
-    folders = sorted({zlib.crc32(t.encode()) % kept.buckets for t in every})
-    post = spark.read.schema(f"token string, key {kept.key_type}, dl int, tf bigint, bucket int").parquet(f"{path}/postings").where(F.col("bucket").isin(folders) & F.col("token").isin(every))
-    df = post.groupBy("token").agg(F.count("*").alias("df"))
-    terms = spark.createDataFrame([(q, t, len(ts)) for q, ts in wanted.items() for t in ts], "query string, token string, terms int")
-    facts = terms.join(df, "token").join(F.broadcast(counts.select("n", "avgdl")))  # one row
-    hits = post.join(F.broadcast(facts), "token")  # a row for each stated term
-    idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    score = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    found = hits.groupBy("query", "key", "dl", "terms").agg(F.count("*").alias("had"), (-F.sum(score)).alias("score"))
-    return found.where("had = terms").select("query", "key", "score")
-
-
-@query(SQL["bm25_search"])
-def index_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The twenty best documents of each stated query from a kept index, which is written first."""
-    path = fresh(spark)
-    write_index(table(spark, sf_dir, "documents"), "doc_id", "text", path)
-    hits = search_index(spark, path, list(ASKED)).select("query", F.col("key").alias("doc_id"), F.round("score", 6).alias("score"))
-    return hits.withColumn("r", F.row_number().over(W.partitionBy("query").orderBy("score", "doc_id"))).where("r <= 20").drop("r")
-
-
 @query(f"WITH {SQL_POSTINGS} SELECT token, count(*) AS documents, CAST(sum(tf) AS BIGINT) AS times FROM post GROUP BY token ORDER BY documents DESC, token LIMIT 100")
 def index_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The hundred most common terms of the index."""

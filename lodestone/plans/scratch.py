@@ -32,7 +32,7 @@ def folder(spark: SparkSession) -> str:
 def fresh(spark: SparkSession) -> str:
     """A path in that folder that nothing has used. It is deleted when the application ends, or its `temporary` does."""
     path = f"{folder(spark)}/lodestone/{uuid.uuid4().hex}"
-    fs, p = _files(spark, path)
+    fs, p = files(spark, path)
     fs.deleteOnExit(p)
     written = _WRITTEN.get()
     if written is not None:
@@ -57,10 +57,11 @@ def temporary(spark: SparkSession, keep: bool = False) -> Iterator[None]:
         written = _WRITTEN.get()
         _WRITTEN.reset(token)
         for path in [] if keep else written:
-            fs, p = _files(spark, path)
+            fs, p = files(spark, path)
             fs.delete(p, True)
 
 
-def _files(spark: SparkSession, path: str):
+def files(spark: SparkSession, path: str):
+    """(file system, path) of a path of the cluster."""
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
     return p.getFileSystem(spark._jsc.hadoopConfiguration()), p

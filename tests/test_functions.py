@@ -168,18 +168,6 @@ def test_size_votes(spark):
     assert [got[k].score for k in (1, 2, 5, 6)] == [1, -0.75, 0, 0] and set(got[1].asDict()) == {*df.columns, "votes", "score"}
 
 
-def test_kept_index(spark, tmp_path):
-    """Every score of a kept index is that of the texts, for a term of all documents, a rare one, one that is missing and none at all."""
-    texts = [f"common word {i} " + "rare " * (i % 7 == 0) * (1 + i % 3) for i in range(60)] + ["", None, "--"]
-    docs = spark.createDataFrame(list(enumerate(texts)), "id int, text string")
-    search.write_index(docs, "id", "text", str(tmp_path / "index"), buckets=4, files=3)
-    for asked in (["common"], ["rare common", "word 14"], ["missing common"], [""]):
-        plain = {(r.query, r.id): round(r.score, 9) for r in (search.bm25(docs, "id", "text", asked).collect() if asked != [""] else [])}
-        assert {(r.query, r.key): round(r.score, 9) for r in search.search_index(spark, str(tmp_path / "index"), asked).collect()} == plain
-    search.write_index(docs.limit(0), "id", "text", str(tmp_path / "empty"))
-    assert search.search_index(spark, str(tmp_path / "empty"), ["common"]).count() == 0
-
-
 def test_part_folders(spark, tmp_path):
     for name in ("x1/b.jpg", "x1/a.PNG", "x1/notes.txt", "Y2/1.webp", "_drafts/1.jpg", ".cache/1.jpg", "__MACOSX/1.jpg", "Z3/meta.json"):
         (tmp_path / name).parent.mkdir(exist_ok=True)

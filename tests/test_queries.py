@@ -8,7 +8,7 @@ import pandas as pd
 import pytest
 
 from lodestone import registry
-from lodestone.operators import analytics, answers, catalog, customers, fusion, pages, printed, reports, search, threads, vector  # noqa: F401
+from lodestone.operators import analytics, answers, catalog, customers, fusion, pages, printed, reports, search, text_index, threads, vector, vector_index  # noqa: F401
 from lodestone.streaming import events  # noqa: F401
 
 SF = "/root/testdata/sf0.001"
