@@ -12,11 +12,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from lodestone.llm.shared import cut, steps
+from lodestone.llm.shared import cut, mix, steps
 
 SCALE = 1_000_000_000
 #: Bytes of text that one vectorised step takes: terms of a larger step combine better.
-STEP = 2_000_000
+STEP = 8_000_000
 #: Bits of the marks of kept prefixes, least and most: a broadcast of at most 16 MB.
 BITS = (16, 27)
 #: Bytes of terms: letters, and all bytes of signs beyond ASCII.
@@ -61,7 +61,7 @@ def _level(size: int, before: int, marks: np.ndarray | None):
             pairs = {}
             sources, source_of = _numbered(batch.column(1))
             group_of = np.array([pairs.setdefault(p, len(pairs)) for p in zip(lang_of.tolist(), source_of.tolist(), strict=True)], dtype=np.int64)
-            groups = list(pairs)
+            groups = np.array(list(pairs))
             for low, high, data, offsets in steps(batch.column(2), size=STEP):
                 rows, terms, codes = _terms(data, offsets)
                 if not len(codes):
@@ -72,54 +72,79 @@ def _level(size: int, before: int, marks: np.ndarray | None):
                 rows, codes, counts = _distinct(rows, codes, n)
                 lang, group = lang_of[low:high][rows], group_of[low:high][rows]
                 if marks is not None and len(codes):
-                    own_lang, own_code, _ = _distinct(lang, codes, n)
-                    stems = pc.binary_slice(terms, 0, before).to_pylist()
-                    seeds = [zlib.crc32(x.encode() + b"\0") for x in langs]
-                    place = np.array([zlib.crc32(stems[c], seeds[k]) for k, c in zip(own_lang.tolist(), own_code.tolist(), strict=True)], dtype=np.int64) & (len(marks) * 8 - 1)
+                    hashes = np.zeros(n, dtype=np.uint64)
+                    hashes[long] = _hashes(terms.filter(pa.array(long)), before)
+                    place = (mix(hashes[codes] + _seeds(langs)[lang]) & np.uint64(len(marks) * 8 - 1)).astype(np.int64)
                     good = (marks[place >> 3] >> (place & 7)) & 1 == 1
-                    good = good[np.searchsorted(own_lang * n + own_code, lang * n + codes)]
                     rows, codes, counts, lang, group = rows[good], codes[good], counts[good], lang[good], group[good]
                 whole = (pc.binary_length(terms).to_numpy() <= size)[codes]
                 if whole.any():
                     order = np.argsort(group[whole] * n + codes[whole], kind="stable")
                     g, c = group[whole][order], codes[whole][order]
                     first = np.flatnonzero(np.concatenate(([True], (g[1:] != g[:-1]) | (c[1:] != c[:-1]))))
-                    own = [groups[k] for k in g[first].tolist()]
                     docs = np.diff(np.append(first, len(g)))
-                    yield _rows([langs[k] for k, _ in own], [sources[k] for _, k in own], terms.take(pa.array(c[first])), True, docs, np.add.reduceat(counts[whole][order], first))
+                    yield _rows(_named(langs, groups[g[first], 0]), _named(sources, groups[g[first], 1]), terms.take(pa.array(c[first])), True, docs, np.add.reduceat(counts[whole][order], first))
                 if not whole.all():
                     stems, stem_of = (x := pc.binary_slice(terms, 0, size).dictionary_encode()).dictionary, x.indices.to_numpy().astype(np.int64)
                     rows, stem, _ = _distinct(rows[~whole], stem_of[codes[~whole]], len(stems))
                     own_lang, stem, docs = _distinct(lang_of[low:high][rows], stem, len(stems))
-                    yield _rows([langs[k] for k in own_lang.tolist()], [""] * len(stem), stems.take(pa.array(stem)), False, docs, np.zeros(len(stem), dtype=np.int64))
+                    yield _rows(_named(langs, own_lang), _named([""], np.zeros(len(stem), dtype=np.int64)), stems.take(pa.array(stem)), False, docs, np.zeros(len(stem), dtype=np.int64))
 
     return run
 
 
-def _rows(langs: list, sources: list, terms: pa.Array, whole: bool, docs: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
-    columns = [pa.array(langs, pa.string()), pa.array(sources, pa.string()), terms.cast(pa.binary()), pa.array(np.full(len(langs), whole)), pa.array(docs.astype(np.int64)), pa.array(n.astype(np.int64))]
+def _named(names: list, places: np.ndarray) -> pa.Array:
+    return pa.DictionaryArray.from_arrays(pa.array(places), pa.array(names, pa.string())).cast(pa.string())
+
+
+def _rows(langs: pa.Array, sources: pa.Array, terms: pa.Array, whole: bool, docs: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+    columns = [langs, sources, terms.cast(pa.binary()), pa.array(np.full(len(langs), whole)), pa.array(docs.astype(np.int64)), pa.array(n.astype(np.int64))]
     return pa.RecordBatch.from_arrays(columns, names=["lang", "source", "term", "whole", "docs", "n"])
 
 
-def _marked(prefixes: DataFrame) -> np.ndarray | None:
-    """A bit for the hash of each (lang, prefix), in a table of fixed size; None where there are no prefixes."""
+def _hashes(terms: pa.Array, size: int) -> np.ndarray:
+    """64-bit hash of the first `size` bytes of each term; none is shorter."""
+    stems = pc.binary_slice(terms.cast(pa.large_binary()), 0, size)
+    data = np.frombuffer(stems.buffers()[2] or b"", dtype=np.uint8)[stems.offset * size :][: len(stems) * size].reshape(len(stems), size)
+    wide = np.zeros((len(stems), -(-size // 8) * 8), dtype=np.uint8)
+    wide[:, :size] = data
+    out = np.zeros(len(stems), dtype=np.uint64)
+    for column in wide.view("<u8").T:
+        out = mix(out + column)
+    return out
+
+
+def _seeds(langs: list[str]) -> np.ndarray:
+    return np.array([zlib.crc32(x.encode()) for x in langs], dtype=np.uint64) << np.uint64(32)
+
+
+def _marked(prefixes: DataFrame, size: int) -> np.ndarray | None:
+    """A bit for the hash of each (lang, prefix of `size` bytes), in a table of fixed size; None where there are no prefixes."""
     n = prefixes.count()
     if not n:
         return None
     bits = 1 << min(max(int(n).bit_length() + 3, BITS[0]), BITS[1])
-    place = F.crc32(F.concat(F.col("lang").cast("binary"), F.lit(b"\0"), "term")).bitwiseAND(F.lit(bits - 1))
-    words = prefixes.withColumn("place", place).selectExpr("shiftright(place, 6) AS word", "shiftleft(1L, cast(place & 63 AS int)) AS bit")
-    rows = words.groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            langs, lang_of = _numbered(batch.column(0))
+            place = mix(_hashes(batch.column(1), size) + _seeds(langs)[lang_of]) & np.uint64(bits - 1)
+            own = np.unique(place).astype(np.int64)
+            words, at = np.unique(own >> 6, return_index=True)
+            values = np.bitwise_or.reduceat(np.uint64(1) << (own & 63).astype(np.uint64), at) if len(own) else own.astype(np.uint64)
+            yield pa.RecordBatch.from_arrays([pa.array(words), pa.array(values.view(np.int64))], names=["word", "bits"])
+
+    rows = prefixes.select("lang", "term").mapInArrow(run, "word bigint, bits bigint").groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()
     out = np.zeros(bits // 64, dtype="<i8")
     out[rows.column("word").to_numpy()] = rows.column("bits").to_numpy()
     return out.view(np.uint8)
 
 
-def iceberg_terms(docs: DataFrame, least: int = 3, first: int = 4) -> DataFrame:
+def iceberg_terms(docs: DataFrame, least: int = 3, first: int = 6) -> DataFrame:
     """(lang, source, term, n): how often each kept term occurs in each source that has it. docs: lang, source, text, no nulls.
 
     A term is a longest stretch of letters A-Z, a-z and signs beyond ASCII, with A-Z in lower case. A language keeps the
-    terms that stand in at least `least` of its documents. Level by level, prefixes of `first` bytes, then twice as many and so on are counted
+    terms that stand in at least `least` of its documents. Level by level, prefixes of `first` bytes, then three times as many and so on are counted
     by documents; those under `least` are dropped, and the next level extends only those that are left, until no prefix
     of a longer term is. Terms no longer than the level's prefixes are counted whole. The counts of a step are
     combined before they are shuffled; the prefixes that are left reach the tasks as marks in a table of at most 16 MB, which
@@ -132,10 +157,10 @@ def iceberg_terms(docs: DataFrame, least: int = 3, first: int = 4) -> DataFrame:
         level = own.mapInArrow(_level(size, before, marks), "lang string, source string, term binary, whole boolean, docs bigint, n bigint")
         level = cut(level.groupBy("lang", "source", "term", "whole").agg(F.sum("docs").alias("docs"), F.sum("n").alias("n")))
         found.append(level.where("whole").drop("whole"))
-        marks = _marked(level.where(~F.col("whole") & (F.col("docs") >= least)))
+        marks = _marked(level.where(~F.col("whole") & (F.col("docs") >= least)), size)
         if marks is None:
             break
-        size, before = 2 * size, size
+        size, before = 3 * size, size
     every = found[0]
     for level in found[1:]:
         every = every.unionByName(level)
