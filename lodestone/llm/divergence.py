@@ -140,8 +140,9 @@ def _marked(prefixes: DataFrame, size: int) -> np.ndarray | None:
     return out.view(np.uint8)
 
 
-def iceberg_terms(docs: DataFrame, least: int = 3, first: int = 6) -> DataFrame:
-    """(lang, source, term, n): how often each kept term occurs in each source that has it. docs: lang, source, text, no nulls.
+def iceberg_terms(docs: DataFrame, least: int = 3, first: int = 6) -> tuple[DataFrame, DataFrame]:
+    """(lang, term, n_lang) of each kept term with how often it occurs in its language, and (lang, source, term, n, n_lang) with how
+    often in each source that has it. docs: lang, source, text, no nulls.
 
     A term is a longest stretch of letters A-Z, a-z and signs beyond ASCII, with A-Z in lower case. A language keeps the
     terms that stand in at least `least` of its documents. Level by level, prefixes of `first` bytes, then three times as many and so on are counted
@@ -164,13 +165,15 @@ def iceberg_terms(docs: DataFrame, least: int = 3, first: int = 6) -> DataFrame:
     every = found[0]
     for level in found[1:]:
         every = every.unionByName(level)
-    kept = every.groupBy("lang", "term").agg(F.sum("docs").alias("docs")).where(F.col("docs") >= least).select("lang", "term")
-    return cut(every.join(kept, ["lang", "term"]).select("lang", "source", F.col("term").cast("string").alias("term"), "n"))
+    kept = cut(every.groupBy("lang", "term").agg(F.sum("docs").alias("docs"), F.sum("n").alias("n_lang")).where(F.col("docs") >= least).drop("docs"))
+    counts = cut(every.drop("docs").join(kept, ["lang", "term"]).select("lang", "source", F.col("term").cast("string").alias("term"), "n", "n_lang"))
+    return kept.select("lang", F.col("term").cast("string").alias("term"), "n_lang"), counts
 
 
 def _p(n: Column | str, total: str, terms: str) -> Column:
-    """1 + floor(SCALE * (n + 1) / (total + terms)), in whole numbers of any size."""
-    return F.expr(f"1 + (cast({SCALE} AS decimal(38,0)) * cast({n} + 1 AS decimal(20,0))) div cast({total} + {terms} AS decimal(20,0))").cast("long")
+    """1 + floor(SCALE * (n + 1) / (total + terms)), in whole numbers of any size: decimals where a long can't hold the product."""
+    wide = f"(cast({SCALE} AS decimal(38,0)) * cast({n} + 1 AS decimal(20,0))) div cast({total} + {terms} AS decimal(20,0))"
+    return F.expr(f"1 + CASE WHEN {n} < {2**63 // SCALE - 1} THEN ({SCALE}L * ({n} + 1)) div ({total} + {terms}) ELSE {wide} END").cast("long")
 
 
 def _f(p: str, q: str) -> str:
@@ -192,13 +195,12 @@ def source_divergence(docs: DataFrame, least: int = 3, top: int = 200, salts: in
     the plan is built.
     """
     own = docs.select(*[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(a) for c, a in ((lang_col, "lang"), (source_col, "source"), (text_col, "text"))])
-    counts = iceberg_terms(own, least)
-    terms = counts.groupBy("lang", "term").agg(F.sum("n").alias("n_lang"))
-    langs = terms.groupBy("lang").agg(F.count("*").alias("v"), F.sum("n_lang").alias("total_lang"))
+    kept, counts = iceberg_terms(own, least)
+    langs = kept.groupBy("lang").agg(F.count("*").alias("v"), F.sum("n_lang").alias("total_lang"))
     totals = counts.groupBy("lang", "source").agg(F.sum("n").alias("total"))
     groups = own.select("lang", "source").distinct().join(totals, ["lang", "source"], "left").join(langs, "lang", "left").fillna(0, ["total", "v", "total_lang"])
     groups = cut(groups.withColumn("p0", F.when(F.col("v") > 0, _p("0L", "total", "v"))))
-    placed = cut(counts.join(groups, ["lang", "source"]).join(terms, ["lang", "term"]).withColumns({"p": _p("n", "total", "v"), "q": _p("n_lang", "total_lang", "v")}).select("lang", "source", "term", "p", "p0", "q"))
+    placed = cut(counts.join(groups, ["lang", "source"]).withColumns({"p": _p("n", "total", "v"), "q": _p("n_lang", "total_lang", "v")}).select("lang", "source", "term", "p", "p0", "q"))
 
     out = placed.where("p > q").select("lang", "source", F.col("term").alias("item"), F.expr(_f("p", "q")).alias("value"))
     out = _ranked(out, "term").where(F.col("rank") <= top)
