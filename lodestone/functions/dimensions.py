@@ -1,4 +1,4 @@
-"""Dimensional strings and pipe sizes as column expressions."""
+"""Dimensional strings as column expressions."""
 
 from __future__ import annotations
 
@@ -7,8 +7,6 @@ from pyspark.sql import functions as F
 
 #: Screw gauges and their diameters in inches.
 GAUGES = {"0": 0.060, "1": 0.073, "2": 0.086, "3": 0.099, "4": 0.112, "5": 0.125, "6": 0.138, "8": 0.164, "10": 0.190, "12": 0.216, "14": 0.242}
-#: Nominal pipe sizes and outside diameters in inches (public pipe tables).
-PIPE_OD = {"1/8": 0.405, "1/4": 0.540, "3/8": 0.675, "1/2": 0.840, "3/4": 1.050, "1": 1.315, "1-1/4": 1.660, "1-1/2": 1.900, "2": 2.375, "2-1/2": 2.875, "3": 3.500, "4": 4.500}
 MM = 25.4
 #: Fixed value: one number: whole and fraction, fraction, or decimal.
 NUMBER = r"(\d+)[- ](\d+)/(\d+)|(\d+)/(\d+)|(\d*\.?\d+)"
@@ -36,18 +34,6 @@ def length_mm(text: Column) -> Column:
     return F.when(ranged, F.lit(None)).otherwise(F.round(F.coalesce(metric, gauge * MM, _number(t, with_unit, 1) * scale), 3))
 
 
-def pipe_od_mm(size: Column) -> Column:
-    """Outside diameter of a nominal pipe size."""
-    return F.create_map(*[F.lit(x) for k, v in PIPE_OD.items() for x in (k, round(v * MM, 2))])[size]
-
-
-def pipe_size_of_od(od: Column, tolerance: float = 0.12) -> Column:
-    """Nominal size whose outside diameter is nearest, within a relative tolerance."""
-    near = F.array(*[F.struct(F.abs(od - v * MM) / (v * MM), F.lit(k).alias("size")) for k, v in PIPE_OD.items()])
-    best = F.array_min(near)
-    return F.when(best["col1"] < tolerance, best["size"])
-
-
 def ratio_score(ratio: Column, low: float, high: float, falloff: float = 1.6) -> Column:
     """1 within [low, high], falling by the log of the excess to -1; -1 for what isn't positive, null for null."""
     excess = F.when(ratio < low, F.log(low / ratio)).otherwise(F.log(ratio / high))

@@ -2,10 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with the value worked out and planned once, however often use names it."""
+    return F.transform(F.array(value), use)[0]
+
+
 def split_path(path: Column) -> Column:
     """`A > B | C` to its trimmed, non-empty steps."""
     return F.filter(F.transform(F.split(F.translate(path, "|", ">"), ">"), lambda x: F.trim(x)), lambda x: x != "")

@@ -6,9 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from lodestone.functions.dimensions import pipe_size_of_od, ratio_score
+from lodestone.functions.dimensions import ratio_score
 from lodestone.functions.ranking import running
 from lodestone.functions.text import norm_attr, path_key, split_path
+from lodestone.functions.threads import OD, nearest
 from lodestone.plans.views import SQL_PARTS, parts
 from lodestone.registry import query
 
@@ -117,12 +118,12 @@ def weighted_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parts(spark, sf_dir).select("part", F.explode(F.sequence(F.lit(1).cast("bigint"), F.greatest(F.lit(1), F.col("size") % 4).cast("bigint"))).alias("copy"))
 
 
-@query(f"""WITH {SQL_PARTS}, s(size_name, inches) AS (VALUES ('1/8', 0.405), ('1/4', 0.540), ('3/8', 0.675), ('1/2', 0.840), ('3/4', 1.050), ('1', 1.315), ('1-1/4', 1.660), ('1-1/2', 1.900), ('2', 2.375), ('2-1/2', 2.875), ('3', 3.500), ('4', 4.500)),
- n AS (SELECT part, size, arg_min(size_name, abs(size - inches * 25.4) / (inches * 25.4)) AS near, min(abs(size - inches * 25.4) / (inches * 25.4)) AS err FROM parts, s GROUP BY ALL)
+@query(f"""WITH {SQL_PARTS}, s(size_name, mm) AS (VALUES ('1/16', 7.9375), ('1/8', 10.287), ('1/4', 13.716), ('3/8', 17.145), ('1/2', 21.336), ('3/4', 26.67), ('1', 33.401), ('1-1/4', 42.164), ('1-1/2', 48.26), ('2', 60.325), ('2-1/2', 73.025), ('3', 88.9), ('3-1/2', 101.6), ('4', 114.3), ('5', 141.3002), ('6', 168.275), ('8', 219.075)),
+ n AS (SELECT part, size, arg_min(size_name, abs(size * 4.5 - mm) / mm) AS near, min(abs(size * 4.5 - mm) / mm) AS err FROM parts, s GROUP BY ALL)
  SELECT part, CASE WHEN err < 0.12 THEN near END AS pipe, round(CASE WHEN size / 25.4 BETWEEN 0.8 AND 1.25 THEN 1.0 WHEN size / 25.4 < 0.8 THEN greatest(-1, 1 - 2 * ln(0.8 / (size / 25.4)) / ln(1.6)) ELSE greatest(-1, 1 - 2 * ln(size / 25.4 / 1.25) / ln(1.6)) END, 6) AS fit FROM n""")
 def pipe_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Nearest nominal pipe of each part's size read as millimetres, and how near an inch that size is."""
-    return parts(spark, sf_dir).select("part", pipe_size_of_od(F.col("size")).alias("pipe"), F.round(ratio_score(F.col("size") / 25.4, 0.8, 1.25), 6).alias("fit"))
+    """Nearest nominal pipe of each part's size read as four and a half millimetres each, and how near an inch the size in millimetres is."""
+    return parts(spark, sf_dir).select("part", nearest(OD, F.col("size") * 4.5).alias("pipe"), F.round(ratio_score(F.col("size") / 25.4, 0.8, 1.25), 6).alias("fit"))
 
 
 @query(f"WITH {SQL_PARTS}, c AS (SELECT kind || ' > ' || brand AS category, count(*) AS n FROM parts GROUP BY 1) SELECT category, n, rank() OVER (ORDER BY n DESC, category) AS place FROM c ORDER BY place LIMIT 20")

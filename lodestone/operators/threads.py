@@ -85,14 +85,19 @@ def nut_widths(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parts(spark, sf_dir).select("part", thread.alias("thread"), F.round(T.nut_width_mm(thread), 6).alias("width_mm"), T.is_nut(name).alias("nut"), T.pitch_mm(thread).alias("pitch_mm"))
 
 
-@query(f"""WITH {SQL_PARTS}, m AS (SELECT part, {MM} / (8 + size) AS expected, (1 + part % 40 / 100.0) AS ratio, part % 2 = 0 AS pipe FROM parts), b AS (SELECT *, CASE WHEN pipe THEN 0.985 ELSE 0.93 END AS low, CASE WHEN pipe THEN 1.015 ELSE 1.07 END AS high, CASE WHEN pipe THEN 1.06 ELSE 1.3 END AS falloff FROM m)
- SELECT part, round(CASE WHEN ratio BETWEEN low AND high THEN 1.0 WHEN ratio < low THEN greatest(-1, 1 - 2 * ln(low / ratio) / ln(falloff)) ELSE greatest(-1, 1 - 2 * ln(ratio / high) / ln(falloff)) END, 6) AS vote FROM b""")
+#: Attributes of stated parts, and by hand in SQL below the pitches in millimetres that they imply; -p: that of a pipe thread.
+_PITCHED = [{"thread_size": "M6 x 1"}, {"thread": 'M8-1.25'}, {"thread_size": '1/4"-20'}, {"thread size": "#8-32 x 1/2"}, {"tpi": "18 per inch"}, {"pitch": "1.5 mm"}, {"pitch": "13 tpi"}, {"pipe_size": "1/2", "type": "NPT"}, {"pipe_size": "1 1/4", "type": "BSPP"}, {"thread_size": "3/8", "type": "NPT"}, {"thread_size": "3/8"}, {"thread_size": "M6-20"}, {"thread": "1-1/4-11"}]
+_SQL_PITCHES = "['1', '1.25', '1.27', '0.79375', '1.4111111111', '1.5', '1.9538461538', '1.8142857143p', '2.3090909091p', '1.4111111111p', NULL, NULL, '2.3090909091']"
+
+
+@query(f"""WITH {SQL_PARTS}, m AS (SELECT part, {_SQL_PITCHES}[part % {len(_PITCHED)} + 1] AS stated, 0.7 + size / 20.0 AS measured FROM parts), r AS (SELECT part, measured / CAST(rtrim(stated, 'p') AS DOUBLE) AS ratio, stated LIKE '%p' AS pipe FROM m),
+ b AS (SELECT *, CASE WHEN pipe THEN 0.985 ELSE 0.93 END AS low, CASE WHEN pipe THEN 1.015 ELSE 1.07 END AS high, CASE WHEN pipe THEN 1.06 ELSE 1.3 END AS falloff FROM r)
+ SELECT part, pipe, round(CASE WHEN ratio IS NULL THEN NULL WHEN ratio BETWEEN low AND high THEN 1.0 WHEN ratio < low THEN greatest(-1, 1 - 2 * ln(low / ratio) / ln(falloff)) ELSE greatest(-1, 1 - 2 * ln(ratio / high) / ln(falloff)) END, 6) AS vote FROM b""")
 def pitch_votes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """How a measured pitch agrees with the stated one: a narrow band for pipe threads, a wide one for others."""
-    p = parts(spark, sf_dir).select("part", F.concat(F.lit("1/4-"), (8 + F.col("size")).cast("string")).alias("thread"), (1 + F.col("part") % 40 / 100.0).alias("ratio"))
-    ratio = T.pitch_mm(F.col("thread")) * F.col("ratio") / T.pitch_mm(F.col("thread"))
-    vote = F.when(F.col("part") % 2 == 0, ratio_score(F.round(ratio, 9), 0.985, 1.015, 1.06)).otherwise(ratio_score(F.round(ratio, 9), 0.93, 1.07, 1.3))
-    return p.select("part", F.round(vote, 6).alias("vote"))
+    """How a pitch measured from a part's size agrees with the one that its attributes state: by thread, threads per inch, pitch or pipe."""
+    stated = F.element_at(F.array(*[F.create_map(*[F.lit(x) for kv in a.items() for x in kv]) for a in _PITCHED]), (F.col("part") % len(_PITCHED) + 1).cast("int"))
+    p = parts(spark, sf_dir).select("part", T.catalog_pitch(stated, F.lit("Fitting")).alias("stated"), (0.7 + F.col("size") / 20.0).alias("measured"))
+    return p.select("part", F.col("stated")["pipe"].alias("pipe"), F.round(T.pitch_vote(F.col("measured"), F.col("stated")), 6).alias("vote"))
 
 
 _GUESSES = ["Stainless steel", "zinc plated", "brass", "Plastic", "", "ring metal"]

@@ -52,7 +52,7 @@ def test_nearest_pipes(spark):
 
     got = spark.createDataFrame([(v,) for v in values], "mm double").select("mm", threads.nearest(threads.OD, F.col("mm")).alias("od"), threads.nearest(threads.BORE, F.col("mm")).alias("bore")).collect()
     assert [(r.od, r.bore) for r in got] == [(want(threads.OD, v), want(threads.BORE, v)) for v in values]
-    row = spark.range(1).select(dimensions.pipe_od_mm(F.lit("2")).alias("od"), dimensions.pipe_size_of_od(F.lit(61.0)).alias("near"), dimensions.pipe_size_of_od(F.lit(5.0)).alias("none")).first()
+    row = spark.range(1).select(threads.outside_mm(F.lit("2")).alias("od"), threads.nearest(threads.OD, F.lit(61.0)).alias("near"), threads.nearest(threads.OD, F.lit(5.0)).alias("none")).first()
     assert row.od == pytest.approx(2.375 * 25.4, abs=0.01) and (row.near, row.none) == ("2", None)
 
 
@@ -216,3 +216,15 @@ def test_robots(spark):
     paths = {"/cart/1": False, "/search": False, "/search/2": True, "/p?q=1": False, "/p": True}
     got = spark.createDataFrame([(p,) for p in paths], "p string").select("p", allowed(F.col("p"), rules).alias("ok")).collect()
     assert {r.p: r.ok for r in got} == paths
+
+
+def test_stated_pitches(spark):
+    texts = {"M6 x 1": (True, 1.0), "m10×1.5": (True, 1.5), "M6-1.0 x 20": (True, 1.0), "M6-20": None, '1/4"-20': (False, 20.0), "#8-32": (False, 32.0), "1-1/4 - 11": (False, 11.0), "1-1/4": None, "3/8": None, "": None, None: None, "mx1": None, "8-32 x 1": (False, 32.0)}
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select("t", threads.designation(F.col("t")).alias("d")).collect()
+    assert {r.t: r.d and tuple(r.d) for r in rows} == texts
+    sizes = {101.6: "3-1/2", 141.3: "5", 168.0: "6", 219.0: "8", 7.9: "1/16", 250.0: None, None: None}
+    rows = spark.createDataFrame([(mm,) for mm in sizes], "mm double").select("mm", threads.nearest(threads.OD, F.col("mm")).alias("size")).collect()
+    assert {r.mm: r.size for r in rows} == sizes
+    names = {"Hex Nuts": True, "Locknut, M6": True, "Nut Driver": False, "T-Nut": False, "Coconut nut": False, "Wing Nut": True, "Donut": False, "Nut Plate": False, "Bolt": False}
+    rows = spark.createDataFrame([(n,) for n in names], "n string").select("n", threads.is_nut(F.col("n")).alias("nut")).collect()
+    assert {r.n: r.nut for r in rows} == names
