@@ -103,20 +103,25 @@ def read_pages(data: bytes) -> Iterator[dict]:
 
     Walks the chain of image directories; decodes plain, PackBits, LZW and deflate strips and tiles of 8, 16, 32 or 64 bits a
     sample, planes together or apart, and undoes horizontal and floating-point predictors. Raises ValueError on anything else, before
-    memory is taken for more pixels than the file's bytes can stand for.
+    memory is taken for more pixels than the file's bytes can stand for. Pages may share strips; all together may be as large as
+    the best packed file of that size. Pages come one by one; only one is held.
     """
     try:
         order = {b"II": "<", b"MM": ">"}[data[:2]]
         magic, at = struct.unpack_from(f"{order}HI", data, 2)
         if magic != 42:
             raise ValueError("not a TIFF")
-        seen, page = set(), 0
+        seen, page, taken = set(), 0, 0
         while at:
             if at in seen:
                 raise ValueError("the directories form a ring")
             seen.add(at)
             fields, at = _directory(data, at, order)
-            yield {"page": page} | _page(data, fields, order)
+            found = {"page": page} | _page(data, fields, order)
+            taken += len(found["pixels"])
+            if taken > max(MOST_GROWTH.values()) * len(data):
+                raise ValueError("more pages than the file can hold")
+            yield found
             page += 1
     except (KeyError, struct.error, zlib.error, IndexError, TypeError) as e:
         raise ValueError(f"not a readable TIFF: {e!r}") from e
@@ -228,6 +233,9 @@ def tiff_pages(files: DataFrame, content_col: str, keep: tuple[str, ...]) -> Dat
                         rows.append(page | {"feature": feature_of(page) if page["pixels"] else ""})
                         origin.append(i)
                         held += len(page["pixels"])
+                        if held > BATCH_BYTES:
+                            yield table()
+                            rows, origin, held = [], [], 0
                 except ValueError as e:
                     rows.append({"error": str(e)})
                     origin.append(i)
