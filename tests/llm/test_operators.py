@@ -264,6 +264,18 @@ def test_disclosing_terms(spark):
         assert "<email>" in r.clean if r.doc_id < 100 else not r.spans
 
 
+@pytest.mark.parametrize("holders", [1, 2, 3, 9])
+def test_a_name_beside_a_rare_address(spark, holders):
+    """An address in one document, two or more: the name beside it goes, also where it stands alone; words that are common elsewhere stay."""
+    filler = "plain words stand here without meaning"
+    rows = [(i, f"{filler} {'plain ' * (i + 1)}Zorblax ann@rare{holders}.example {filler} {'far ' * 40} zorblax") for i in range(holders)] + [(100 + i, f"{filler} about today {i}") for i in range(200)]
+    found = find_personal(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    texts = dict(rows)
+    for r in found:
+        hidden = [texts[r.doc_id][s.start : s.end].lower() for s in r.spans if s.kind in ("generalised", "removed")]
+        assert ({x for x in hidden if x != "far"} == {"zorblax"} and hidden.count("zorblax") == 2) if r.doc_id < 100 else not r.spans
+
+
 def test_disclosure_against_plain_counts(spark):
     """Shares of all entities and terms of a small corpus, counted document by document."""
     rng = np.random.default_rng(3)
@@ -288,10 +300,11 @@ def test_disclosure_against_plain_counts(spark):
 
     def share(e, w):
         a, b, c = len(holders[e]), len(words[w]), len(met[e, w])
-        least = min(a, b)
-        return math.log2(c * len(rows) / (a * b)) / -math.log2(a / len(rows)) * c / (c + 1) * least / (least + 1)
+        p = c / b
+        sure = (p + 0.5 / b - math.sqrt(p * (1 - p) / b + 0.25 / b**2)) / (1 + 1 / b)
+        return math.log2(sure * len(rows) / a) / -math.log2(a / len(rows))
 
-    for generalise in (0.2, 0.4):
+    for generalise in (0.2, 0.4, 0.75):
         want = set()
         for i, t in rows:
             if m := address.search(t):
@@ -544,6 +557,28 @@ def broken_files():
     yield one_page([(t, k, {279: [len(bomb)], 257: [1_000_000]}.get(t, v)) for t, (k, v) in good.items()], bomb)[: len(bomb) // 2]
 
 
+def shared_strip(pages: int, height: int, body: bytes, packed: int) -> bytes:
+    """A file of that many directories, all of which name the same strip."""
+    fields = [(256, 4, 500), (257, 4, height), (258, 3, 8), (259, 3, packed), (273, 4, 8), (277, 3, 1), (278, 4, height), (279, 4, len(body))]
+    size = 2 + 12 * len(fields) + 4
+    at = 8 + len(body) + len(body) % 2
+    out = struct.pack("<2sHI", b"II", 42, at) + body + b"\0" * (len(body) % 2)
+    for i in range(pages):
+        out += struct.pack("<H", len(fields)) + b"".join(struct.pack("<HHII", tag, kind, 1, value) for tag, kind, value in fields)
+        out += struct.pack("<I", at + (i + 1) * size if i + 1 < pages else 0)
+    return out
+
+
+def test_many_pages_of_one_strip(spark):
+    """Ten thousand small pages come page by page; a small file that stands for gigabytes ends with an error after what it can hold."""
+    small = shared_strip(10_000, 2, zlib.compress(bytes(1000)), 8)
+    forged = shared_strip(2_000, 20_000, zlib.compress(bytes(10_000_000)), 8)
+    table = spark.createDataFrame([(1, bytearray(small)), (2, bytearray(forged))], "id int, file binary")
+    got = {(r.id, r.bad): (r.n, r.size) for r in media_tiff.tiff_pages(table, "file", ("id",)).groupBy("id", F.col("error").isNotNull().alias("bad")).agg(F.count("*").alias("n"), F.sum(F.length("pixels")).alias("size")).collect()}
+    assert got[1, False] == (10_000, 10_000_000) and (1, True) not in got
+    assert got[2, True][0] == 1 and got[2, False][1] <= 2730 * len(forged) < 2_000 * 10_000_000
+
+
 def test_broken_tiff_files_give_a_row(spark):
     files = list(broken_files())
     got = media_tiff.tiff_pages(spark.createDataFrame([(i, bytearray(x)) for i, x in enumerate(files)], "id int, file binary"), "file", ("id",)).collect()
@@ -633,6 +668,17 @@ def test_expected_counts_of_pieces_against_enumeration():
     assert sum(v * lengths[k - size] for k, v in counts([word], p).items()) == pytest.approx(3 * (len(word) + 1))
 
 
+def test_langid_sample(spark):
+    """Of each language the ids of smallest hash, as a whole sort picks them, with repeated ids and a language that is rare."""
+    rows = [(i % 900, "en") for i in range(1800)] + [(i, "de") for i in range(5)] + [(i, "fr") for i in range(1000, 1041)]
+    ids = spark.createDataFrame(rows, "id long, lang string")
+    hashed = {r.id: r.h for r in ids.select("id", F.xxhash64("id").alias("h")).collect()}
+    want = {(i, lang) for lang in ("en", "de", "fr") for _, i in sorted({(hashed[i], i) for i, x in rows if x == lang})[:10]}
+    sampled = langid._sampled(ids, 10)
+    assert {(r.id, r.lang) for r in sampled.collect()} == want
+    assert langid._sampled(ids.limit(0), 10).count() == 0
+
+
 def test_langid_ties_and_odd_rows(spark):
     path = queries.vocabulary("piece_bpe_32k.model")
     same = spark.createDataFrame([(i, "one two three", "xy"[i % 2]) for i in range(8)] + [(9, "x" * 100_000, None), (None, "one", "x"), (10, None, "x"), (11, "12 34", "y")], "doc_id long, text string, lang string")
