@@ -74,6 +74,20 @@ def read_images(spark: SparkSession, path: str) -> DataFrame:
     return files.select(number.alias("part_number"), "path").where("part_number <> ''").groupBy("part_number").agg(F.sort_array(F.collect_list("path")).alias("image_paths"))
 
 
+def flat_records(spark: SparkSession, root: str) -> DataFrame:
+    """(part_number, image_paths, m): photos named by part number with what the root's meta.jsonl says of the part, a map of text.
+
+    Numbers of both sides are compared in upper case; the last line of a number counts, of lines of one number in the order of the
+    file. Lines that are no JSON object, or state no part_number, don't count; parts without photos give no row, nor does the
+    file's absence change photos. The file is read whole by one task, as lines have no other order.
+    """
+    images = read_images(spark, root)
+    found = spark.read.format("binaryFile").option("pathGlobFilter", "meta.jsonl").load(root)
+    lines = found.select(F.posexplode(F.split(F.decode("content", "UTF-8"), r"\r?\n")).alias("no", "line")).select("no", F.from_json("line", STRING_MAP).alias("m"))
+    lines = lines.where("m is not null").select(F.upper(F.trim(F.element_at("m", F.lit("part_number")))).alias("part_number"), "no", "m").where("part_number <> ''")
+    return images.join(lines.groupBy("part_number").agg(F.max_by("m", "no").alias("m")), "part_number", "left")
+
+
 def part_files(spark: SparkSession, root: str) -> DataFrame:
     """(folder, name, path, content) of the files in the folders of a root; hidden folders and those that start with _ are left out."""
     files = spark.read.format("binaryFile").load(f"{root.rstrip('/')}/*/*")
@@ -108,6 +122,18 @@ def labelled_images(spark: SparkSession, root: str) -> DataFrame:
     return part_files(spark, root).where(F.col("name").rlike(PHOTO)).select(F.upper("folder").alias("part_number"), "path")
 
 
+def distinct_photos(spark: SparkSession, photos: DataFrame, root: str) -> DataFrame:
+    """photos (part_number, path, position) without copies: of a part's photos of equal content the first by position, then path, stays.
+
+    Files under the root are hashed where they are read, so only paths and digests are shuffled; photos whose file isn't there
+    or is empty stay. Paths are as Spark lists them. An empty table gives no rows.
+    """
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).select("path", F.sha2("content", 256).alias("digest"))
+    own = photos.select("part_number", "path", "position").distinct().join(files, "path", "left")
+    first = own.groupBy("part_number", F.coalesce("digest", F.col("path")).alias("content")).agg(F.min(F.struct("position", "path")).alias("p"))
+    return first.select("part_number", "p.path", "p.position")
+
+
 def read_items(spark: SparkSession, path: str) -> DataFrame:
     """(item) of a list with one item a line; empty lines and those that start with # are left out."""
     return spark.read.text(path).select(F.trim("value").alias("item")).where("item <> '' and not startswith(item, '#')")
