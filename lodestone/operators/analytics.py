@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from lodestone.functions.numeric import percentiles, ratio, share
 from lodestone.functions.ranking import running
 from lodestone.plans.scratch import cut
-from lodestone.plans.views import SQL_EVENTS, SQL_PARTS, answers, attributed, bought, event_log, identified, parts
+from lodestone.plans.views import SQL_EVENTS, SQL_PARTS, answers, attributed, bought, event_log, identified, parts, shared
 from lodestone.registry import SQL, query
 
 
@@ -138,6 +138,43 @@ def strip_take(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t.agg(F.count("*").alias("orders_after_strip"), share(F.col("strip.part") == F.col("part")).alias("take"))
 
 
+def strip_takes(rows: DataFrame) -> DataFrame:
+    """(orders_after_strip, take, new_take): of the checkouts that a strip was shown before, the share that took a part of it, and
+    the share that took one which the client had never bought; shares are null over none.
+
+    rows: user_id, ts, event_id, kind (`shown` or `checkout`), parts (a list). A checkout takes the latest strip shown to the client
+    since the checkout before it, and uses it up, also where it takes nothing. Rows without user don't count. A window covers
+    a client's day, with the last strip and checkout of former days carried in a row for each day; whether a part was
+    bought before goes by the first checkout of each client and part.
+    """
+    rows = rows.where("user_id is not null and kind in ('shown', 'checkout')").select("user_id", F.to_date("ts").alias("day"), F.struct("ts", "event_id").alias("at"), "kind", F.coalesce("parts", F.array().cast(rows.schema["parts"].dataType)).alias("parts"))
+    of = lambda kind: F.when(F.col("kind") == kind, F.struct("at", "parts"))
+    before = W.partitionBy("user_id").orderBy("day").rowsBetween(W.unboundedPreceding, -1)
+    latest = lambda kind: F.max_by(F.struct("at", "parts"), F.when(F.col("kind") == kind, F.col("at")))
+    days = rows.groupBy("user_id", "day").agg(latest("shown").alias("strip"), latest("checkout").alias("used"))
+    days = days.select("user_id", "day", *[F.last(c, ignorenulls=True).over(before).alias(f"old_{c}") for c in ("strip", "used")])
+    w = W.partitionBy("user_id", "day").orderBy("at").rowsBetween(W.unboundedPreceding, -1)
+    met = rows.withColumns({"strip": F.last(of("shown"), ignorenulls=True).over(w), "used": F.last(of("checkout"), ignorenulls=True).over(w)}).where("kind = 'checkout'").join(days, ["user_id", "day"])
+    met = met.withColumns({c: F.coalesce(c, f"old_{c}") for c in ("strip", "used")}).where(F.col("strip").isNotNull() & (F.col("used").isNull() | (F.col("used.at") < F.col("strip.at"))))
+    first = rows.where("kind = 'checkout'").select("user_id", F.explode(F.array_distinct("parts")).alias("part"), "at").groupBy("user_id", "part").agg(F.min("at").alias("first"))
+    each = met.select("user_id", "at", F.explode_outer(F.array_intersect("parts", "strip.parts")).alias("part")).join(first, ["user_id", "part"], "left")
+    orders = each.groupBy("user_id", "at").agg(F.max(F.col("part").isNotNull()).alias("took"), F.max(F.coalesce(F.col("first") == F.col("at"), F.lit(False))).alias("new"))
+    return orders.agg(F.count("*").alias("orders_after_strip"), share(F.col("took")).alias("take"), share(F.col("new")).alias("new_take"))
+
+
+@query(f"""WITH {SQL_EVENTS}, s AS (SELECT user_id, ts, event_id, event_type = 'view' AS shown, CASE WHEN event_type = 'view' THEN [part, (part + 3) % 10, k % 10] ELSE [part, k % 7] END AS parts FROM log WHERE event_type IN ('view', 'purchase')),
+ t AS (SELECT *, last_value(CASE WHEN shown THEN struct_pack(ts := ts, id := event_id, parts := parts) END IGNORE NULLS) OVER w AS strip, last_value(CASE WHEN NOT shown THEN struct_pack(ts := ts, id := event_id) END IGNORE NULLS) OVER w AS used,
+  flatten(list(CASE WHEN NOT shown THEN parts ELSE [] END) OVER w) AS had FROM s WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+ o AS (SELECT list_intersect(parts, strip.parts) AS got, coalesce(had, []) AS had FROM t WHERE NOT shown AND strip IS NOT NULL AND (used IS NULL OR (used.ts, used.id) < (strip.ts, strip.id)))
+ SELECT count(*) AS orders_after_strip, round(avg((len(got) > 0)::INT), 6) AS take, round(avg((len(list_filter(got, lambda x: NOT list_contains(had, x))) > 0)::INT), 6) AS new_take FROM o""")
+def strip_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How often checkouts take a part of the strip shown before, and one never bought; strips and checkouts are lists of parts."""
+    shown = F.col("event_type") == "view"
+    parts_of = F.when(shown, F.array("part", (F.col("part") + 3) % 10, F.col("k") % 10)).otherwise(F.array("part", F.col("k") % 7))
+    log = event_log(spark, sf_dir).where("event_type in ('view', 'purchase')")
+    return strip_takes(log.select("user_id", "ts", "event_id", F.when(shown, "shown").otherwise("checkout").alias("kind"), parts_of.alias("parts")))
+
+
 @query(f"""WITH {SQL_EVENTS}, f AS (SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY ts DESC, event_id DESC) AS rn, min(ts) OVER (PARTITION BY request_id) AS first_at FROM log WHERE event_type IN ('click', 'signup'))
  SELECT request_id, part, event_type AS source, first_at FROM f WHERE rn = 1""")
 def latest_feedback(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -237,8 +274,13 @@ def issues(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Thirteen rules with a least support over the report, in fixed order: number, severity and what is wrong.
 
     Outcomes are counted once, by pair of parts, tier, category, segment and in all; each rule reads its rows of those counts
-    or of another one-row report. Ties go to the smaller key.
+    or of another one-row report. Ties go to the smaller key. The log is parsed once and written.
     """
+    with shared(spark, sf_dir, event_log):
+        return _issues(spark, sf_dir)
+
+
+def _issues(spark: SparkSession, sf_dir: str) -> DataFrame:
     log, c = event_log(spark, sf_dir), F.col
     customers = spark.read.parquet(f"{sf_dir}/customer.parquet").select(c("c_custkey").alias("user_id"), c("c_mktsegment").alias("segment"))
     ok, sure = c("best") == c("truth"), F.coalesce("confidence", F.lit(0.0))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from lodestone.functions.numeric import ratio
 from lodestone.plans.scratch import cut
-from lodestone.plans.views import SQL_LINES, SQL_PARTS, order_lines, parts
+from lodestone.plans.views import SQL_LINES, SQL_PARTS, order_lines, parts, shared
 from lodestone.registry import SQL, query
 
 #: Fixed value: an order's first so many families, in order of name, make pairs.
@@ -260,8 +260,13 @@ def recommend(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders, frequent ones. The first reason of a family stays and gives its score; equal scores go by reason, then name. The
     last place is kept for a family the client never bought, if there is one. Lines without a family don't count, nor do
     aisles of clients without a known brand. A list of the shelf is read as deep as a client's own families can reach into
-    it, so none is missed.
+    it, so none is missed. The lines are joined once and written.
     """
+    with shared(spark, sf_dir, order_lines):
+        return _recommended(spark, sf_dir)
+
+
+def _recommended(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = order_lines(spark, sf_dir).where("family is not null")
     c = cut(lines.groupBy("client", "family").agg(F.count("*").alias("n"), F.max("placed_at").alias("last_at")))
     customers = spark.read.parquet(f"{sf_dir}/customer.parquet").select(F.col("c_custkey").alias("client"), F.col("c_mktsegment").alias("segment"))
@@ -317,16 +322,20 @@ def top_customers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def segments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Clients by k-means over their taste vectors (types only), k-means++ start with a fixed seed."""
+    """Clients by k-means over their taste vectors (see customer_vector: types, and at half weight type and brand). Spark starts with k-means||
+    from a fixed seed; an empty cluster goes. The numbers of segments tell nothing: compare by purity. A vector is as long as the
+    catalog's first two levels are wide."""
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.functions import array_to_vector
 
-    kinds = order_lines(spark, sf_dir).where("kind is not null").groupBy("client", "kind").agg(F.count("*").alias("n"))
-    names = [r[0] for r in spark.read.parquet(f"{sf_dir}/part.parquet").select("p_type").distinct().orderBy("p_type").collect()]  # the catalog's few types
-    v = kinds.groupBy("client").pivot("kind", names).agg(F.first("n")).na.fill(0)
-    total = sum((F.col(f"`{n}`") for n in names), F.lit(0))
-    v = v.select("client", array_to_vector(F.array(*[F.sqrt(F.col(f"`{n}`") / total) for n in names])).alias("features"))
-    v = cut(v)  # read in every iteration
+    tastes = cut(vectors(spark, sf_dir))
+    places = tastes.select("key").distinct().withColumn("place", F.row_number().over(W.orderBy("key")))  # the catalog's few thousand types and pairs
+    wide = places.agg(F.count("*").alias("wide"))
+    own = tastes.join(places, "key").groupBy("client").agg(F.map_from_entries(F.collect_list(F.struct("place", "x"))).alias("at")).join(F.broadcast(wide))  # one row
+    dense = F.transform(F.sequence(F.lit(1), F.col("wide").cast("int")), lambda i: F.coalesce(F.try_element_at("at", i), F.lit(0.0)))
+    v = cut(own.select("client", array_to_vector(dense).alias("features")))  # read in every iteration
+    if not v.limit(1).count():
+        return v.select("client", F.lit(0).alias("segment"))
     return KMeans(k=8, seed=7, maxIter=25, featuresCol="features", predictionCol="segment").fit(v).transform(v).select("client", "segment")
 
 

@@ -2,9 +2,18 @@
 
 from __future__ import annotations
 
+import contextlib
+from collections.abc import Callable, Iterator
+from contextvars import ContextVar
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lodestone.plans.scratch import cut
+
+#: Views that plans built within `shared` read from a written table, by name and folder.
+_SHARED: ContextVar[dict[tuple[str, str], DataFrame]] = ContextVar("shared", default={})
+
 #: DuckDB twins of the views below, as common table expressions.
 SQL_EVENTS = """
 ev AS (SELECT event_id, ts, user_id, event_type, value, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events),
@@ -33,6 +42,30 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _sharable(view: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    def read(spark: SparkSession, sf_dir: str) -> DataFrame:
+        kept = _SHARED.get().get((view.__name__, sf_dir))
+        return view(spark, sf_dir) if kept is None else kept
+
+    read.__name__, read.__doc__ = view.__name__, view.__doc__
+    return read
+
+
+@contextlib.contextmanager
+def shared(spark: SparkSession, sf_dir: str, view: Callable[[SparkSession, str], DataFrame]) -> Iterator[None]:
+    """Plans that are built inside read the view from a table that is written once, for reports that are made of many of it. Runs a job."""
+    key = (view.__name__, sf_dir)
+    if key in _SHARED.get():
+        yield
+        return
+    token = _SHARED.set(_SHARED.get() | {key: cut(view(spark, sf_dir))})
+    try:
+        yield
+    finally:
+        _SHARED.reset(token)
+
+
+@_sharable
 def event_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events with the fields of the log: request_id, part (answered or bought), tier, category, confidence, measured."""
     k = F.get_json_object("props", "$.k").cast("bigint")
@@ -66,6 +99,7 @@ def attributed(log: DataFrame) -> DataFrame:
     return bought(log).select("event_id", "ts", "user_id", "request_id", F.col("part").alias("truth")).join(a, "request_id")
 
 
+@_sharable
 def order_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Order lines with client, time and the part's facts; a line of an unknown part stays with nulls."""
     o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("order_id"), F.col("o_custkey").alias("client"), F.col("o_orderdate").alias("placed_at"))
