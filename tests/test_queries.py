@@ -8,7 +8,7 @@ import pandas as pd
 import pytest
 
 from lodestone import registry
-from lodestone.operators import analytics, answers, catalog, customers, fusion, learning, pages, printed, replay, reports, search, text_index, threads, vector, vector_index  # noqa: F401
+from lodestone.operators import analytics, answers, catalog, customers, evidence, fusion, learning, pages, printed, replay, reports, search, text_index, threads, vector, vector_index  # noqa: F401
 from lodestone.streaming import admission, events, kept  # noqa: F401
 
 SF = "/root/testdata/sf0.001"
