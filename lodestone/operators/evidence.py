@@ -73,7 +73,8 @@ def pooled(variants: DataFrame) -> DataFrame:
 def joined(*vectors: tuple[Column, float]) -> Column:
     """One vector of several models' (vector, weight): the dot product of two of them is the weighted mean of the models' cosines."""
     whole = sum(w for _, w in vectors)
-    return F.concat(*[F.transform(unit(v), lambda x, w=w: x * (w / whole) ** 0.5) for v, w in vectors])
+    scaled = lambda v, by: F.transform(unit(v), lambda x: x * by)
+    return F.concat(*[scaled(v, (w / whole) ** 0.5) for v, w in vectors])
 
 
 def newest(photos: DataFrame, n: int) -> DataFrame:
