@@ -16,7 +16,7 @@ from lodestone.llm.shared import cut, mix, steps
 
 SCALE = 1_000_000_000
 #: Bytes of text that one vectorised step takes: terms of a larger step combine better.
-STEP = 8_000_000
+STEP = 4_000_000
 #: Bits of the marks of kept prefixes, least and most: a broadcast of at most 16 MB.
 BITS = (16, 27)
 #: Bytes of terms: letters, and all bytes of signs beyond ASCII.
