@@ -10,11 +10,12 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lodestone.functions.text import tokens
+from lodestone.operators import search
 from lodestone.operators.search import SQL_IDF, B, K1, idf, phrases, weighted
 from lodestone.plans import versions
 from lodestone.plans.scratch import cut, fresh
 from lodestone.plans.views import SQL_PARTS, parts, table
-from lodestone.registry import query
+from lodestone.registry import SQL, query
 
 #: Score of a hit by its number, hits within which exact values are promoted, and hits that facets are made from.
 PINNED, PROMOTED, FACETED = -1e9, 200, 60
@@ -197,6 +198,15 @@ def indexed_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search_index(spark, path, list(ASKED)).select("query", F.col("key").alias("doc_id"), F.round("score", 6).alias("score"))
 
 
+@query(SQL["bm25_search"])
+def index_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The twenty best documents of each stated query from a kept index, which is written first."""
+    path = fresh(spark)
+    write_index(table(spark, sf_dir, "documents"), path, "doc_id", "text")
+    hits = search_index(spark, path, list(search.ASKED)).select("query", F.col("key").alias("doc_id"), F.round("score", 6).alias("score"))
+    return hits.withColumn("r", F.row_number().over(W.partitionBy("query").orderBy("score", "doc_id"))).where("r <= 20").drop("r")
+
+
 @query(f"""WITH final AS (SELECT doc_id, CASE WHEN doc_id % 5 = 1 THEN 'the of ' || text ELSE text END AS text FROM documents WHERE doc_id % 7 <> 3), {sql_hits(ASKED, 'doc_id', 'final')} SELECT query, doc_id, score FROM found""")
 def indexed_updates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same after changes: two thirds of the documents are indexed, the others added, a fifth changed and a seventh deleted, part of it compacted."""
