@@ -13,17 +13,18 @@ from pyspark.sql import functions as F
 
 from lodestone.llm.shared import cut, mix, seeds, steps, words
 
-#: Neighbours in suffix order that each suffix of a small class is compared with, on either side; larger classes are counted.
+#: Neighbours in suffix order that each suffix of a small class is compared with, on either side; larger classes are split first.
 NEIGHBOURS = 8
 _ODD = seeds(4096, 31) | np.uint64(1)
+_OTHER = seeds(4096, 47) | np.uint64(1)
 
 
-def _grams(hashes: np.ndarray, k: int) -> np.ndarray:
+def _grams(hashes: np.ndarray, k: int, odd: np.ndarray = _ODD) -> np.ndarray:
     """Hash of the k words from each position on."""
     n = max(len(hashes) - k + 1, 0)
     out = np.zeros(n, dtype=np.uint64)
     for j in range(k if n else 0):
-        out += hashes[j : j + n] * _ODD[j]
+        out += hashes[j : j + n] * odd[j]
     return mix(out)
 
 
@@ -92,7 +93,8 @@ def _contexts(left: int, least: int, right: int):
 
 
 def _windows(least: int, window: int):
-    """Every stretch of `least` words that starts at a listed position or up to window - 1 words before: its first word and hash."""
+    """Every stretch of `least` words that starts at a listed position or up to window - 1 words before: its first word and two
+    independent hashes of its words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -107,8 +109,9 @@ def _windows(least: int, window: int):
                 for j in range(window):
                     chosen[(at - j)[(at - j >= start) & (at - j + least <= end)]] = True
                 at = np.flatnonzero(chosen)
-                grams = _grams(hashes, least)[at] if len(at) else np.zeros(0, dtype=np.uint64)
-                yield pa.RecordBatch.from_arrays([pa.array(ids[low:high][rows[at]]), pa.array(at - np.searchsorted(rows, rows[at])), pa.array(grams.view(np.int64))], names=["doc_id", "start", "gram"])
+                both = [_grams(hashes, least, odd)[at] if len(at) else np.zeros(0, dtype=np.uint64) for odd in (_ODD, _OTHER)]
+                places = pa.array(at - np.searchsorted(rows, rows[at]))
+                yield pa.RecordBatch.from_arrays([pa.array(ids[low:high][rows[at]]), places, *(pa.array(x.view(np.int64)) for x in both)], names=["doc_id", "start", "gram", "other"])
 
     return run
 
@@ -121,15 +124,17 @@ def compare(ids: np.ndarray, positions: np.ndarray, classes: np.ndarray, after:
     """Matches of suffixes in suffix order with their neighbours of other documents, extended right and left.
 
     Rows of one document with equal words on both sides stand for each other, so that a document's own repetition does not
-    hide others. Returns doc_id, start, end, seen_in for each suffix with a match of `least` or more words."""
+    hide others. Returns doc_id, start, end, first, last for each suffix with a match of `least` or more words: first and last are
+    the smallest and the greatest id among its document and those it matches."""
     n = len(ids)
     if not n:
-        return pd.DataFrame({"doc_id": ids, "start": positions, "end": positions, "seen_in": ids})
+        return pd.DataFrame({"doc_id": ids, "start": positions, "end": positions, "first": ids, "last": ids})
     new = np.ones(n, dtype=bool)
     new[1:] = (ids[1:] != ids[:-1]) | (classes[1:] != classes[:-1]) | (after[1:] != after[:-1]).any(axis=1) | (before[1:] != before[:-1]).any(axis=1)
     group, head = np.cumsum(new) - 1, np.flatnonzero(new)
     k, a, b = len(head), after[head], before[head]
-    right, left, partner = np.zeros(k, dtype=np.int64), np.zeros(k, dtype=np.int64), np.full(k, -1, dtype=np.int64)
+    right, left = np.zeros(k, dtype=np.int64), np.zeros(k, dtype=np.int64)
+    least_id, most_id = ids[head].copy(), ids[head].copy()
     for s in range(1, min(NEIGHBOURS, k - 1) + 1):
         x, y = head[s:], head[:-s]
         pair = np.flatnonzero((classes[x] == classes[y]) & (ids[x] != ids[y]))
@@ -140,15 +145,15 @@ def compare(ids: np.ndarray, positions: np.ndarray, classes: np.ndarray, after:
         pair, r, l = pair[good], run[0][good], run[1][good]
         for own, other in ((pair + s, pair), (pair, pair + s)):
             right[own], left[own] = np.maximum(right[own], r), np.maximum(left[own], l)
-            partner[own] = np.where(partner[own] < 0, other, partner[own])
-    met = np.flatnonzero(partner[group] >= 0)
+            least_id[own], most_id[own] = np.minimum(least_id[own], ids[head[other]]), np.maximum(most_id[own], ids[head[other]])
+    met = np.flatnonzero((least_id < most_id)[group])
     g = group[met]
-    return pd.DataFrame({"doc_id": ids[met], "start": positions[met] - left[g], "end": positions[met] + right[g], "seen_in": ids[head[partner[g]]]})
+    return pd.DataFrame({"doc_id": ids[met], "start": positions[met] - left[g], "end": positions[met] + right[g], "first": least_id[g], "last": most_id[g]})
 
 
 def _neighbours(left: int, right: int, least: int):
     """Streams a sorted partition; the last NEIGHBOURS rows of a batch meet the next batch."""
-    names = ["doc_id", "start", "end", "seen_in"]
+    names = ["doc_id", "start", "end", "first", "last"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = None
@@ -172,13 +177,17 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     small enough to share out by hash; each suffix is compared with the NEIGHBOURS nearest on either side, which is its whole
     class, and matches extend to the right and to the left; matches of `least` words count.
 
-    In larger classes every stretch of `least` words that starts at a suffix or up to window - 1 words before it is counted by its
-    64-bit hash; those of two or more documents count. Any match of `least` words around a suffix consists of such stretches, so
-    none is missed, and no pairs are made. Overlapping matches of a document are merged, which covers the whole of longer passages.
-
-    Returns doc_id, start_word, end_word (exclusive, counted from 0), n_words, seen_in (the smallest id met that has a part of
-    it; the document of the smallest id of a larger class meets the one of the greatest). Ids are integers. Repetition within one document alone does not count. Null and short texts have no rows; rows without
-    id are left out; rows that repeat an id are one document. An empty table gives an empty result; other columns are ignored.
+    Larger classes, which may hold a third of all suffixes, are split by the words before and after until a part shares all its
+    `least` words: a suffix belongs to a part for each stretch of `least` words that starts at it or up to window - 1 words
+    before it. A part is known by two independent 64-bit hashes of its words, so that at 10^12 stretches a false match has a chance
+    under 10^-14. Parts of two or more documents are matches, extended as far as stretches follow each other. Any match of
+    `least` words around a suffix consists of such stretches, so none is missed, no pairs are made, and the result is the one
+    that comparing all suffixes of the class gives. Overlapping matches of a document are merged, which covers longer passages.
+
+    Returns doc_id, start_word, end_word (exclusive, counted from 0), n_words, seen_in: of the documents that share `least` of its
+    words in a row, the smallest id, or where that is the document itself, the greatest. Ids are integers. Repetition within
+    one document alone does not count. Null and short texts have no rows; rows without id are left out; rows that repeat an id
+    are one document. An empty table gives an empty result; other columns are ignored.
     """
     right = least - window + 1
     docs = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text")).where("doc_id is not null")
@@ -188,16 +197,17 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     listed = lambda large: F.array_sort(F.collect_set(F.when(F.col("large") == large, F.col("position"))))
     live = cut(anchors.join(shared, "class").groupBy("doc_id").agg(listed(False).alias("positions"), listed(True).alias("crowded")))
     wide = docs.join(live.where(F.size("positions") > 0), "doc_id").select("doc_id", "text", "positions").mapInArrow(_contexts(window - 1, right, least), "doc_id bigint, position bigint, class bigint, after binary, before binary")
-    grams = cut(docs.join(live.where(F.size("crowded") > 0), "doc_id").select("doc_id", "text", "crowded").mapInArrow(_windows(least, window), "doc_id bigint, start bigint, gram bigint"))
-    common = cut(grams.groupBy("gram").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a < b"))
-    crowded = grams.join(common, "gram").select("doc_id", "start", (F.col("start") + least).alias("end"), F.when(F.col("a") == F.col("doc_id"), F.col("b")).otherwise(F.col("a")).alias("seen_in"))
+    grams = cut(docs.join(live.where(F.size("crowded") > 0), "doc_id").select("doc_id", "text", "crowded").mapInArrow(_windows(least, window), "doc_id bigint, start bigint, gram bigint, other bigint"))
+    common = cut(grams.groupBy("gram", "other").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last"))
+    crowded = grams.join(common, ["gram", "other"]).select("doc_id", "start", (F.col("start") + least).alias("end"), "first", "last")
     order = ["class", "after", "before", "doc_id", "position"]
     ranged = wide.repartition("class").sortWithinPartitions(*order)
-    found = ranged.mapInArrow(_neighbours(window - 1, least, least), "doc_id bigint, start bigint, end bigint, seen_in bigint")
+    found = ranged.mapInArrow(_neighbours(window - 1, least, least), "doc_id bigint, start bigint, end bigint, first bigint, last bigint")
     found = found.unionByName(crowded)
     by = W.partitionBy("doc_id").orderBy("start", "end")
     before = F.max("end").over(by.rowsBetween(W.unboundedPreceding, -1))
     found = found.withColumn("new", F.when(F.col("start") <= before, 0).otherwise(1))
     found = found.withColumn("island", F.sum("new").over(by.rowsBetween(W.unboundedPreceding, W.currentRow)))
-    out = found.groupBy("doc_id", "island").agg(F.min("start").alias("start_word"), F.max("end").alias("end_word"), F.min("seen_in").alias("seen_in"))
-    return out.select("doc_id", "start_word", "end_word", (F.col("end_word") - F.col("start_word")).alias("n_words"), "seen_in")
+    out = found.groupBy("doc_id", "island").agg(F.min("start").alias("start_word"), F.max("end").alias("end_word"), F.min("first").alias("first"), F.max("last").alias("last"))
+    seen = F.when(F.col("first") < F.col("doc_id"), F.col("first")).otherwise(F.col("last"))
+    return out.select("doc_id", "start_word", "end_word", (F.col("end_word") - F.col("start_word")).alias("n_words"), seen.alias("seen_in"))

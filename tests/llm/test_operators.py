@@ -754,3 +754,29 @@ def test_repeated_passages_in_large_classes(spark):
     got = suffix_dedup.repeated_passages(spark.createDataFrame([(i, " ".join(w)) for i, w in words.items()], "doc_id long, text string")).collect()
     assert {(r.doc_id, x) for r in got for x in range(r.start_word, r.end_word)} == want
     assert {(r.doc_id, r.seen_in) for r in got} == {(100 * p + i, 100 * p + 1 - i) for p in range(8) for i in range(2)} | {(900, 901), (901, 900)}
+
+
+def test_repeated_passages_by_class_size(spark):
+    """A passage in 8, 9, 10, 11 and 1,000 documents, each with own words around it and some with a longer shared stretch: the same words
+    and the same seen_in as brute force, on either side of the size from which classes are split."""
+    rng = np.random.default_rng(8)
+    some = lambda n: [f"w{x}" for x in rng.integers(0, 1_000_000, n)]
+    words = {}
+    for p, n in enumerate((8, 9, 10, 11, 1000)):
+        core, left, right = some(46), some(12), some(12)
+        for i in range(n):
+            words[10_000 * p + i] = some(20) + (left if i % 3 == 0 else some(12)) + core + (right if i % 4 == 1 else some(12)) + some(20)
+    seen = defaultdict(set)
+    for i, w in words.items():
+        for j in range(len(w) - 49):
+            seen[tuple(w[j : j + 50])].add(i)
+    want = {}
+    for i, w in words.items():
+        at = [j for j in range(len(w) - 49) if len(seen[tuple(w[j : j + 50])]) > 1]
+        if at:
+            met = set().union(*(seen[tuple(w[j : j + 50])] for j in at))
+            assert max(np.diff(at), default=1) <= 50  # one passage a document
+            want[i] = (at[0], at[-1] + 50, min(met) if min(met) < i else max(met))
+    docs = spark.createDataFrame([(i, " ".join(w)) for i, w in words.items()], "doc_id long, text string")
+    got = suffix_dedup.repeated_passages(docs).collect()
+    assert len(got) == len(want) > 400 and {r.doc_id: (r.start_word, r.end_word, r.seen_in) for r in got} == want
