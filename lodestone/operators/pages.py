@@ -5,15 +5,23 @@ from __future__ import annotations
 import json
 from collections.abc import Iterator
 from html.parser import HTMLParser
+from urllib.parse import urljoin
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.functions.text import collapse
-from lodestone.plans.views import table
+from lodestone.functions.threads import family_key
+from lodestone.plans.views import SQL_PARTS, parts, table
 from lodestone.registry import query
 
+#: What the address of a product photo has in it, and what that of decoration has.
+PHOTO_MARKS = ("imagecache", "/mv", "product", "/gfx/", "item")
+DECORATION = ("logo", "icon", "sprite", "pixel", "spacer", "arrow", "badge")
+#: Fixed value: a key of a table row is shorter than this.
+KEY_CHARS = 40
+
 
 @query(r"""SELECT page_id, trim(regexp_replace(regexp_extract(html, '<title>([^<]*)</title>', 1), '\s+', ' ', 'g')) AS title, regexp_extract(url, '^https?://([^/]+)', 1) AS host, regexp_extract(url, '^https?://[^/]+/([^?]*)', 1) AS path,
  len(regexp_extract_all(html, '<a href=')) AS links, regexp_extract(html, '<html lang="([a-z]+)"', 1) AS lang FROM pages""")
@@ -39,6 +47,8 @@ class _Reader(HTMLParser):
     def __init__(self) -> None:
         super().__init__()
         self.title, self.meta, self.data, self.images, self.rows = "", {}, [], [], []
+        self.pictures: list[tuple[str, str]] = []
+        self.crumbs: list[str] = []
         self._texts: list[tuple[str, list[str]]] = []
         self._row: list[str] = []
 
@@ -48,6 +58,9 @@ class _Reader(HTMLParser):
             self.meta.setdefault(name, a.get("content") or "")
         elif tag == "img":
             self.images.append(a.get("src") or "")
+            self.pictures.append((a.get("src") or a.get("data-src") or a.get("data-original") or "", a.get("alt") or ""))
+        elif tag == "a" and "breadcrumb" in (a.get("class") or "").lower():
+            self._texts.append(("a", []))
         elif tag in ("br", "p", "div", "li"):
             self.handle_data(" ")
         elif tag == "tr":
@@ -78,6 +91,8 @@ class _Reader(HTMLParser):
                 self.data.append(json.loads(text))
             except ValueError:
                 pass
+        elif tag == "a":
+            self.crumbs.append(" ".join(text.split()))
         else:
             self._row.append(" ".join(text.split()))
 
@@ -115,3 +130,120 @@ def page_products(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Name and number of images of every page, by the product parser."""
     p = product_pages(table(spark, sf_dir, "pages"))
     return p.select("page_id", "name", F.size("images").cast("bigint").alias("n_images"))
+
+
+def _words(value: object) -> str:
+    return " ".join(value.split()) if isinstance(value, str) else "" if value is None or isinstance(value, dict | list) else str(value)
+
+
+def _each(value: object) -> list:
+    return value if isinstance(value, list) else [value] if value else []
+
+
+def _position(element: dict) -> int:
+    try:
+        return int(element.get("position") or 0)
+    except (TypeError, ValueError):
+        return 0
+
+
+def _steps_of(crumbs: dict) -> list[str]:
+    """Names of a stated breadcrumb in order of position."""
+    items = sorted((x for x in _each(crumbs.get("itemListElement")) if isinstance(x, dict)), key=_position)
+    names = [_words(x.get("name")) or _words((x.get("item") if isinstance(x.get("item"), dict) else {}).get("name")) for x in items]
+    return [n for n in names if n]
+
+
+def parse_page(url: str, html: str) -> dict:
+    """What a product page states of its part: number, name, title, description, path, attributes, and images in order with absolute
+    addresses. A page may have several structured products: the first that states a field has it, all give images and attributes.
+
+    Structured data leads, then meta tags, then the title. The path is the structured breadcrumb's, else that of links of
+    class breadcrumb. Attributes are structured properties (the last of a name), then rows of two cells with a short key
+    (the first). Pictures of a page count where their address looks like a product's, or it or their text names the
+    number, which is `sku` or `mpn`; `others` are the rest, for numbers found later. Broken or empty pages give empty fields.
+    """
+    r = _Reader()
+    r.feed(html or "")
+    nodes = [d for x in r.data for d in _each(x) if isinstance(d, dict)]
+    kind = lambda d: _words(d.get("@type")).lower()
+    products = [d for d in nodes if kind(d) == "product"]
+    stated = lambda *keys: next((w for d in products for k in keys if (w := _words(d.get(k)))), "")
+    paths = [p for d in nodes if kind(d) == "breadcrumblist" if (p := _steps_of(d))]
+    attributes = {_words(p["name"]): _words(p.get("value")) for d in products for p in _each(d.get("additionalProperty")) if isinstance(p, dict) and _words(p.get("name"))}
+    for key, value in r.rows:
+        if len(key) < KEY_CHARS:
+            attributes.setdefault(key.rstrip(":"), value)
+    images = [(i.get("url") or i.get("contentUrl")) if isinstance(i, dict) else i for d in products for i in _each(d.get("image"))]
+    images = [i.strip() for i in [*images, r.meta.get("og:image")] if isinstance(i, str) and i.strip()]
+    pictures = [(src, alt) for src, alt in r.pictures if src and not any(n in src.lower() for n in DECORATION)]
+    place = lambda src: urljoin(url or "", src)
+    return {
+        "number": next((w for d in products if (w := _words(d.get("sku")) or _words(d.get("mpn")))), ""), "name": stated("name") or _words(r.meta.get("og:title")), "title": r.title,
+        "description": stated("description") or _words(r.meta.get("description")) or _words(r.meta.get("og:description")), "category_path": paths[-1] if paths else [c for c in r.crumbs if c],
+        "attributes": attributes, "images": [place(i) for i in images],
+        "pictures": [(place(src), any(m in src.lower() for m in PHOTO_MARKS), (src + alt).lower()) for src, alt in pictures],
+    }
+
+
+def page_parts(pages: DataFrame, site: str | None = None) -> DataFrame:
+    """pages (page_id, url, html) -> a part for each page that tells its part's number, with page_id.
+
+    The number is the stated one, else the first that reads like one in the address, the title or the name. `site`: a name that ends titles
+    after a bar or dash and isn't part of one. Nulls count as empty. Numbers aren't made unique: see `enriched`.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            facts = [parse_page(u, h) for u, h in zip(batch["url"], batch["html"], strict=True)]
+            lists = lambda k: [list(f[k].items()) if isinstance(f[k], dict) else f[k] for f in facts]  # noqa: B023, E731
+            yield pd.DataFrame({"page_id": batch["page_id"], "url": batch["url"], **{k: lists(k) for k in ("number", "name", "title", "description", "category_path", "attributes", "images", "pictures")}})
+
+    schema = "page_id bigint, url string, number string, name string, title string, description string, category_path array<string>, attributes array<struct<key:string,value:string>>, images array<string>, pictures array<struct<src:string,photo:boolean,text:string>>"
+    found = pages.select("page_id", "url", "html").mapInPandas(run, schema)
+    title = F.regexp_replace("title", r"(?i)\s*[|\-–]\s*\Q" + site.replace("\\E", "") + r"\E.*$", "") if site else F.col("title")
+    found = found.withColumn("name", F.coalesce(F.nullif("name", F.lit("")), F.nullif(title, F.lit(""))))
+    path = F.regexp_replace(F.regexp_replace("url", "^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*", ""), "[?#].*$", "")
+    like = lambda text: F.nullif(F.regexp_extract(F.upper(text), r"\b(\d{4,5}[A-Z]\d{1,4}[A-Z]?)\b", 1), F.lit(""))
+    found = found.withColumn("part_number", F.upper(F.coalesce(F.nullif("number", F.lit("")), like(path), like("title"), like("name")))).where("part_number is not null")
+    photos = F.transform(F.filter("pictures", lambda p: p["photo"] | F.contains(p["text"], F.lower("part_number"))), lambda p: p["src"])
+    name = F.coalesce("name", "part_number")
+    return found.select(
+        "page_id", "part_number", name.alias("name"), "category_path", "description", F.map_from_entries("attributes").alias("attributes"), F.array_distinct(F.concat("images", photos)).alias("image_paths"),
+        family_key(F.col("category_path"), name).alias("family_id"), "url",
+    )
+
+
+def enriched(catalog: DataFrame, found: DataFrame, only_missing: bool = True) -> DataFrame:
+    """Parts of a catalog that pages tell more of, as they are to be upserted: name, path and description are the page's where it has them,
+    attributes that the part has already stay, and the address is the page's.
+
+    only_missing: parts without a path, or whose name is their number, and no others. Of several pages of a part the one of the smallest
+    page_id counts. The catalog's filter and the pages' few columns come before the join. Parts without such a page have no row.
+    """
+    facts = ("name", "category_path", "description", "attributes", "url")
+    one = found.groupBy("part_number").agg(F.min_by(F.struct(*facts), "page_id").alias("page"))
+    todo = catalog.where("category_path is null or size(category_path) = 0 or name = part_number or name is null") if only_missing else catalog
+    had = F.coalesce("attributes", F.create_map().cast("map<string,string>"))
+    full = lambda c: F.when(F.length(F.col(f"page.{c}")) > 0, F.col(f"page.{c}")).otherwise(F.col(c))
+    return todo.join(one, "part_number").withColumns({
+        "name": full("name"), "description": full("description"),
+        "category_path": F.when(F.size("page.category_path") > 0, F.col("page.category_path")).otherwise(F.col("category_path")),
+        "attributes": F.map_concat(F.map_filter("page.attributes", lambda k, v: ~F.map_contains_key(had, k)), had), "url": F.col("page.url"),
+    }).drop("page")
+
+
+@query(rf"""WITH {SQL_PARTS}, c AS (SELECT lpad(CAST(part % 100000 AS VARCHAR), 5, '0') || 'A' || part % 10 AS part_number, name, part, CASE WHEN part % 3 = 0 THEN 0 ELSE 2 END AS steps FROM parts),
+ t AS (SELECT page_id, lpad(CAST(page_id // 2 * 3 AS VARCHAR), 5, '0') || 'A' || page_id // 2 * 3 % 10 AS part_number, regexp_extract(url, '^[^?#]*') AS base, trim(regexp_replace(regexp_extract(html, '<title>([^<]*)</title>', 1), '\s+', ' ', 'g')) AS title FROM pages),
+ o AS (SELECT part_number, base, replace(replace(replace(replace(title, '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&amp;', '&') AS title FROM t QUALIFY row_number() OVER (PARTITION BY part_number ORDER BY page_id) = 1)
+ SELECT part_number, CASE WHEN title = '' THEN part_number ELSE title END AS name, CAST(steps AS BIGINT) AS steps, base || '/' || part_number AS url, lower(part_number) AS had FROM c JOIN o USING (part_number) WHERE steps = 0 OR c.name = part_number""")
+def enriched_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts without a path, told more of by the pages whose address ends with their number; two pages a number."""
+    digits = lambda c: F.concat(F.lpad(F.pmod(c, F.lit(100000)).cast("string"), 5, "0"), F.lit("A"), F.pmod(c, F.lit(10)).cast("string"))
+    number = digits(F.col("part"))
+    catalog = parts(spark, sf_dir).select(
+        number.alias("part_number"), "name", F.when(F.col("part") % 3 == 0, F.array().cast("array<string>")).otherwise(F.col("path")).alias("category_path"), F.lit("").alias("description"), F.create_map(F.lit("had"), F.lower(number)).alias("attributes"),
+    )
+    address = F.concat_ws("/", F.regexp_extract("url", r"^[^?#]*", 0), digits(F.floor(F.col("page_id") / 2) * 3))
+    got = enriched(catalog, page_parts(table(spark, sf_dir, "pages").withColumn("url", address)))
+    return got.select("part_number", "name", F.size("category_path").cast("bigint").alias("steps"), "url", F.col("attributes")["had"].alias("had"))

@@ -15,7 +15,7 @@ from lodestone.functions.numeric import percentiles
 from lodestone.operators import search
 from lodestone.operators.answers import answer
 from lodestone.operators.fusion import rerank_within_tiers
-from lodestone.operators.pages import parse_product
+from lodestone.operators.pages import enriched, page_parts, parse_product
 from lodestone.sources import readers
 
 UNITS = {"mm": 1, "cm": 10, "in": Fraction("25.4"), '"': Fraction("25.4"), "inches": Fraction("25.4"), "ft": Fraction("304.8")}
@@ -228,3 +228,51 @@ def test_stated_pitches(spark):
     names = {"Hex Nuts": True, "Locknut, M6": True, "Nut Driver": False, "T-Nut": False, "Coconut nut": False, "Wing Nut": True, "Donut": False, "Nut Plate": False, "Bolt": False}
     rows = spark.createDataFrame([(n,) for n in names], "n string").select("n", threads.is_nut(F.col("n")).alias("nut")).collect()
     assert {r.n: r.nut for r in rows} == names
+
+
+def _page(*, data=(), head="", body=""):
+    blocks = "".join(f'<script type="application/ld+json">{d if isinstance(d, str) else json.dumps(d)}</script>' for d in data)
+    return f"<html><head>{head}{blocks}</head><body>{body}</body></html>"
+
+
+def test_page_parts(spark):
+    product = {"@type": "Product", "name": " Hex  nut ", "sku": "90101a5", "description": "Zinc", "image": ["/a.png", {"@type": "ImageObject", "contentUrl": "b.png"}, 7], "additionalProperty": [{"name": "Thread", "value": "M5"}, {"name": "Pack", "value": 10}, "x"]}
+    crumbs = {"@type": "BreadcrumbList", "itemListElement": [{"position": 2, "item": {"name": "Nuts"}}, {"position": "1", "name": "Fasteners"}, {"position": "?", "name": " "}, 4]}
+    rows = "<table><tr><th>Thread:</th><td>M6</td></tr><tr><td>Finish:</td><td>Plain</td></tr><tr><td>" + "k" * 40 + "</td><td>v</td></tr><tr><td>only</td></tr></table>"
+    pictures = '<img src="/img/logo-product.png"><img data-src="/gfx/c.png"><img src="/x/90101A5.png"><img src="/y.png" alt="The 90101A5 nut"><img src="/z.png"><img src="/a.png">'
+    meta = '<title>Steel Bolt, M6 | Shop of bolts</title><meta name="description" content="Strong"><meta property="og:image" content="/og.png">'
+    pages = [
+        (1, "https://shop.test/p/1?x=1", _page(data=["{broken", [product, crumbs]], body=rows + pictures)),
+        (2, "https://shop.test/12345B67/?ref=99999C1", _page(head=meta, body='<a class="Breadcrumb-link" href="/"><b>Fasteners</b></a><a href="/">no</a><a class="breadcrumb" href="/b">Bolts</a>')),
+        (3, "https://shop.test/none", _page(head="<title>Washer 7777w1 - wide</title>")),
+        (4, "https://5555a1.test/none", _page(head="<title>Nothing here</title>")),
+        (5, None, None),
+        (6, "https://shop.test/8888D1", "<table><tr><td>a<td>b</tr>"),
+    ]
+    got = {r.page_id: r for r in page_parts(spark.createDataFrame(pages, "page_id long, url string, html string"), site="Shop").collect()}
+    assert set(got) == {1, 2, 3, 6}
+    a = got[1]
+    assert (a.part_number, a.name, a.category_path, a.description) == ("90101A5", "Hex nut", ["Fasteners", "Nuts"], "Zinc")
+    assert a.attributes == {"Thread": "M5", "Pack": "10", "Finish": "Plain"}
+    assert a.image_paths == [f"https://shop.test{x}" for x in ("/a.png", "/p/b.png", "/gfx/c.png", "/x/90101A5.png", "/y.png")]
+    b = got[2]
+    assert (b.part_number, b.name, b.category_path, b.description, b.image_paths) == ("12345B67", "Steel Bolt, M6", ["Fasteners", "Bolts"], "Strong", ["https://shop.test/og.png"])
+    assert b.family_id == "Fasteners > Bolts :: steel bolt"
+    assert (got[3].part_number, got[3].name) == ("7777W1", "Washer 7777w1 - wide") and (got[6].part_number, got[6].name) == ("8888D1", "8888D1")
+
+
+def test_enriched(spark):
+    parts = spark.createDataFrame(
+        [("P1", "P1", ["A"], "", {"Size": "1"}, ["p.png"]), ("P2", "Nut", [], "old", {}, []), ("P3", "Bolt", ["B"], "", {}, []), ("P4", None, None, None, None, None)],
+        "part_number string, name string, category_path array<string>, description string, attributes map<string,string>, image_paths array<string>",
+    )
+    found = spark.createDataFrame(
+        [(2, "P1", "later", ["Z"], "z", {"Z": "z"}, "u2"), (1, "P1", "Plug", [], "", {"Size": "2", "Use": "air"}, "u1"), (3, "P2", "", ["N"], "new", {}, "u3"), (4, "P3", "Screw", ["S"], "", {}, "u4"), (5, "P9", "x", [], "", {}, "u5")],
+        "page_id long, part_number string, name string, category_path array<string>, description string, attributes map<string,string>, url string",
+    )
+    got = {r.part_number: r for r in enriched(parts, found).collect()}
+    assert set(got) == {"P1", "P2"}
+    assert tuple(got["P1"]) == ("P1", "Plug", ["A"], "", {"Size": "1", "Use": "air"}, ["p.png"], "u1")
+    assert tuple(got["P2"]) == ("P2", "Nut", ["N"], "new", {}, [], "u3")
+    every = {r.part_number: r.name for r in enriched(parts, found, only_missing=False).collect()}
+    assert every == {"P1": "Plug", "P2": "Nut", "P3": "Screw"} and enriched(parts, found.limit(0)).count() == 0
