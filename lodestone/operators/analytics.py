@@ -138,9 +138,9 @@ def strip_take(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t.agg(F.count("*").alias("orders_after_strip"), share(F.col("strip.part") == F.col("part")).alias("take"))
 
 
-def strip_takes(rows: DataFrame) -> DataFrame:
-    """(orders_after_strip, take, new_take): of the checkouts that a strip was shown before, the share that took a part of it, and
-    the share that took one which the client had never bought; shares are null over none.
+def strip_orders(rows: DataFrame, had: DataFrame | None = None) -> DataFrame:
+    """(user_id, at, took, new) of each checkout that a strip was shown before: whether it took a part of it, and one that the client
+    had never bought. had: (user_id, part, first), what was bought before these rows and when.
 
     rows: user_id, ts, event_id, kind (`shown` or `checkout`), parts (a list). A checkout takes the latest strip shown to the client
     since the checkout before it, and uses it up, also where it takes nothing. Rows without user don't count. A window covers
@@ -156,9 +156,20 @@ def strip_takes(rows: DataFrame) -> DataFrame:
     w = W.partitionBy("user_id", "day").orderBy("at").rowsBetween(W.unboundedPreceding, -1)
     met = rows.withColumns({"strip": F.last(of("shown"), ignorenulls=True).over(w), "used": F.last(of("checkout"), ignorenulls=True).over(w)}).where("kind = 'checkout'").join(days, ["user_id", "day"])
     met = met.withColumns({c: F.coalesce(c, f"old_{c}") for c in ("strip", "used")}).where(F.col("strip").isNotNull() & (F.col("used").isNull() | (F.col("used.at") < F.col("strip.at"))))
-    first = rows.where("kind = 'checkout'").select("user_id", F.explode(F.array_distinct("parts")).alias("part"), "at").groupBy("user_id", "part").agg(F.min("at").alias("first"))
+    first = first_bought(rows, had)
     each = met.select("user_id", "at", F.explode_outer(F.array_intersect("parts", "strip.parts")).alias("part")).join(first, ["user_id", "part"], "left")
-    orders = each.groupBy("user_id", "at").agg(F.max(F.col("part").isNotNull()).alias("took"), F.max(F.coalesce(F.col("first") == F.col("at"), F.lit(False))).alias("new"))
+    return each.groupBy("user_id", "at").agg(F.max(F.col("part").isNotNull()).alias("took"), F.max(F.coalesce(F.col("first") == F.col("at"), F.lit(False))).alias("new"))
+
+
+def first_bought(rows: DataFrame, had: DataFrame | None = None) -> DataFrame:
+    """(user_id, part, first): the first checkout of each client and part, in rows (user_id, at, kind, parts) and in what was known."""
+    own = rows.where("kind = 'checkout' and user_id is not null").select("user_id", F.explode(F.array_distinct("parts")).alias("part"), F.col("at").alias("first"))
+    return (own if had is None else own.unionByName(had)).groupBy("user_id", "part").agg(F.min("first").alias("first"))
+
+
+def strip_takes(rows: DataFrame) -> DataFrame:
+    """(orders_after_strip, take, new_take) over `strip_orders`: how many, and the shares that took a part and a new one; null over none."""
+    orders = strip_orders(rows)
     return orders.agg(F.count("*").alias("orders_after_strip"), share(F.col("took")).alias("take"), share(F.col("new")).alias("new_take"))
 
 
@@ -169,10 +180,14 @@ def strip_takes(rows: DataFrame) -> DataFrame:
  SELECT count(*) AS orders_after_strip, round(avg((len(got) > 0)::INT), 6) AS take, round(avg((len(list_filter(got, lambda x: NOT list_contains(had, x))) > 0)::INT), 6) AS new_take FROM o""")
 def strip_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How often checkouts take a part of the strip shown before, and one never bought; strips and checkouts are lists of parts."""
+    return strip_takes(strip_rows(event_log(spark, sf_dir)))
+
+
+def strip_rows(log: DataFrame) -> DataFrame:
+    """Views as strips shown and purchases as checkouts, each of some parts."""
     shown = F.col("event_type") == "view"
     parts_of = F.when(shown, F.array("part", (F.col("part") + 3) % 10, F.col("k") % 10)).otherwise(F.array("part", F.col("k") % 7))
-    log = event_log(spark, sf_dir).where("event_type in ('view', 'purchase')")
-    return strip_takes(log.select("user_id", "ts", "event_id", F.when(shown, "shown").otherwise("checkout").alias("kind"), parts_of.alias("parts")))
+    return log.where("event_type in ('view', 'purchase')").select("user_id", "ts", "event_id", F.when(shown, "shown").otherwise("checkout").alias("kind"), parts_of.alias("parts"))
 
 
 @query(f"""WITH {SQL_EVENTS}, f AS (SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY ts DESC, event_id DESC) AS rn, min(ts) OVER (PARTITION BY request_id) AS first_at FROM log WHERE event_type IN ('click', 'signup'))

@@ -11,10 +11,11 @@ from lodestone.functions.numeric import share
 from lodestone.operators.analytics import feedback_stats, funnel, search_funnel, strip_take
 from lodestone.operators.answers import learning_state
 from lodestone.operators.customers import repeat_customers
+from lodestone.operators.printed import FOOTER, printed_files, printed_parts, split_pages
 from lodestone.operators.vector import SQL_TOP, gallery_stats, retrieved
 from lodestone.plans.views import SQL_EVENTS, SQL_GALLERY, SQL_PARTS, event_log, gallery, parts
 from lodestone.registry import SQL, query
-from lodestone.sources.readers import STRING_MAP, ingest, labels
+from lodestone.sources.readers import STRING_MAP, ingest, labels, with_photos
 
 #: The one-row reports that `report` lists, in its order.
 SECTIONS = {"funnel": funnel, "searches": search_funnel, "strip": strip_take, "feedback": feedback_stats, "customers": repeat_customers, "learning": learning_state, "gallery": gallery_stats}
@@ -91,3 +92,32 @@ def retrieval_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     recall = [share(F.col(c).between(1, k)).alias(f"{n}recall_{k}") for c, n in (("rank", ""), ("family", "family_")) for k in (1, 5, 10, 50)]
     mrr = F.round(F.avg(F.when(F.col("rank") > 0, 1.0 / F.col("rank")).otherwise(0.0)), 6)
     return r.rollup("query_label").agg(F.count("*").alias("queries"), *recall, mrr.alias("mrr"), F.max("rank").alias("worst"))
+
+
+@query(f"""WITH {SQL_PARTS}, {SQL_GALLERY}, g AS (SELECT vec_id % 40 AS part, vec_id FROM gallery WHERE vec_id % 5 = 0), o AS (SELECT part, [CAST(part AS VARCHAR) || '.jpg', CAST(part * 3 AS VARCHAR) || '.jpg'] AS own FROM parts),
+ m AS (SELECT o.part, list_sort(list(DISTINCT CAST(vec_id AS VARCHAR) || '.jpg') FILTER (WHERE NOT list_contains(own, CAST(vec_id AS VARCHAR) || '.jpg'))) AS more FROM o JOIN g USING (part) GROUP BY o.part)
+ SELECT CAST(part AS VARCHAR) AS part_number, array_to_string(list_concat(own, coalesce(more, [])), ' ') AS paths FROM o LEFT JOIN m USING (part)""")
+def photographed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Images of every part, with labelled photos of forty of them (every fifth vector stands for one) after its own."""
+    v = F.col("vec_id")
+    photos = gallery(spark, sf_dir).where(v % 5 == 0).select((v % 40).cast("string").alias("part_number"), F.concat(v.cast("string"), F.lit(".jpg")).alias("path"))
+    return with_photos(records(spark, sf_dir), photos).select("part_number", F.array_join("image_paths", " ").alias("paths"))
+
+
+def page_summary(found: DataFrame) -> DataFrame:
+    """(what, name, n) of parts read from pages before they are taken in: parts, families, parts without a size, and parts by section, material
+    and size (`?` where a part has none). All counts come from one pass."""
+    size, material = (F.coalesce(F.col("attributes")[k], F.lit("?")) for k in ("pipe_size", "material"))
+    each = F.array(*[F.struct(F.lit(w).alias("what"), n.alias("name")) for w, n in (("parts", F.lit("")), ("section", F.array_join("path", " > ")), ("material", material), ("size", size), ("family", F.col("family")))])
+    counts = found.select(F.explode(each).alias("x")).groupBy("x.what", "x.name").agg(F.count("*").alias("n"))
+    families = F.col("what") == "family"
+    kept = counts.groupBy(F.when(families, "families").otherwise(F.col("what")).alias("what"), F.when(families, "").otherwise(F.col("name")).alias("name"))
+    return kept.agg(F.sum(F.when(~families, F.col("n")).when(F.col("name").isNotNull() & (F.col("name") != ""), 1).otherwise(0)).alias("n"))
+
+
+@query(f"""WITH p AS ({SQL["printed_catalog"]}), f AS (SELECT path, family, split_part(name, ', ', 1) AS material, replace(split_part(name, ', ', 3), ' pipe size', '') AS size FROM p)
+ SELECT 'parts' AS what, '' AS name, count(*) AS n FROM f HAVING count(*) > 0 UNION ALL SELECT 'families', '', count(DISTINCT family) FROM f HAVING count(*) > 0
+ UNION ALL SELECT 'section', path, count(*) FROM f GROUP BY 2 UNION ALL SELECT 'material', material, count(*) FROM f GROUP BY 2 UNION ALL SELECT 'size', size, count(*) FROM f GROUP BY 2""")
+def printed_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the printed catalog would bring in, counted before it is."""
+    return page_summary(printed_parts(split_pages(printed_files(spark, sf_dir)), FOOTER))

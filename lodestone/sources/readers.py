@@ -122,6 +122,14 @@ def labelled_images(spark: SparkSession, root: str) -> DataFrame:
     return part_files(spark, root).where(F.col("name").rlike(PHOTO)).select(F.upper("folder").alias("part_number"), "path")
 
 
+def with_photos(parts: DataFrame, photos: DataFrame) -> DataFrame:
+    """parts with the paths of photos (part_number, path) put after their own images, in order of path; a path the part has already isn't
+    put again. Photos of unknown parts are left out, parts without photos stay as they are. A part's paths fit a row."""
+    more = photos.where("path is not null").groupBy("part_number").agg(F.array_sort(F.collect_set("path")).alias("more"))
+    own = F.coalesce("image_paths", F.array().cast("array<string>"))
+    return parts.join(more, "part_number", "left").withColumn("image_paths", F.when(F.col("more").isNull(), F.col("image_paths")).otherwise(F.concat(own, F.array_except("more", own)))).drop("more")
+
+
 def distinct_photos(spark: SparkSession, photos: DataFrame, root: str) -> DataFrame:
     """photos (part_number, path, position) without copies: of a part's photos of equal content the first by position, then path, stays.
 

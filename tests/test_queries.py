@@ -9,7 +9,7 @@ import pytest
 
 from lodestone import registry
 from lodestone.operators import analytics, answers, catalog, customers, evidence, fusion, learning, pages, printed, replay, reports, search, text_index, threads, vector, vector_index  # noqa: F401
-from lodestone.streaming import admission, carts, events, kept  # noqa: F401
+from lodestone.streaming import admission, carts, events, kept, strips  # noqa: F401
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()

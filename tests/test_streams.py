@@ -9,7 +9,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from lodestone.plans import versions
-from lodestone.streaming import admission, kept
+from lodestone.operators import analytics
+from lodestone.streaming import admission, kept, strips
 from lodestone.streaming.events import drained
 
 SF = "/root/testdata/sf0.001"
@@ -114,3 +115,39 @@ def test_log_compaction(spark, tmp_path, monkeypatch):
     tied = spark.createDataFrame([(i, "2024-01-01", "journey") for i in range(9)], "event_id bigint, ts string, class string").withColumn("ts", F.to_timestamp("ts"))
     assert sorted(r.event_id for r in kept.newest(tied, "class", {"journey": 4}, at).collect()) == [5, 6, 7, 8]
     assert kept.newest(tied.limit(0), "class", keep, at).count() == 0
+
+
+def strip_loop(rows):
+    """(orders after a strip, took a part, took a new one) by a plain loop over rows in order."""
+    shown, had, n, took, new = {}, {}, 0, 0, 0
+    for user, _, _, kind, items in rows:
+        if user is None:
+            continue
+        if kind == "shown":
+            shown[user] = set(items or [])
+        elif kind == "checkout":
+            own = set(items or [])
+            strip = shown.pop(user, None)
+            if strip is not None:
+                n, took, new = n + 1, took + bool(own & strip), new + bool(own & strip - had.get(user, set()))
+            had.setdefault(user, set()).update(own)
+    return n, took, new
+
+
+def test_strips_over_micro_batches(spark, tmp_path):
+    """Six files with repeated parts, empty lists, missing users and other kinds, a batch that comes again, and merged first purchases."""
+    rng = np.random.default_rng(4)
+    users, kinds = [1, 1, 1, 2, 3, None], ["shown", "shown", "checkout", "checkout", "other"]
+    rows = [(users[rng.integers(6)], pd.Timestamp("2024-01-01") + pd.Timedelta(hours=int(i) // 2 * 5), i, kinds[rng.integers(5)], [int(x) for x in rng.integers(0, 12, rng.integers(0, 4))]) for i in range(300)]
+    (tmp_path / "in").mkdir()
+    in_files(tmp_path / "in", pd.DataFrame(rows, columns=["user_id", "ts", "event_id", "kind", "parts"]).astype({"user_id": "Int64", "ts": "datetime64[us]"}), 6)
+    whole, stream = stream_of(spark, tmp_path / "in")
+    path = str(tmp_path / "kept")
+    strips.strip_stream(stream, path, str(tmp_path / "checkpoint"))
+    n, took, new = strip_loop(rows)
+    want = (n, round(took / n, 6), round(new / n, 6))
+    assert 0 < new < took < n
+    assert tuple(strips.kept_takes(spark, path).first()) == want == tuple(analytics.strip_takes(whole).first())
+    assert not strips.keep_strips(whole, 5, path) and strips.keep_strips(whole.limit(0), 6, path)
+    assert tuple(strips.kept_takes(spark, path).first()) == want
+    assert tuple(strips.kept_takes(spark, str(tmp_path / "none")).first()) == (0, None, None)
