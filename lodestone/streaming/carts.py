@@ -166,35 +166,50 @@ def event_actions(log: DataFrame) -> DataFrame:
 
 #: The queries' carts live for a day and a half.
 DAY_AND_HALF = 129_600_000_000
-_SQL = f"""WITH {SQL_EVENTS}, a AS (SELECT user_id AS client, epoch_us(ts) AS us, event_id, part, confidence, tier, CASE WHEN k % 3 > 0 THEN request_id END AS request_id, CASE WHEN event_type = 'view' THEN k % 4 ELSE 1 + k * 7 % 600 END AS quantity,
+
+
+def _sql(stretches: int) -> str:
+    """SQL of the carts after events that come in so many stretches of equal time. At the end of each, above CARTS open carts the tenth of
+    them that was touched longest ago goes (of equals, the smallest client): `gone` names them and the stretch."""
+    steps = [f"""WITH {SQL_EVENTS}, a AS (SELECT user_id AS client, epoch_us(ts) AS us, event_id, part, confidence, tier, CASE WHEN k % 3 > 0 THEN request_id END AS request_id, CASE WHEN event_type = 'view' THEN k % 4 ELSE 1 + k * 7 % 600 END AS quantity,
   CASE event_type WHEN 'click' THEN 'add' WHEN 'view' THEN 'set' WHEN 'error' THEN 'remove' WHEN 'purchase' THEN 'place' ELSE CASE WHEN k % 4 = 0 THEN 'clear' ELSE 'add' END END AS action FROM log),
- b AS (SELECT *, lag(action) OVER w AS was, lag(us) OVER w AS before FROM a WINDOW w AS (PARTITION BY client ORDER BY us, event_id)),
- n AS (SELECT *, count(*) FILTER (WHERE was IN ('place', 'clear') OR us - before > {DAY_AND_HALF}) OVER (PARTITION BY client ORDER BY us, event_id) AS cart FROM b),
- c AS (SELECT client, cart, max(event_id) FILTER (WHERE action = 'place') AS order_id, bool_or(action = 'clear') AS cleared, cart = max(cart) OVER (PARTITION BY client) AND (SELECT max(us) FROM a) - max(us) <= {DAY_AND_HALF} AS open FROM n GROUP BY client, cart),
- d AS (SELECT *, count(*) FILTER (WHERE action = 'remove' OR (action = 'set' AND quantity = 0)) OVER l AS dropped, count(*) FILTER (WHERE action = 'set') OVER l - CASE WHEN action = 'set' THEN 1 ELSE 0 END AS sets
-  FROM n WHERE action IN ('add', 'set', 'remove') WINDOW l AS (PARTITION BY client, cart, part ORDER BY us DESC, event_id DESC)),
- e AS (SELECT *, row_number() OVER (PARTITION BY client, cart, part ORDER BY us, event_id) AS i FROM d WHERE dropped = 0),
+ s AS (SELECT a.*, (us - low) * {stretches} // (high - low + 1) AS stretch FROM a, (SELECT min(us) AS low, max(us) AS high FROM a)),
+ b AS (SELECT *, lag(action) OVER w AS was, lag(us) OVER w AS before, lag(stretch) OVER w AS was_in FROM s WINDOW w AS (PARTITION BY client ORDER BY us, event_id)),
+ gone0 AS (SELECT CAST(NULL AS BIGINT) AS client, CAST(NULL AS BIGINT) AS stretch WHERE false)"""]
+    for i in range(stretches):
+        steps.append(f"""
+ n{i} AS (SELECT b.*, count(*) FILTER (WHERE was IN ('place', 'clear') OR us - before > {DAY_AND_HALF} OR g.client IS NOT NULL) OVER (PARTITION BY b.client ORDER BY us, event_id) AS cart
+  FROM b LEFT JOIN gone{i} g ON g.client = b.client AND g.stretch BETWEEN b.was_in AND b.stretch - 1 WHERE b.stretch <= {i}),
+ c{i} AS (SELECT client, cart, max(us) AS touched, max(stretch) AS stretch, max(event_id) FILTER (WHERE action = 'place') AS order_id, bool_or(action = 'clear') AS cleared, cart = max(cart) OVER (PARTITION BY client) AND (SELECT max(us) FROM n{i}) - max(us) <= {DAY_AND_HALF} AS open FROM n{i} GROUP BY client, cart),
+ d{i} AS (SELECT *, count(*) FILTER (WHERE action = 'remove' OR (action = 'set' AND quantity = 0)) OVER l AS dropped, count(*) FILTER (WHERE action = 'set') OVER l - CASE WHEN action = 'set' THEN 1 ELSE 0 END AS sets
+  FROM n{i} WHERE action IN ('add', 'set', 'remove') WINDOW l AS (PARTITION BY client, cart, part ORDER BY us DESC, event_id DESC)),
+ e{i} AS (SELECT *, row_number() OVER (PARTITION BY client, cart, part ORDER BY us, event_id) AS i FROM d{i} WHERE dropped = 0),
+ o{i} AS (SELECT c.client, c.cart, c.touched FROM c{i} c SEMI JOIN e{i} USING (client, cart) ANTI JOIN gone{i} g ON g.client = c.client AND g.stretch >= c.stretch WHERE open AND order_id IS NULL AND NOT cleared),
+ gone{i + 1} AS (SELECT * FROM gone{i} UNION ALL SELECT client, {i} FROM (SELECT client, row_number() OVER (ORDER BY touched, client) AS place, count(*) OVER () AS n FROM o{i}) WHERE n > {CARTS} AND place <= n // 10)""")
+    last = stretches - 1
+    return ",".join(steps) + f""",
  f AS (SELECT client, cart, part, least({LINE_PIECES}, sum(quantity) FILTER (WHERE sets = 0)) AS quantity, arg_min(request_id, i) FILTER (WHERE request_id IS NOT NULL) AS request_id,
-   arg_min({{'c': confidence, 't': tier}}, i) FILTER (WHERE confidence IS NOT NULL AND (i = 1 OR request_id IS NOT NULL)) AS known, arg_max({{'c': confidence, 't': tier}}, i) FILTER (WHERE i = 1 OR request_id IS NOT NULL) AS unknown FROM e GROUP BY ALL)
- SELECT client, order_id, part, CAST(quantity AS BIGINT) AS quantity, request_id, CASE WHEN known IS NULL THEN NULL ELSE known.c END AS confidence, CASE WHEN known IS NULL THEN unknown.t ELSE known.t END AS tier
-  FROM f JOIN c USING (client, cart) WHERE order_id IS NOT NULL OR (open AND NOT cleared)"""
+   arg_min({{'c': confidence, 't': tier}}, i) FILTER (WHERE confidence IS NOT NULL AND (i = 1 OR request_id IS NOT NULL)) AS known, arg_max({{'c': confidence, 't': tier}}, i) FILTER (WHERE i = 1 OR request_id IS NOT NULL) AS unknown FROM e{last} GROUP BY ALL),
+ kept AS (SELECT client, cart, order_id FROM c{last} WHERE order_id IS NOT NULL UNION ALL SELECT client, cart, NULL FROM o{last} WHERE client NOT IN (SELECT client FROM gone{stretches} WHERE stretch = {last}))
+ SELECT client, order_id, part, CAST(quantity AS BIGINT) AS quantity, request_id, CASE WHEN known IS NULL THEN NULL ELSE known.c END AS confidence, CASE WHEN known IS NULL THEN unknown.t ELSE known.t END AS tier FROM f JOIN kept USING (client, cart)"""
 
 
 def _shown(lines: DataFrame) -> DataFrame:
     return lines.where("kind in ('open', 'order')").select("client", F.col("event_id").alias("order_id"), "part", "quantity", "request_id", "confidence", "tier")
 
 
-@query(_SQL)
+@query(_sql(1))
 def cart_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every line of every order and of the carts that are open after all events (without an order)."""
+    """Every line of every order and of the carts that are open after all events (without an order). Of more than CARTS open carts the tenth
+    that was touched longest ago is gone."""
     actions = event_actions(event_log(spark, sf_dir))
     done, now = cut(carts_after(None, actions, max_age=DAY_AND_HALF)), actions.agg(F.max("at")).first()[0]
     return _shown(done.where("kind = 'order'").unionByName(young(done, now, DAY_AND_HALF)))
 
 
-@query(_SQL)
+@query(_sql(3))
 def cart_orders_kept(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same from carts kept up over three stretches of time, of which one comes twice."""
+    """The same from carts kept up over three stretches of time, of which one comes twice. Carts above CARTS go at the end of each stretch."""
     path, actions = fresh(spark), cut(event_actions(event_log(spark, sf_dir)))
     low, high = actions.agg(F.min("at"), F.max("at")).first()
     third = F.floor((F.col("at") - F.lit(low)) * 3 / F.lit((high or 0) - (low or 0) + 1))

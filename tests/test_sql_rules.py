@@ -38,3 +38,20 @@ def test_names_of_signs_without_semicolon(spark, cut_pages):
 def test_parts_named_by_cut_titles(spark, cut_pages):
     got = same_as_sql(spark, cut_pages, "enriched_parts")
     assert "a ring &" in set(got["name"])
+
+
+@pytest.fixture(scope="module")
+def many_carts(tmp_path_factory):
+    """Events of 24,000 clients over three stretches of a day; each touches its cart in one of them, every fourth again in the last."""
+    folder, kinds = tmp_path_factory.mktemp("carts"), ["click", "view", "signup", "click"]
+    day = 86_400
+    rows = [(u, u % 3 * day // 3 + u % 997 + 1, kinds[u % 4]) for u in range(24_000)] + [(u, day - 5000 + u % 4001, kinds[u % 3]) for u in range(0, 24_000, 4)] + [(0, 0, "click"), (0, day - 1, "purchase")]
+    events = pd.DataFrame([(i, pd.Timestamp("2024-01-01") + pd.Timedelta(seconds=at), u, kind, float(u % 90) + 0.5, f'{{"k": {u % 97}}}') for i, (u, at, kind) in enumerate(rows)], columns=["event_id", "ts", "user_id", "event_type", "value", "props"])
+    events["ts"] = events["ts"].astype("datetime64[us]")
+    events.to_parquet(folder / "events.parquet")
+    return folder
+
+
+def test_carts_above_the_limit_go(spark, many_carts):
+    open_ = same_as_sql(spark, many_carts, "cart_orders")
+    assert open_["order_id"].isna().sum() <= 24_000 - 2_000
