@@ -55,3 +55,8 @@ def many_carts(tmp_path_factory):
 def test_carts_above_the_limit_go(spark, many_carts):
     open_ = same_as_sql(spark, many_carts, "cart_orders")
     assert open_["order_id"].isna().sum() <= 24_000 - 2_000
+
+
+def test_kept_carts_above_the_limit_go(spark, many_carts):
+    """After each stretch, so that of what one keeps the next may drop more than all events at once."""
+    assert same_as_sql(spark, many_carts, "cart_orders_kept")["order_id"].notna().sum() >= 1
