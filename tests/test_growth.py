@@ -23,3 +23,9 @@ def test_printed_pages_are_dealt_over_tasks(spark):
     assert found.count() == 40
     dealt = [line for line in plan(found, "executedPlan").splitlines() if "REPARTITION_BY_NUM" in line]
     assert len(dealt) == 1 and "hashpartitioning(page" in dealt[0]
+
+
+def test_summary_of_printed_pages_is_dealt_over_tasks(spark):
+    from lodestone.operators import reports
+
+    assert "REPARTITION_BY_NUM" in plan(reports.printed_summary(spark, "/root/testdata/sf0.001"), "executedPlan")
