@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from lodestone.functions import threads
+from lodestone.functions import dimensions, threads
 from lodestone.operators import printed
 
 
@@ -37,3 +37,9 @@ def test_facts_read_a_stated_size_once(spark):
     facts = threads.part_facts(threads.pipe_size(F.col("text")), F.col("text"), F.lit(None).cast("double"))
     df = df.select(facts.alias("x"))
     assert plan(df).count("regexp_extract(") <= 4 and plan(df).count("regexp_replace(") <= 3
+
+
+def test_lengths_and_nut_widths_read_a_text_once(spark):
+    df = spark.createDataFrame([("M6 x 1", 1)], "text string, n int")
+    for rule in (dimensions.length_mm, threads.nut_width_mm):
+        assert plan(df.select(rule(F.col("text")).alias("x"))).count("lower(trim(") == 1
