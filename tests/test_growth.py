@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lodestone.functions import dimensions, threads
-from lodestone.operators import printed
+from lodestone.operators import customers, printed
 
 
 def plan(df, kind="optimizedPlan"):
@@ -43,3 +43,14 @@ def test_lengths_and_nut_widths_read_a_text_once(spark):
     df = spark.createDataFrame([("M6 x 1", 1)], "text string, n int")
     for rule in (dimensions.length_mm, threads.nut_width_mm):
         assert plan(df.select(rule(F.col("text")).alias("x"))).count("lower(trim(") == 1
+
+
+def test_part_scores_shuffle_lines_once_by_client(spark):
+    """Counts of five keys aren't rows of their own; null keys and unknown parts and clients count nothing."""
+    lines = spark.createDataFrame([(1, 10, "A", "x", "f", 3, 7), (1, 11, "A", None, "f", 4, 8), (2, 12, None, None, None, None, 9)], "client long, order_id long, kind string, brand string, family string, size int, part long")
+    catalog = spark.createDataFrame([("A", "x", "f", 3, 7), ("B", None, "g", 4, 8)], "kind string, brand string, family string, size int, part long")
+    prior = spark.createDataFrame([(1, "A", 0.5, 0.5), (1, "B", 0.5, 0.5)], "client long, kind string, p double, g double")
+    asked = spark.createDataFrame([(1, 7), (1, 7), (1, 8), (1, 9), (2, 7), (3, 7)], "client long, part long")
+    scores = customers.part_scores(asked, catalog, lines, prior)
+    assert "Generate" not in plan(scores, "executedPlan")
+    assert {(r.client, r.part): r.boost for r in scores.collect()} == {(1, 7): 0.9, (1, 8): 0.66, (1, 9): 0.0, (2, 7): 0.0, (3, 7): 0.0}
