@@ -6,12 +6,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from lodestone.plans.scratch import cut
+from lodestone.plans.scratch import cut, dealt
 from lodestone.plans.views import SQL_LINES, order_lines
 from lodestone.registry import query
 
 #: Places of a recommendation, and companions of a family that it looks at.
 PLACES, COMPANIONS = 6, 6
+#: Baskets' rows of a task that makes the rounds of its clients of them.
+BASKETS = 100_000
 #: Parts that a segment's summary lists.
 FAVOURITES = 40
 
@@ -33,33 +35,54 @@ def replayed(lines: DataFrame) -> DataFrame:
     lines: client, order_id, placed_at, family. What is recommended for round k comes from rounds before k of all clients: the
     client's own families (1 and a tenth of the lines), the COMPANIONS that stood most often in one order with a family of
     the client's last order (0.4 and up to 0.1 by that number), and the PLACES most bought families (up to 0.1).
-    A family has the best of its scores; ties go by name. Lines without family count as orders only.
+    A family has the best of its scores; ties go by name. Lines without family count as orders only. Other reasons are looked for
+    only where a client has fewer than PLACES families of their own.
     """
-    numbered = cut(lines.withColumn("round", F.dense_rank().over(W.partitionBy("client").orderBy("placed_at", "order_id")).cast("bigint")).select("client", "round", "family"))
-    orders = numbered.groupBy("client").agg(F.max("round").alias("last"))
-    end = orders.agg(F.max("last").alias("end"))
-    baskets = cut(numbered.where("family is not null").groupBy("client", "round", "family").agg(F.count("*").alias("n")))
-    own = as_of(baskets.join(orders, "client"), ["client", "family"], F.col("last")).select("client", "round", "family", (1 + F.col("n") / 10).alias("score"))
+    numbered = lines.withColumn("round", F.dense_rank().over(W.partitionBy("client").orderBy("placed_at", "order_id")).cast("bigint"))
+    baskets = cut(numbered.groupBy("client", "round", "family").agg(F.count("*").alias("n")))  # orders without family too, as null
+    end = baskets.agg(F.max("round").alias("end"))
+    named = baskets.where("family is not null")
+    parted = dealt(named.where("client is not null"), BASKETS, "client")
 
-    bought = as_of(baskets.groupBy("family", "round").agg(F.sum("n").alias("n")).join(F.broadcast(end)), ["family"], F.col("end"))  # one row
+    bought = as_of(named.groupBy("family", "round").agg(F.sum("n").alias("n")).join(F.broadcast(end)), ["family"], F.col("end"))  # one row
     top = F.row_number().over(W.partitionBy("round").orderBy(F.desc("n"), "family"))
-    popular = bought.withColumn("r", top).where(F.col("r") <= PLACES).select("round", "family", (0.1 * F.least(F.lit(1.0), F.col("n") / 50)).alias("score"))
-    every = numbered.select("client", "round").distinct()
+    popular = cut(bought.withColumn("r", top).where(F.col("r") <= PLACES).select("round", "family", (0.1 * F.least(F.lit(1.0), F.col("n") / 50)).alias("score")))
 
-    other = baskets.select("client", "round", F.col("family").alias("companion"))
-    pairs = baskets.join(other, ["client", "round"]).where("family <> companion").groupBy("family", "companion", "round").agg(F.count("*").alias("n"))
-    met = as_of(pairs.join(F.broadcast(end)), ["family", "companion"], F.col("end"))  # one row
+    together = parted.groupBy("client", "round").agg(F.collect_list("family").alias("p"))  # an order's families
+    pairs = together.select("round", "p", F.explode("p").alias("family")).select("round", "family", F.explode("p").alias("companion")).where("family <> companion")
+    met = as_of(pairs.groupBy("family", "companion", "round").agg(F.count("*").alias("n")).join(F.broadcast(end)), ["family", "companion"], F.col("end"))  # one row
     near = F.row_number().over(W.partitionBy("family", "round").orderBy(F.desc("n"), "companion"))
-    met = met.withColumn("r", near).where(F.col("r") <= COMPANIONS)
-    before = baskets.select("client", (F.col("round") + 1).alias("round"), "family").join(every, ["client", "round"], "left_semi")
-    along = before.join(met, ["family", "round"]).select("client", "round", F.col("companion").alias("family"), (0.4 + F.least(F.col("n"), F.lit(5)) / 50).alias("score"))
-
-    scored = own.unionByName(along).unionByName(every.join(popular, "round").select("client", "round", "family", "score"))
-    scored = scored.groupBy("client", "round", "family").agg(F.round(F.max("score"), 9).alias("score"))
+    met = cut(met.withColumn("r", near).where(F.col("r") <= COMPANIONS))
+
+    open_ = cut(_own(parted))
+    short = open_.where(F.col("owns") < PLACES)
+    along = short.where("latest").join(met, ["family", "round"]).select("client", "round", F.col("companion").alias("family"), (0.4 + F.least(F.col("n"), F.lit(5)) / 50).alias("score"))
+    usual = short.select("client", "round").distinct().join(popular, "round").select("client", "round", "family", "score")
+    scored = short.select("client", "round", "family", "score", "bought", "new").unionByName(along.unionByName(usual), allowMissingColumns=True)
+    scored = scored.groupBy("client", "round", "family").agg(F.round(F.max("score"), 9).alias("score"), F.max("bought").alias("bought"), F.max("new").alias("new")).where("score is not null")
     shown = scored.withColumn("r", F.row_number().over(W.partitionBy("client", "round").orderBy(F.desc("score"), "family"))).where(F.col("r") <= PLACES)
-    new = F.min("round").over(W.partitionBy("client", "family")) == F.col("round")
-    hit = baskets.withColumn("new", new).join(shown.select("client", "round", "family"), ["client", "round", "family"]).groupBy("client", "round").agg(F.max("new").alias("new"))
-    return every.join(hit, ["client", "round"], "left").groupBy("round").agg(F.count("*").alias("orders"), F.count("new").alias("hits"), F.count_if("new").alias("new_hits"))
+    hit = shown.unionByName(open_.where(F.col("owns") >= PLACES), allowMissingColumns=True).where("bought").groupBy("client", "round").agg(F.max("new").alias("new"))
+    orders = baskets.select("client", "round").distinct().groupBy("round").agg(F.count("*").alias("orders"))
+    hits = hit.groupBy("round").agg(F.count("*").alias("hits"), F.count_if("new").alias("new_hits"))
+    return orders.join(hits, "round", "left").select("round", "orders", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("hits", "new_hits")])
+
+
+def _own(baskets: DataFrame) -> DataFrame:
+    """(client, round, family, bought, new, latest, score, owns) of baskets dealt by client: what is bought in a round, and the client's own
+    families before it with their score and whether they are of the last order. Own families have the best scores, so rounds that know PLACES
+    of them (owns) show these only, and only bought ones among these are kept; of other rounds after the first, all rows. A round's rows
+    are made, sorted and dropped in the task that has its client."""
+    w = W.partitionBy("client", "family").orderBy("round")
+    to = F.coalesce(F.lead("round").over(w), F.max("round").over(W.partitionBy("client")))
+    b = baskets.withColumns({"n": F.sum("n").over(w), "to": to, "first": F.min("round").over(W.partitionBy("client", "family"))})
+    said = F.array(F.struct(F.col("round"), F.lit(True).alias("bought"), (F.col("first") == F.col("round")).alias("new"), F.lit(False).alias("latest"), F.lit(None).cast("double").alias("score")))
+    later = lambda r: F.struct(r.alias("round"), F.lit(False).alias("bought"), F.lit(False).alias("new"), (r == F.col("round") + 1).alias("latest"), (1 + F.col("n") / 10).alias("score"))
+    known = F.when(F.col("to") > F.col("round"), F.transform(F.sequence(F.col("round") + 1, F.col("to")), later)).otherwise(F.slice(F.transform(F.array("round"), later), 1, 0))
+    rows = b.select("client", "family", F.inline(F.concat(said, known)))
+    rows = rows.groupBy("client", "round", "family").agg(*[F.max(c).alias(c) for c in ("bought", "new", "latest", "score")])
+    best = W.partitionBy("client", "round").orderBy(F.desc_nulls_last("score"), "family")
+    rows = rows.withColumns({"r": F.row_number().over(best), "owns": F.count("score").over(best.rowsBetween(W.unboundedPreceding, W.unboundedFollowing))})
+    return rows.where(F.when(F.col("owns") < PLACES, F.col("round") > 1).otherwise(F.col("bought") & (F.col("r") <= PLACES) & F.col("score").isNotNull())).drop("r")
 
 
 @query(f"""WITH {SQL_LINES}, o AS (SELECT DISTINCT client, order_id, placed_at FROM lines), r AS (SELECT client, order_id, row_number() OVER (PARTITION BY client ORDER BY placed_at, order_id) AS round FROM o),

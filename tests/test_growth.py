@@ -4,7 +4,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from lodestone.functions import dimensions, threads
-from lodestone.operators import customers, printed
+from lodestone.operators import customers, printed, replay
+from lodestone.plans.scratch import dealt
 
 
 def plan(df, kind="optimizedPlan"):
@@ -54,3 +55,17 @@ def test_part_scores_shuffle_lines_once_by_client(spark):
     scores = customers.part_scores(asked, catalog, lines, prior)
     assert "Generate" not in plan(scores, "executedPlan")
     assert {(r.client, r.part): r.boost for r in scores.collect()} == {(1, 7): 0.9, (1, 8): 0.66, (1, 9): 0.0, (2, 7): 0.0, (3, 7): 0.0}
+
+
+def test_rounds_of_a_client_are_made_where_its_baskets_lie(spark):
+    """Own families of every round were shuffled twice; now only open rounds leave the task, and rounds with enough own families only show hits."""
+    baskets = spark.createDataFrame([(1, r, f, 1) for r in (1, 2, 3) for f in "abcdefgh"] + [(2, 1, "a", 1), (2, 2, "b", 1), (2, 3, "a", 1)], "client long, round long, family string, n long")
+    own = replay._own(baskets.repartition(3, "client"))
+    assert plan(own, "executedPlan").split("Initial Plan")[-1].count("Exchange ") == 1
+    got = {(r.client, r.round, r.family, r.bought, r.new, r.latest, r.score, r.owns) for r in own.collect()}
+    assert {g for g in got if g[0] == 1} == {(1, r, f, True, False, True, 1 + (r - 1) / 10, 8) for r in (2, 3) for f in "abcdef"}
+    assert {g for g in got if g[0] == 2} == {(2, 2, "a", False, False, True, 1.1, 1), (2, 2, "b", True, True, False, None, 1), (2, 3, "a", True, False, False, 1.1, 2), (2, 3, "b", False, False, True, 1.1, 2)}
+
+
+def test_dealt_rows_bound_a_task(spark):
+    assert dealt(spark.range(1000).toDF("k"), 50, "k").rdd.getNumPartitions() == 20
