@@ -8,6 +8,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lodestone.functions.text import tokens
 from lodestone.operators import search
@@ -28,19 +29,40 @@ def _segment(docs: DataFrame, path: str, buckets: int, files: int) -> tuple[str,
     """Writes the tables of (key, number, text): (folder, documents, tokens)."""
     folder = versions.new_folder(path)
     own = docs.withColumn("t", tokens(F.coalesce("text", F.lit("")))).withColumn("dl", F.size("t"))
-    post = own.select("key", "dl", F.posexplode("t").alias("at", "token")).groupBy("token", "key", "dl").agg(F.sort_array(F.collect_list("at")).alias("places"))
-    post = post.withColumn("bucket", F.pmod(F.crc32(F.col("token").cast("binary")), F.lit(buckets)).cast("int"))
-    post.repartition("bucket", F.pmod(F.xxhash64("key"), F.lit(files))).sortWithinPartitions("bucket", "token").write.partitionBy("bucket").parquet(f"{folder}/postings")
+    _write_postings(own.select("key", "dl", F.explode(_by_bucket("t", F.lit(buckets))).alias("bucket", "posts")), folder, files)
     own.select("key", "number", "dl").sortWithinPartitions("number").write.parquet(f"{folder}/docs")
     facts = docs.sparkSession.read.schema(f"key {docs.schema['key'].dataType.simpleString()}, number string, dl int").parquet(f"{folder}/docs").agg(F.count("*"), F.coalesce(F.sum("dl"), F.lit(0))).first()
     return folder, facts[0], facts[1]
 
 
+@F.udf(T.MapType(T.IntegerType(), T.StringType()))
+def _by_bucket(words: list[str], buckets: int) -> dict[int, str]:
+    """A document's tokens with their places (`a:0,4 b:1`), by the bucket of the token: one short row a bucket is shuffled, not one a token."""
+    places, out = {}, {}
+    for i, w in enumerate(words):
+        places.setdefault(w, []).append(str(i))
+    for w, at in places.items():
+        out.setdefault(zlib.crc32(w.encode()) % buckets, []).append(f"{w}:{','.join(at)}")
+    return {b: " ".join(posts) for b, posts in out.items()}
+
+
+def _write_postings(packed: DataFrame, folder: str, files: int) -> None:
+    """Writes postings of (key, dl, bucket, posts). A bucket's are dealt over `files` tasks or more: large ones are divided further and small ones
+    put together, so that what a task sorts fits its memory."""
+    post = packed.withColumn("file", F.pmod(F.xxhash64("key"), F.lit(files))).hint("rebalance", "bucket", "file")
+    post = post.select("bucket", "key", "dl", F.explode(F.split("posts", " ")).alias("x")).withColumn("x", F.split("x", ":"))
+    post = post.select(F.get("x", F.lit(0)).alias("token"), "key", "dl", F.split(F.get("x", F.lit(1)), ",").cast("array<int>").alias("places"), "bucket")
+    post.sortWithinPartitions("bucket", "token").write.partitionBy("bucket").parquet(f"{folder}/postings")
+
+
 def _own(docs: DataFrame, key: str, text: str, number: str | None) -> DataFrame:
-    """(key, number, text), a row a key: of rows that repeat one the greatest text stays; rows without a key are left out."""
+    """(key, number, text), a row a key: of rows that repeat one the greatest text stays; rows without a key are left out. Texts are
+    moved only where keys repeat."""
     n = F.upper(F.col(number).cast("string")) if number else F.lit(None).cast("string")
-    own = docs.select(F.col(key).alias("key"), n.alias("number"), F.col(text).cast("string").alias("text")).where("key is not null")
-    return own.groupBy("key").agg(F.max(F.struct(F.coalesce("text", F.lit("")).alias("text"), "number")).alias("x")).select("key", "x.number", "x.text")
+    own = docs.select(F.col(key).alias("key"), n.alias("number"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text")).where("key is not null")
+    again = cut(own.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"))
+    most = own.join(again, "key", "left_semi").groupBy("key").agg(F.max(F.struct("text", "number")).alias("x")).select("key", "x.number", "x.text")
+    return own.join(again, "key", "left_anti").unionByName(most)
 
 
 def write_index(docs: DataFrame, path: str, key: str, text: str, number: str | None = None, buckets: int = 64, files: int = 8) -> None:
@@ -79,7 +101,7 @@ def compact_index(spark: SparkSession, path: str) -> None:
     after, facts = versions.current(spark, path)
     folder = versions.new_folder(path)
     post = _live(spark, facts, "postings")
-    post.repartition("bucket", F.pmod(F.xxhash64("key"), F.lit(facts["files"]))).sortWithinPartitions("bucket", "token").write.partitionBy("bucket").parquet(f"{folder}/postings")
+    _write_postings(post.select("key", "dl", "bucket", F.concat_ws(":", "token", F.array_join(F.col("places").cast("array<string>"), ",")).alias("posts")), folder, facts["files"])
     _live(spark, facts, "docs").sortWithinPartitions("number").write.parquet(f"{folder}/docs")
     versions.publish(spark, path, after, facts | {"segments": [folder]})
 

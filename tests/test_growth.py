@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lodestone.functions import dimensions, threads
-from lodestone.operators import customers, printed, replay
+from lodestone.operators import customers, printed, replay, text_index
 from lodestone.plans.scratch import dealt
 
 
@@ -69,3 +69,15 @@ def test_rounds_of_a_client_are_made_where_its_baskets_lie(spark):
 
 def test_dealt_rows_bound_a_task(spark):
     assert dealt(spark.range(1000).toDF("k"), 50, "k").rdd.getNumPartitions() == 20
+
+
+def test_index_moves_a_row_a_document_and_bucket(spark, tmp_path):
+    """A row was shuffled for each token and document, and every text for the sake of keys that repeat; the texts of single keys stay where they are."""
+    docs = spark.createDataFrame([(1, "a b a"), (2, None), (3, "c"), (3, "d d")], "key long, text string")
+    own = text_index._own(docs, "key", "text", None)
+    assert sorted((r.key, r.text) for r in own.collect()) == [(1, "a b a"), (2, ""), (3, "d d")]
+    packed = spark.createDataFrame([(["a", "b", "a"],)], "t array<string>").select(text_index._by_bucket("t", F.lit(1)).alias("m")).first().m
+    assert packed == {0: "a:0,2 b:1"}
+    text_index.write_index(docs, str(tmp_path / "i"), "key", "text", buckets=2, files=2)
+    post = text_index._live(spark, text_index.versions.current(spark, str(tmp_path / "i"))[1], "postings")
+    assert {(r.token, r.key, r.dl, tuple(r.places)) for r in post.collect()} == {("a", 1, 3, (0, 2)), ("b", 1, 3, (1,)), ("d", 3, 2, (0, 1))}
