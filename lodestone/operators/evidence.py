@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from lodestone.functions.vectors import unit
 from lodestone.operators.vector import EVERY, SQL_TOP, retrieved
-from lodestone.plans.views import SQL_EVENTS, SQL_GALLERY, SQL_LINES, event_log, gallery, order_lines
+from lodestone.plans.views import SQL_EVENTS, SQL_GALLERY, SQL_LINES, client_lines, event_log, gallery
 from lodestone.registry import query
 
 #: Weights of similarity, near identity (from EXACT_AT on), hits, category, attributes, a number read, a ranking from outside, size,
@@ -126,7 +126,7 @@ def differing_attributes(spark: SparkSession, sf_dir: str) -> DataFrame:
  t AS (SELECT *, n / sum(n) OVER (PARTITION BY client, name) AS share, row_number() OVER (PARTITION BY client, name ORDER BY n DESC, value) AS r FROM n) SELECT client, name, value, n, round(share, 6) AS share FROM t WHERE r = 1 AND n >= 2 AND share >= {LEAST_SHARE}""")
 def usual_attributes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each client's usual value of every attribute."""
-    lines = order_lines(spark, sf_dir)
+    lines = client_lines(spark, sf_dir, "kind", "brand", "size")
     named = F.explode(F.create_map(F.lit("kind"), F.col("kind"), F.lit("brand"), F.col("brand"), F.lit("size"), F.col("size").cast("string"))).alias("name", "value")
     return usual(lines.select("client", named)).withColumn("share", F.round("share", 6))
 

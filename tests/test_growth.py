@@ -3,8 +3,9 @@
 import pytest
 from pyspark.sql import functions as F
 
+from lodestone import registry
 from lodestone.functions import dimensions, threads
-from lodestone.operators import customers, printed, replay, text_index
+from lodestone.operators import customers, evidence, printed, replay, text_index  # noqa: F401  they register queries
 from lodestone.plans.scratch import dealt
 
 
@@ -81,3 +82,12 @@ def test_index_moves_a_row_a_document_and_bucket(spark, tmp_path):
     text_index.write_index(docs, str(tmp_path / "i"), "key", "text", buckets=2, files=2)
     post = text_index._live(spark, text_index.versions.current(spark, str(tmp_path / "i"))[1], "postings")
     assert {(r.token, r.key, r.dl, tuple(r.places)) for r in post.collect()} == {("a", 1, 3, (0, 2)), ("b", 1, 3, (1,)), ("d", 3, 2, (0, 1))}
+
+
+@pytest.mark.parametrize("query", ["copurchase_pairs", "usual_attributes", "customer_vector"])
+def test_lines_are_dealt_by_client_before_rows_are_made_of_them(spark, query):
+    """Pairs and attributes were counted in as few tasks as joins left, with a hash entry for each of a line's rows."""
+    found = plan(registry.QUERIES[query](spark, "/root/testdata/sf0.001"), "executedPlan").split("Initial Plan")[-1].splitlines()
+    made = next(i for i, line in enumerate(found) if "Generate" in line)
+    assert "REPARTITION_BY_NUM" in next(line for line in found[made:] if "Exchange " in line)
+    assert "client" not in next((line for line in found[:made] if "Exchange " in line), "")
