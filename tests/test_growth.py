@@ -91,3 +91,15 @@ def test_lines_are_dealt_by_client_before_rows_are_made_of_them(spark, query):
     made = next(i for i, line in enumerate(found) if "Generate" in line)
     assert "REPARTITION_BY_NUM" in next(line for line in found[made:] if "Exchange " in line)
     assert "client" not in next((line for line in found[:made] if "Exchange " in line), "")
+
+
+def test_recommended_lists_are_held_against_a_client_s_row(spark):
+    """Every family of a list was a row that was joined with all that clients bought; now a list is a cell, and only unknown customers are told by a join."""
+    found = plan(customers.recommend(spark, "/root/testdata/sf0.001"))
+    assert found.count("LeftAnti") == 1 and found.count("Window") == 0
+
+
+def test_due_of_a_row_counts_undated_orders(spark):
+    day = "transform({}, x -> timestamp '2000-01-01' + make_dt_interval(x))"
+    rows = spark.sql(f"select i, {day.format('d')} as days, n from values (1, array(0, 10, 30), 3), (2, array(0, 400), 3), (3, array(0, 10), 2), (4, array(0, 1, 2, 300), 4), (5, array(0, 10), 3) as t(i, d, n)")
+    assert {r.i: r.due for r in rows.select("i", customers._due_by(F.col("days"), F.col("n")).alias("due")).collect()} == {1: True, 2: False, 3: False, 4: True, 5: True}
