@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lodestone.functions import threads as T
 from lodestone.functions.dimensions import MM, ratio_score
+from lodestone.plans.scratch import dealt
 from lodestone.plans.views import SQL_PARTS, parts
 from lodestone.registry import query
 
@@ -24,13 +25,17 @@ keyed AS (SELECT *, gcd(k, 16) AS g FROM num), known(key, od) AS (VALUES {_value
 sized AS (SELECT part, size, stated, known.key FROM keyed LEFT JOIN known ON known.key = CASE WHEN frac = '' THEN whole WHEN k BETWEEN 1 AND 15 THEN CASE WHEN whole = '' THEN '' ELSE whole || '-' END || (k // g) || '/' || (16 // g) END)"""
 
 
+#: Parts of a task that reads what they state: a part is few bytes for the work that it makes, so a file's parts are dealt over tasks.
+PARTS = 50_000
+
+
 def stated_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """parts with the size as a catalog writes it."""
     whole, k = (F.col("size") % 4).cast("string"), (F.col("part") % 16).cast("string")
     forms = [F.concat(whole, F.lit("-"), k, F.lit('/16"')), F.concat(whole, F.lit(" "), k, F.lit("/16 NPT")), F.concat(F.lit("Pipe size "), (F.col("size") % 9).cast("string")), F.concat(k, F.lit("/16 in"))]
     other = F.concat(F.lit("BSPT "), (1 + F.col("size") % 3).cast("string"), F.lit("/8"))
     stated = F.coalesce(*[F.when(F.col("part") % 5 == i, f) for i, f in enumerate(forms)], other)
-    return parts(spark, sf_dir).withColumn("stated", stated)
+    return dealt(parts(spark, sf_dir), PARTS, "part").withColumn("stated", stated)
 
 
 @query(f"""WITH {SQL_STATED}, od(key, v) AS (VALUES {_values(T.OD)}), bore(key, v) AS (VALUES {_values(T.BORE)}), wall(s, key, v) AS (VALUES {_walls}), female(key, v) AS (VALUES {_values(T.FEMALE)})
@@ -145,7 +150,8 @@ def measured_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
     length = F.concat((5 + F.col("size")).cast("string"), F.lit(" mm"))
     attributes = F.when(form == 0, entry("Length", length)).when(form == 1, entry("Overall-Length", length, "OD", "9 mm")).when(form == 2, entry("Outside Diameter", "9 mm")).when(form == 3, entry("Thread Size", "M8 x 1.25"))
     attributes = attributes.when(form == 4, entry("Pipe Size", "1/2", "Gender", "Female")).otherwise(entry("pipe", "1/2 NPT", "gender", "male", "schedule", "80"))
-    p = parts(spark, sf_dir).select("part", attributes.alias("attributes"), F.when(form == 3, "hex nut").otherwise("fitting").alias("name"), number("part", 4, 30).alias("long"), number("part", 3, 19).alias("short"), number("part", 8, 17).alias("bore"))
+    p = dealt(parts(spark, sf_dir).select("part", "size"), PARTS, "part")
+    p = p.select("part", attributes.alias("attributes"), F.when(form == 3, "hex nut").otherwise("fitting").alias("name"), number("part", 4, 30).alias("long"), number("part", 3, 19).alias("short"), number("part", 8, 17).alias("bore"))
     p = T.size_votes(p.withColumn("pitch", F.lit(None)))
     return p.select("part", F.round(T.size_score(F.col("votes")), 5).alias("vote"), F.array_join("votes.what", " ").alias("votes"))
 

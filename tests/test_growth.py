@@ -103,3 +103,10 @@ def test_due_of_a_row_counts_undated_orders(spark):
     day = "transform({}, x -> timestamp '2000-01-01' + make_dt_interval(x))"
     rows = spark.sql(f"select i, {day.format('d')} as days, n from values (1, array(0, 10, 30), 3), (2, array(0, 400), 3), (3, array(0, 10), 2), (4, array(0, 1, 2, 300), 4), (5, array(0, 10), 3) as t(i, d, n)")
     assert {r.i: r.due for r in rows.select("i", customers._due_by(F.col("days"), F.col("n")).alias("due")).collect()} == {1: True, 2: False, 3: False, 4: True, 5: True}
+
+
+@pytest.mark.parametrize("query", ["measured_sizes", "fitting_facts", "pipe_dimensions", "thread_families"])
+def test_parts_that_state_sizes_are_dealt_over_tasks(spark, query):
+    """A small file of parts was read, and all its rules worked out, by one task."""
+    found = plan(registry.QUERIES[query](spark, "/root/testdata/sf0.001"), "executedPlan").split("Initial Plan")[-1]
+    assert "REPARTITION_BY_NUM" in found and found.index("regexp") < found.index("REPARTITION_BY_NUM")
