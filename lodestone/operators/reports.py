@@ -13,6 +13,7 @@ from lodestone.operators.answers import learning_state
 from lodestone.operators.customers import repeat_customers
 from lodestone.operators.printed import FOOTER, printed_files, printed_parts, split_pages
 from lodestone.operators.vector import SQL_TOP, gallery_stats, retrieved
+from lodestone.plans.scratch import cut
 from lodestone.plans.views import SQL_EVENTS, SQL_GALLERY, SQL_PARTS, event_log, gallery, parts
 from lodestone.registry import SQL, query
 from lodestone.sources.readers import STRING_MAP, ingest, labels, with_photos
@@ -120,4 +121,4 @@ def page_summary(found: DataFrame) -> DataFrame:
  UNION ALL SELECT 'section', path, count(*) FROM f GROUP BY 2 UNION ALL SELECT 'material', material, count(*) FROM f GROUP BY 2 UNION ALL SELECT 'size', size, count(*) FROM f GROUP BY 2""")
 def printed_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What the printed catalog would bring in, counted before it is."""
-    return page_summary(printed_parts(split_pages(printed_files(spark, sf_dir)), FOOTER))
+    return page_summary(printed_parts(split_pages(cut(printed_files(spark, sf_dir))), FOOTER))

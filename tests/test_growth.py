@@ -110,3 +110,11 @@ def test_parts_that_state_sizes_are_dealt_over_tasks(spark, query):
     """A small file of parts was read, and all its rules worked out, by one task."""
     found = plan(registry.QUERIES[query](spark, "/root/testdata/sf0.001"), "executedPlan").split("Initial Plan")[-1]
     assert "REPARTITION_BY_NUM" in found and found.index("regexp") < found.index("REPARTITION_BY_NUM")
+
+
+@pytest.mark.parametrize("query", ["printed_catalog", "printed_summary"])
+def test_a_catalog_is_printed_once(spark, query):
+    """Files were made of the part table twice, for their numbers of pages and for the pages."""
+    from lodestone.operators import reports  # noqa: F401  it registers a query
+
+    assert "p_partkey" not in plan(registry.QUERIES[query](spark, "/root/testdata/sf0.001"))
