@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.llm.components import connected_components
-from lodestone.llm.shared import cut, mix, seeds, shingles, steps, words
+from lodestone.llm.shared import cut, freed, mix, seeds, shingles, steps, words
 
 
 def collections_for(threshold: float, rows: int, miss: float = 3e-4) -> int:
@@ -120,7 +120,7 @@ def _marks(groups: DataFrame, percent: int) -> tuple[DataFrame, DataFrame, DataF
 def _full_sets(docs: DataFrame, nodes: DataFrame, k: int) -> DataFrame:
     """(node, shingles) of nodes (node, doc_id, digest)."""
     picked = docs.join(nodes.hint("merge"), "doc_id").select("doc_id", "text", "node", "digest")  # the same plan at every size
-    return picked.mapInArrow(_sets(k), "node bigint, shingles array<bigint>").dropDuplicates(["node"])
+    return picked.mapInArrow(freed(_sets(k)), "node bigint, shingles array<bigint>").dropDuplicates(["node"])
 
 
 def _pairs_of(keys: Column) -> Column:
@@ -152,7 +152,7 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     m = collections_for(percent / 100, rows)
     docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     kind = docs.schema["doc_id"].dataType.simpleString()
-    marked = cut(docs.mapInArrow(_signatures(k, m, rows), f"doc_id {kind}, n_shingles bigint, digest binary, keys array<bigint>"))
+    marked = cut(docs.mapInArrow(freed(_signatures(k, m, rows)), f"doc_id {kind}, n_shingles bigint, digest binary, keys array<bigint>"))
     nodes = marked.where("n_shingles > 0 and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("doc_id"), F.min_by("keys", "doc_id").alias("keys"))
     nodes = cut(nodes.withColumn("node", F.monotonically_increasing_id()))
     single = nodes.select("node", F.explode("keys").alias("key"))

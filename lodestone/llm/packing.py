@@ -14,6 +14,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lodestone.llm.shared import freed
+
 #: Fixed value: the string of the vocabulary's special token.
 SPECIAL = "<|endoftext|>"
 #: White space of this length and more goes to the slower library: the faster one's pattern nests a call for each character.
@@ -149,4 +151,4 @@ def pack(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str
     """
     kind = docs.schema[id_col].dataType.simpleString()
     own = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return own.mapInArrow(_pack(vocabulary, capacity, chunk, pool), f"doc_id {kind}, start bigint, length bigint, doc_tokens bigint, ids binary, sequence_id bigint, offset bigint")
+    return own.mapInArrow(freed(_pack(vocabulary, capacity, chunk, pool)), f"doc_id {kind}, start bigint, length bigint, doc_tokens bigint, ids binary, sequence_id bigint, offset bigint")

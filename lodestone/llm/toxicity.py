@@ -12,10 +12,12 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from lodestone.llm.shared import _IS_SPACE, cut, steps, words
+from lodestone.llm.shared import _IS_SPACE, cut, freed, steps, words
 
 #: Byte lengths of the n-grams; with words they are the features.
 GRAMS = (4, 5, 6)
+#: Rows of counted features that leave a task at a time.
+COUNTED = 100_000
 _SPREAD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -45,25 +47,26 @@ def _feature_runs(data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[np.nd
 
 
 def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Documents of the task that have a feature: among the positive and among the unlabelled, and the exclusive or of all their hashes, equal for features of the same documents."""
+    """Documents of the task that have a feature: among the positive and among the unlabelled, and the exclusive or of all their hashes, equal for features of the same
+    documents. Kinds of features share none, so each is counted by itself, and what is found leaves in batches of at most COUNTED rows."""
     for batch in batches:
         sides, hashes = np.array(batch.column(2)), np.array(batch.column(3))
         for low, high, data, offsets in steps(batch.column(1), size=500_000):
-            found, side, own = [], sides[low:high], hashes[low:high]
+            side, own = sides[low:high], hashes[low:high]
             for value, rows in _feature_runs(data, offsets):
-                order = np.lexsort((value, rows))
+                value, rows = value[rows >= 0], rows[rows >= 0]
+                order = np.argsort(value, kind="stable")  # rows ascend, so those of a feature still do
                 value, rows = value[order], rows[order]
-                new = np.ones(len(value), dtype=bool)
-                new[1:] = (value[1:] != value[:-1]) | (rows[1:] != rows[:-1])
-                found.append((value[new & (rows >= 0)], rows[new & (rows >= 0)]))
-            value, rows = np.concatenate([x[0] for x in found]), np.concatenate([x[1] for x in found])
-            flags, order = side[rows], np.argsort(value, kind="stable")
-            kinds, place = np.unique(value, return_inverse=True)
-            starts = np.concatenate(([0], np.cumsum(np.bincount(place, minlength=len(kinds)))))[:-1]
-            held = np.bitwise_xor.reduceat(own[rows[order]], starts) if len(kinds) else np.zeros(0, dtype=np.int64)
-            positive = np.bincount(place, weights=(flags & 1).astype(float), minlength=len(kinds)).astype(np.int64)
-            other = np.bincount(place, weights=(flags >> 1).astype(float), minlength=len(kinds)).astype(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(kinds.view(np.int64)), pa.array(positive), pa.array(other), pa.array(held)], names=["feature", "p", "u", "held"])
+                differs = value[1:] != value[:-1]
+                new = np.concatenate(([True], differs | (rows[1:] != rows[:-1])))[: len(value)]
+                starts = np.flatnonzero(np.concatenate(([True], differs))[: len(value)][new])
+                value, rows = value[new], rows[new]
+                if not len(value):
+                    continue
+                flags = side[rows].astype(np.int64)
+                counts = [value[starts].view(np.int64), np.add.reduceat(flags & 1, starts), np.add.reduceat(flags >> 1, starts), np.bitwise_xor.reduceat(own[rows], starts)]
+                for i in range(0, len(starts), COUNTED):
+                    yield pa.RecordBatch.from_arrays([pa.array(c[i : i + COUNTED]) for c in counts], names=["feature", "p", "u", "held"])
 
 
 def _present(data: np.ndarray, offsets: np.ndarray, features: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -137,7 +140,7 @@ def fit(docs: DataFrame, positive: DataFrame, prior: float, id_col: str = "doc_i
         return Model(bias=bias)
     sample = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(picked), "id").select("id", "text", "side", F.xxhash64("id").alias("hash"))
     sample = cut(sample.dropDuplicates(["id"]))  # at most max_positive + max_unlabelled rows
-    counted = sample.mapInArrow(_counts, "feature bigint, p bigint, u bigint, held bigint").groupBy("feature").agg(F.sum("p").alias("p"), F.sum("u").alias("u"), F.bit_xor("held").alias("held"))
+    counted = sample.mapInArrow(freed(_counts), "feature bigint, p bigint, u bigint, held bigint").groupBy("feature").agg(F.sum("p").alias("p"), F.sum("u").alias("u"), F.bit_xor("held").alias("held"))
     pp, pu = F.col("p") / n_p, (F.col("u") + 0.5) / (n_u + 1)
     clear = (pp - pu) / F.sqrt(pu * (1 - pu) / n_p + 1e-12)
     best = counted.withColumn("z", clear).where((F.col("p") >= 8) & (pp > 2 * pu) & (F.col("z") >= 4))
@@ -146,7 +149,7 @@ def fit(docs: DataFrame, positive: DataFrame, prior: float, id_col: str = "doc_i
     features = np.sort(np.array([r[0] for r in best.collect()], dtype=np.int64).view(np.uint64))
     if not len(features):
         return Model(bias=bias)
-    rows = sample.mapInArrow(_lists(features), "side int, place array<bigint>").collect()
+    rows = sample.mapInArrow(freed(_lists(features)), "side int, place array<bigint>").collect()
     data = [(r.place, y) for r in rows for y in ((1,) if r.side == 1 else (0,) if r.side == 2 else (1, 0))]
     x = np.zeros((len(data), len(features)), dtype=np.float32)
     for i, (places, _) in enumerate(data):
@@ -174,7 +177,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
                 z = np.bincount(rows, weights=weights[place], minlength=high - low) + bias
                 yield pa.RecordBatch.from_arrays([*(c.slice(low, high - low) for c in batch.columns[1:]), pa.array(1 / (1 + np.exp(-np.clip(z, -40, 40))))], names=names)
 
-    return own.mapInArrow(run, StructType(fields))
+    return own.mapInArrow(freed(run), StructType(fields))
 
 
 def prior_of(labels: DataFrame, label_col: str = "toxic") -> float:
