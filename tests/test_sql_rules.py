@@ -5,7 +5,7 @@ import pandas as pd
 import pytest
 
 from lodestone import registry
-from lodestone.operators import pages  # noqa: F401
+from lodestone.operators import customers, pages  # noqa: F401
 from lodestone.streaming import carts  # noqa: F401
 
 
@@ -56,6 +56,39 @@ def test_numbers_of_pages_with_long_ids(spark, long_ids):
     assert sorted(zip(got["part_number"], got["name"])) == [("00012A2", "page 8"), ("00012A2", "page 8"), ("10001A1", "page 66674"), ("10023A3", "page 6682")]
 
 
+@pytest.fixture(scope="module")
+def large_orders(tmp_path_factory):
+    """Two orders of 60 families; two of 300, by two clients; two of 150, by one; one of 200 lines with three families; small ones, of which one key
+    is stated for two clients and one has no client."""
+    folder = tmp_path_factory.mktemp("orders")
+    baskets = {1: range(60), 2: range(60), 3: range(300), 4: range(299, -1, -1), 5: range(300, 450), 6: range(300, 450), 7: [400, 401, 402] * 67, 8: [1, 2], 9: [310, 311, 500], 10: [310, 311], 11: [320, 321], 12: [320, 321]}
+    clients = [(1, 1), (2, 2), (3, 3), (4, 4), (5, 5), (6, 5), (7, 6), (8, 1), (9, 7), (9, 8), (10, 7), (11, None), (12, None)]
+    orders = pd.DataFrame(clients, columns=["o_orderkey", "o_custkey"]).astype("Int64")
+    orders["o_orderdate"] = pd.Timestamp("2000-01-01")
+    orders.astype({"o_orderdate": "datetime64[us]"}).to_parquet(folder / "orders.parquet")
+    pd.DataFrame([(k, p, i, 1.0) for k, these in baskets.items() for i, p in enumerate(these)], columns=["l_orderkey", "l_partkey", "l_linenumber", "l_quantity"]).to_parquet(folder / "lineitem.parquet")
+    part = [(i, f"family {i:03}", "Brand#1", "LARGE", 1) for i in range(500)]  # part 500 is unknown
+    pd.DataFrame(part, columns=["p_partkey", "p_name", "p_brand", "p_type", "p_size"]).to_parquet(folder / "part.parquet")
+    return folder
+
+
+def test_complements_are_of_whole_orders(spark, large_orders):
+    """Only the first forty families of an order made pairs."""
+    got = same_as_sql(spark, large_orders, "complements_lift")
+    assert set(got["part"]) >= {f"family {i:03}" for i in (39, 40, 59, 60, 128, 299, 310, 311)} and "family 500" not in set(got["part"])
+
+
+@pytest.mark.parametrize("block", [1, 7, 1000])
+def test_pairs_of_an_order_don_t_depend_on_its_blocks(spark, large_orders, monkeypatch, block):
+    """Split into rows of one family each, of a few, and not at all."""
+    monkeypatch.setattr(customers, "BLOCK", block)
+    folder = str(large_orders)
+    got = {(r.a, r.b): (r.orders, r.first, r.last) for r in customers.all_pairs(spark, folder, customers.sized_orders(spark, folder)).collect()}
+    assert len(got) == 300 * 299 // 2 + 150 * 149 // 2
+    assert got["family 000", "family 059"] == (4, 1, 4) and got["family 001", "family 002"] == (5, 1, 4) and got["family 298", "family 299"] == (2, 3, 4)
+    assert got["family 300", "family 449"] == (2, 5, 5) and got["family 310", "family 311"] == (4, 5, 8) and got["family 320", "family 321"] == (4, 5, 5)
+
+
 @pytest.fixture(scope="module")
 def many_carts(tmp_path_factory):
     """Events of 24,000 clients over three stretches of a day; each touches its cart in one of them, every fourth again in the last."""
